@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from .imatch import op10_imatch_fingerprints
+from .jaccard import op4_jaccard_join
+from .language import op9_language_id
 from .mix import OP7_SQL, op7_mix_sources
 from .tokens import op2_token_counts
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op4_jaccard_join": op4_jaccard_join,
     "op7_mix_sources": op7_mix_sources,
+    "op9_language_id": op9_language_id,
+    "op10_imatch_fingerprints": op10_imatch_fingerprints,
 }
 
 SQL = {
