@@ -1,0 +1,340 @@
+"""Personal data: base patterns, and a linear-chain conditional random field over word shapes that adds to them.
+
+The field labels tokens with a digit or an at sign, in runs of such tokens; every other token carries the outside label, so
+runs are decoded by themselves. Its features are the token's shape and parts of it, and the word before the run. It is trained
+from a small labelled table of token runs that is written out below, by gradient ascent on the conditional likelihood, and
+decoded by Viterbi in numpy batches of runs of like length.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import arrow_batches, table
+
+KINDS = ("email", "ip", "card", "phone")
+#: The base patterns, in forms that take linear time: a match can only begin where a run of its characters begins.
+_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
+_PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+_DIGITS = re.compile(r"[0-9]+")
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def base_spans(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of each base match, by kind as listed and then by start; offsets in code points."""
+    found, last = [], 0
+    for m in _DOMAIN.finditer(text):
+        at = m.start()
+        left = at
+        while left > last and text[left - 1] in _LOCAL_CHARS:
+            left -= 1
+        if left < at:
+            found.append(("email", left, m.end()))
+            last = m.end()
+    for m in _IP.finditer(text):
+        if all(int(p) <= 255 if len(p) < 10 else int(p.lstrip("0") or 0) <= 255 if len(p.lstrip("0")) < 4 else False for p in m[0].split(".")):
+            found.append(("ip", m.start(), m.end()))
+    for m in _CARD.finditer(text):
+        digits = "".join(_DIGITS.findall(m[0])) if m.end() - m.start() >= 13 else ""
+        if 13 <= len(digits) <= 19 and luhn(digits):
+            found.append(("card", m.start(), m.end()))
+    for m in _PHONE.finditer(text) if "+" in text else ():
+        if 9 <= sum(map(len, _DIGITS.findall(m[0]))) <= 15:
+            found.append(("phone", m.start(), m.end()))
+    return found
+
+
+_LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+
+# ---- the field ----
+
+LABELS = ("outside", "email", "ip", "card", "phone", "secret")
+#: From the first digit or at sign of a token to its end; only tokens with one may be labelled.
+_TELLING = re.compile(r"[0-9@]\S*")
+_SPACE_ONLY = re.compile(r"\s*")
+_WORD_BEFORE = re.compile(r"([^\W\d_]+)\W*$")
+#: Words that stand before secrets and numbers in the labelled table; any other is "other".
+CUES = frozenset(("token", "key", "secret", "password", "apikey", "phone", "tel", "call", "fax", "mobile", "card", "visa", "ip", "host", "server", "address", "mail", "email", "contact", "id", "page", "version", "year", "section", "chapter"))
+_SHAPE = str.maketrans({**{c: "X" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "x" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "d" for c in "0123456789"}})
+_SAME = re.compile(r"(.)\1+")
+_HEX = re.compile(r"[0-9a-fA-F]+\Z")
+
+
+def token_features(token: str) -> tuple[str, ...]:
+    """Features of a token: its shape, the shape with runs made one, its length, and what it holds."""
+    core = token.strip("\"'`,;:!?<>[]{}=")
+    shape = core.translate(_SHAPE)
+    short = _SAME.sub(r"\1", shape)[:24]
+    digits = shape.count("d")
+    n = len(core)
+    size = "0" if n == 0 else "1-3" if n < 4 else "4-7" if n < 8 else "8-12" if n < 13 else "13-19" if n < 20 else "20-31" if n < 32 else "32-64" if n < 65 else "65+"
+    parts = "d.d.d.d" == short and all(len(p) <= 3 for p in core.split("."))
+    return (
+        "short=" + short, "size=" + size, "digits=" + ("all" if digits == n and n else "most" if 2 * digits > n else "some" if digits else "no"),
+        "digits,size=" + ("all" if digits == n and n else "not") + size, "hex,size=" + str(bool(_HEX.match(core)) and not core.isdigit()) + size,
+        "at=" + str("@" in core and "." in core.split("@")[-1]), "quad=" + str(parts), "first=" + shape[:1], "last=" + shape[-1:],
+    )
+
+
+def labelled_table() -> list[tuple[str, list[tuple[str, str]]]]:
+    """The training table: (word before, [(token, label), ...]), small, made by a fixed rule from a fixed seed."""
+    r = random.Random(11)
+    some = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    digits = lambda n: some("0123456789", n)
+    letters, hexed, mixed = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    word = lambda: some(letters, r.randint(2, 9))
+    cue = lambda *given: r.choice([*given, word(), word()])
+    rows: list[tuple[str, list[tuple[str, str]]]] = []
+    for _ in range(40):
+        end = r.choice(["", "", ",", ".", ";", "!"])
+        rows += [
+            (cue("mail", "contact"), [(f"{word()}{r.choice(['.', '_', '', '+'])}{digits(2)}@{word()}{r.choice(['', '-', digits(1)])}.{r.choice(['com', 'org', 'example.net', 'de'])}{end}", "email")]),
+            (cue("ip", "host"), [(".".join(str(r.randint(0, 255)) for _ in range(4)) + r.choice(["", "", ",", ":8080"]), "ip")]),
+            (cue("card", "visa"), [(digits(r.choice([15, 16, 16, 16])) + end, "card")]),
+            (cue("card", "visa"), [(digits(4) + (end if i == 3 else ""), "card") for i in range(4)]),
+            (cue("phone", "tel", "call"), [(f"+{r.randint(1, 99)}", "phone"), (f"({digits(3)})", "phone"), (f"{digits(3)}-{digits(4)}{end}", "phone")]),
+            (cue("phone", "tel", "fax"), [(f"({digits(3)})", "phone"), (f"{digits(3)}-{digits(4)}{end}", "phone")]),
+            (cue("phone", "mobile"), [(f"{digits(3)}-{digits(3)}-{digits(4)}{end}", "phone")]),
+            (cue("phone", "mobile"), [(f"+{digits(11)}{end}", "phone")]),
+            (r.choice(["token", "key", "secret", "apikey"]), [(f'"{some(hexed, r.choice([32, 40, 64]))}"', "secret")]),
+            (r.choice(["token", "key", "password"]), [(f"{some(mixed, r.randint(20, 44))}7{end}", "secret")]),
+            (cue("page", "section"), [(digits(r.randint(1, 4)) + end, "outside")]),
+            (cue("year"), [(str(r.randint(1900, 2030)) + end, "outside")]),
+            (word(), [(f"{r.randint(1, 12)}-{digits(2)}-{digits(2)}", "outside"), (f"{r.randint(0, 23)}:{digits(2)}", "outside")]),
+            (word(), [(f"{digits(r.randint(1, 3))}.{digits(2)}{r.choice(['%', '', ','])}", "outside")]),
+            (cue("version"), [(f"v{r.randint(1, 9)}.{r.randint(0, 9)}.{r.randint(0, 20)}{end}", "outside")]),
+            (cue("id"), [(f"{word()}{digits(r.randint(1, 5))}{end}", "outside"), (f"{digits(r.randint(1, 6))}", "outside")]),
+            (word(), [(f"@{word()}{end}", "outside")]),
+            (word(), [(f"https://{word()}.example.com/{digits(3)}", "outside")]),
+            (word(), [(f"{digits(1)},{digits(3)},{digits(3)}", "outside"), (f"{word()}2", "outside")]),
+        ]
+    return rows
+
+
+@dataclass
+class Field:
+    """Weights of features for each label, and of steps between labels; row -1 of ``weights`` is for features never seen."""
+
+    index: dict[str, int]
+    weights: np.ndarray
+    start: np.ndarray
+    steps: np.ndarray
+
+    def emission(self, names: tuple[str, ...]) -> np.ndarray:
+        return sum((self.weights[self.index[f]] for f in names if f in self.index), np.zeros(len(LABELS)))
+
+    def viterbi(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Best labels of a batch of runs: scores (runs, longest, labels), padded behind; the padding keeps the last label."""
+        n, longest, k = scores.shape
+        best, back = self.start + scores[:, 0], np.zeros((n, longest, k), np.int8)
+        back[:, 0] = np.arange(k)
+        for t in range(1, longest):
+            ways = best[:, :, None] + self.steps
+            to = ways.argmax(axis=1)
+            live = (t < lengths)[:, None]
+            back[:, t] = np.where(live, to, np.arange(k))
+            best = np.where(live, np.take_along_axis(ways, to[:, None], 1)[:, 0] + scores[:, t], best)
+        labels = np.zeros((n, longest), np.int8)
+        labels[:, -1] = best.argmax(axis=1)
+        for t in range(longest - 1, 0, -1):
+            labels[:, t - 1] = np.take_along_axis(back[:, t], labels[:, t, None].astype(np.int64), 1)[:, 0]
+        return labels
+
+
+def _sum_exp(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis=axis, keepdims=True)
+    return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
+
+
+@lru_cache(maxsize=1)
+def trained(rounds: int = 150, rate: float = 0.3, ridge: float = 0.02) -> Field:
+    """The field, by Adagrad on the whole table: forward and backward sums over all runs at once."""
+    rows = labelled_table()
+    named = [[(*token_features(t), *(("before=" + (w if w in CUES else "other"),) if i == 0 else ())) for i, (t, _) in enumerate(run)] for w, run in rows]
+    index = {f: i for i, f in enumerate(dict.fromkeys(f for run in named for names in run for f in names))}
+    n, longest, k = len(rows), max(map(len, named)), len(LABELS)
+    x = np.zeros((n, longest, len(index)), np.float32)
+    gold, mask = np.zeros((n, longest, k)), np.zeros((n, longest))
+    for i, run in enumerate(named):
+        for t, names in enumerate(run):
+            x[i, t, [index[f] for f in names]] = 1
+            gold[i, t, LABELS.index(rows[i][1][t][1])] = 1
+            mask[i, t] = 1
+    weights, start, steps = np.zeros((len(index), k)), np.zeros(k), np.zeros((k, k))
+    flat, sums = x.reshape(n * longest, -1), [np.full_like(a, 1e-6) for a in (weights, start, steps)]
+    pairs = np.einsum("nta,ntb->ab", gold[:, :-1], gold[:, 1:])
+    for _ in range(rounds):
+        e = (flat @ weights).reshape(n, longest, k)
+        ahead, behind = [start + e[:, 0]], [np.zeros((n, k))]
+        for t in range(1, longest):
+            ahead.append(np.where(mask[:, t, None] > 0, _sum_exp(ahead[-1][:, :, None] + steps, 1) + e[:, t], ahead[-1]))
+        for t in range(longest - 1, 0, -1):
+            behind.insert(0, np.where(mask[:, t, None] > 0, _sum_exp(steps + (e[:, t] + behind[0])[:, None, :], 2), behind[0]))
+        norm = _sum_exp(ahead[-1], 1)
+        likely = np.stack([np.exp(a + b - norm[:, None]) for a, b in zip(ahead, behind)], axis=1) * mask[:, :, None]
+        expected = sum((np.exp(ahead[t - 1][:, :, None] + steps + (e[:, t] + behind[t])[:, None, :] - norm[:, None, None]) * mask[:, t, None, None]).sum(0) for t in range(1, longest))
+        for value, total, slope in zip((weights, start, steps), sums, (flat.T @ (gold - likely).reshape(n * longest, k) - ridge * weights, (gold[:, 0] - likely[:, 0]).sum(0) - ridge * start, pairs - expected - ridge * steps)):
+            total += slope * slope
+            value += rate * slope / np.sqrt(total)
+    return Field(index, weights, start, steps)
+
+
+class Finder:
+    """Spans of texts by the field, batch by batch."""
+
+    def __init__(self, field: Field):
+        self.field, self.seen = field, {}
+
+    def token(self, token: str) -> np.ndarray:
+        if (found := self.seen.get(token)) is None:
+            found = self.field.emission(token_features(token))
+            if len(self.seen) < 100_000 and len(token) < 100:
+                self.seen[token] = found
+        return found
+
+    def before(self, text: str, start: int) -> np.ndarray:
+        m = _WORD_BEFORE.search(text, max(0, start - 24), start)
+        word = m[1].lower() if m else ""
+        return self.field.emission(("before=" + (word if word in CUES else "other"),))
+
+    def spans(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
+        runs: list[tuple[int, list[tuple[int, int]]]] = []
+        for i, text in enumerate(texts):
+            last = None
+            for m in _TELLING.finditer(text):
+                start = m.start()
+                while start > (last or 0) and not text[start - 1].isspace():
+                    start -= 1
+                if last is not None and _SPACE_ONLY.fullmatch(text, last, start):
+                    runs[-1][1].append((start, m.end()))
+                else:
+                    runs.append((i, [(start, m.end())]))
+                last = m.end()
+        out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+        runs.sort(key=lambda r: len(r[1]))
+        at = 0
+        while at < len(runs):
+            longest = len(runs[min(len(runs), at + 512) - 1][1])
+            some = runs[at : at + (512 if longest <= 2_000 else 1)]
+            longest = len(some[-1][1])
+            scores = np.zeros((len(some), longest, len(LABELS)))
+            for j, (i, run) in enumerate(some):
+                for t, (a, b) in enumerate(run):
+                    scores[j, t] = self.token(texts[i][a:b])
+                scores[j, 0] += self.before(texts[i], run[0][0])
+            labels = self.field.viterbi(scores, np.array([len(r[1]) for r in some]))
+            for (i, run), row in zip(some, labels):
+                self._gather(out[i], texts[i], run, row)
+            at += len(some)
+        return out
+
+    @staticmethod
+    def _gather(out: list[tuple[str, int, int]], text: str, run: list[tuple[int, int]], row: np.ndarray) -> None:
+        t = 0
+        while t < len(run):
+            u = t
+            while u + 1 < len(run) and row[u + 1] == row[t]:
+                u += 1
+            if row[t]:
+                a, b = run[t][0], run[u][1]
+                while a < b and text[a] in "\"'`,;:!?<>[]{}=":
+                    a += 1
+                while a < b and text[b - 1] in "\"'`,;:!?<>[]{}=.":
+                    b -= 1
+                if a < b:
+                    out.append((LABELS[row[t]], a, b))
+            t = u + 1
+
+
+def added_spans(base: list[tuple[str, int, int]], found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The field's spans that touch no base span, as kinds of their own: ``crf_`` and the label."""
+    taken = sorted((s, e) for _, s, e in base)
+    out, i = [], 0
+    for kind, s, e in sorted(found, key=lambda x: x[1]):
+        while i < len(taken) and taken[i][1] <= s:
+            i += 1
+        if not any(a < e and s < b for a, b in taken[max(0, i - 4) : i + 1]):
+            out.append(("crf_" + kind, s, e))
+    order = {"crf_" + k: i for i, k in enumerate(LABELS)}
+    return sorted(out, key=lambda x: (order[x[0]], x[1]))
+
+
+def joined(spans: list[tuple[str, int, int]]) -> str:
+    return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+
+
+def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone (base matches), base_sha256, spans, n_added.
+
+    spans lists kind:start:end of the base matches by kind and start, then those the field adds where no base match lies.
+    Null counts as the empty text, which has no spans; the whole of a long text is read; repeated rows get the same answer;
+    other columns are ignored; an empty table gives no rows. Narrow: no shuffle.
+    """
+    spark = docs.sparkSession
+    field = spark.sparkContext.broadcast(trained())
+    arrow_batches(spark)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(field.value)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            base = [base_spans(t) for t in texts]
+            more = [added_spans(b, f) for b, f in zip(base, finder.spans(texts))]
+            counts = [pa.array([sum(s[0] == k for s in b) for b in base], pa.int64()) for k in KINDS]
+            shas = pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b in base])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, shas, pa.array([joined(b + m) for b, m in zip(base, more)], pa.string()), pa.array(list(map(len, more)), pa.int64())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(found, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+
+
+def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """The text with every span replaced by its kind in square brackets; overlapping spans become one."""
+    out, at = [], 0
+    for kind, s, e in sorted(spans, key=lambda x: (x[1], -x[2])):
+        if s >= at:
+            out += [text[at:s], f"[{kind.removeprefix('crf_')}]"]
+        at = max(at, e)
+    return "".join(out) + text[at:]
+
+
+def redact(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with personal data in ``text`` replaced by its kind; null texts stay null; all other columns and rows stay as they are."""
+    spark = docs.sparkSession
+    field = spark.sparkContext.broadcast(trained())
+    arrow_batches(spark)
+    schema, place = docs.schema, docs.columns.index(text)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(field.value)
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            whole = [t or "" for t in texts]
+            found = finder.spans(whole)
+            out = [t if t is None else redacted(t, (b := base_spans(t)) + added_spans(b, f)) for t, f in zip(texts, found)]
+            yield batch.set_column(place, batch.schema.field(place), pa.array(out, batch.schema.field(place).type))
+
+    return docs.mapInArrow(clean, schema)
+
+
+def op3_personal_data(spark, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))

@@ -6,11 +6,15 @@ from .imatch import op10_imatch_fingerprints
 from .jaccard import op4_jaccard_join
 from .language import op9_language_id
 from .mix import OP7_SQL, op7_mix_sources
+from .pii import op3_personal_data
 from .tokens import op2_token_counts
+from .toxicity import op5_toxicity
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op3_personal_data": op3_personal_data,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_toxicity": op5_toxicity,
     "op7_mix_sources": op7_mix_sources,
     "op9_language_id": op9_language_id,
     "op10_imatch_fingerprints": op10_imatch_fingerprints,
