@@ -6,10 +6,14 @@ into n2; by counting, at least two of the n1 ranges hold no more than k2 differe
 agree entirely. So a set's signatures are, for every range, the hashes of what it holds in each choice of n2 - k2 parts, and
 sets that link share a signature for certain: nothing is lost. Sets that share one are then compared exactly.
 
-Texts with equal sets are one node. Of a group of nodes with one signature only a star (each with the smallest) is compared
-at first; the links found give components, and then, wherever a signature is shared by different components, the pairs
+Texts with equal sets are one node. Of a group of nodes with one signature only a star (each with the smallest) is looked at
+first; the links found give components, and then, wherever a signature is shared by different components, the pairs
 across them. Pairs within a component can add nothing, so large groups of near copies don't cost the square of their size,
 and every link between components is still found.
+
+A range that agrees in no choice of parts holds two differences at least, one that agrees in some holds one; so a pair with
+few common signatures differs in more than a link may, and is never compared. The count is free: pairs are gathered from
+the groups once for each signature they share.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ WIDTH, SIMILARITY = 5, (80, 100)
 PARTS, MAY_DIFFER = 3, 1
 #: A band's largest size over its smallest; at least the inverse of the similarity.
 BAND = 1.4
+#: The low bits of a signature, which hold the number of its band.
+BAND_BITS = np.uint64(63)
 #: Rows up to which a side (16 bytes a row) is broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -58,6 +64,10 @@ class Bands:
         """Elements in which two sets that link and are no larger than the band's top can differ, at most."""
         return 2 * self.top(i) * (self.den - self.num) // (self.den + self.num)
 
+    def ranges(self, i: int) -> int:
+        """Ranges of the domain in a band; one more than counting needs, so that two of them agree."""
+        return -(-(self.differ(i) + 1) // (MAY_DIFFER + 1)) + 1
+
     def signatures(self, shingles: np.ndarray) -> list[np.ndarray]:
         out = []
         if not len(shingles):
@@ -66,7 +76,7 @@ class Bands:
         for i in self.of(len(shingles)):
             if (k := self.differ(i)) == 0:
                 continue  # only equal sets link here, and those are one node
-            ranges = -(-(k + 1) // (MAY_DIFFER + 1)) + 1
+            ranges = self.ranges(i)
             part = ((high * np.uint64(ranges * PARTS)) >> np.uint64(32)).astype(np.int64)
             starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             sums, full = np.zeros(ranges * PARTS, np.uint64), np.zeros(ranges * PARTS, bool)
@@ -75,21 +85,22 @@ class Bands:
             chosen = [list(c) for c in combinations(range(PARTS), PARTS - MAY_DIFFER)]
             held = np.stack([full[:, c].any(axis=1) for c in chosen], axis=1)
             names = np.stack([sums[:, c].sum(axis=1, dtype=np.uint64) + PLACES[9 + j : 10 + j] * np.uint64(i + 1) for j, c in enumerate(chosen)], axis=1) + PLACES[8:9] * np.arange(1, ranges + 1, dtype=np.uint64)[:, None]
-            names = mixed(names)
+            names = (mixed(names) & ~BAND_BITS) | np.uint64(i)
             # One range at most without elements in some choice: another agreeing range has elements, and that will do.
             out.append(names[held] if (~held).any(axis=1).sum() <= 1 else names.ravel())
         return out
 
 
-def _set_rows(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, node, n_shingles); node is null for a text without words."""
+def _set_rows(docs: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
+    """(doc_id, node, n_shingles, band); node is null for a text without words."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(similarity)
         for batch in batches:
             sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "node", "n_shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands.of(len(s))[0] for s in sets], pa.int32())], names=["doc_id", "node", "n_shingles", "band"])
 
-    return docs.mapInArrow(rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, n_shingles long")
+    return docs.mapInArrow(rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, n_shingles long, band int")
 
 
 def _signature_rows(docs: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
@@ -158,13 +169,43 @@ def connected(edges: DataFrame, name: str = "components") -> DataFrame:
         mark = now
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets reach the similarity, compared exactly."""
-    num, den = similarity
-    a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
-    both = pairs.join(a, "a").join(b, "b")
-    inter: Column = F.size(F.array_intersect("set_a", "set_b"))
-    return both.filter(inter * (num + den) >= num * (F.size("set_a") + F.size("set_b"))).select("a", "b")
+class _Comparison:
+    """Exact comparison of pairs of nodes; reads again the texts of the nodes that are in a pair, and only those."""
+
+    def __init__(self, texts: DataFrame, nodes: DataFrame, width: int, similarity: tuple[int, int]):
+        self.texts, self.nodes, self.width, (self.num, self.den) = texts, nodes, width, similarity
+        bands = Bands(similarity)
+        self.ranges = F.create_map(*[F.lit(x) for i in range(int(BAND_BITS) + 1) for x in (i, bands.ranges(i))])
+
+    def promising(self, shared: DataFrame) -> DataFrame:
+        """From rows (a, b, signature), one for each signature that a pair shares, the pairs that may be links by their sizes and by the count."""
+        a, b = (self.nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("band").alias(f"band_{x}")) for x in "ab")
+        # Kept per pair and band: a pair's own band is that of its larger set.
+        counts = shared.groupBy("a", "b", F.expr(f"cast(signature & {int(BAND_BITS)} as int)").alias("band")).agg(F.count("*").alias("common"))
+        sized = counts.join(a, "a").join(b, "b").filter("band = greatest(band_a, band_b)")
+        sized = sized.filter(F.least("n_a", "n_b") * self.den >= F.greatest("n_a", "n_b") * self.num)
+        most = F.floor((F.col("n_a") + F.col("n_b")) * (self.den - self.num) / (self.den + self.num))
+        return sized.filter(F.col("common") >= 2 * self.ranges[F.col("band")] - most - PARTS).select("a", "b")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose sets reach the similarity."""
+        spark, width = pairs.sparkSession, self.width
+
+        def set_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
+                lengths = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                values = np.concatenate([*sets, np.array([], np.uint64)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(lengths), pa.array(values))], names=["node", "shingles"])
+
+        needed = written(self.nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", "doc_id"), "needed")
+        few = needed.count() <= BROADCAST_ROWS
+        arrow_batches(spark)
+        rows = self.texts.join(F.broadcast(needed) if few else needed, "doc_id").select("node", "text")
+        sets = written(rows.mapInArrow(set_arrays, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+        a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
+        inter: Column = F.size(F.array_intersect("set_a", "set_b"))
+        return pairs.join(a, "a").join(b, "b").filter(inter * (self.num + self.den) >= self.num * (F.size("set_a") + F.size("set_b"))).select("a", "b")
 
 
 def similar_classes(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -178,41 +219,30 @@ def similar_classes(docs: DataFrame, width: int = WIDTH, similarity: tuple[int,
     spark = docs.sparkSession
     arrow_batches(spark)
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))
-    members = written(_set_rows(texts, width), "members")
+    members = written(_set_rows(texts, width, similarity), "members")
     dealt = _signature_rows(texts, width, similarity).repartition("signature").sortWithinPartitions("signature", "node")
     arrow_batches(spark, 50_000)
     groups = written(dealt.mapInArrow(_shared, "signature long, node long"), "groups")
     arrow_batches(spark)
 
-    reps = members.join(groups.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"))
-    reps = written(reps, "reps")
-    few = reps.count() <= BROADCAST_ROWS
-
-    def set_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
-            lengths = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            values = np.concatenate([*sets, np.array([], np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(lengths), pa.array(values))], names=["node", "shingles"])
-
-    wanted = texts.join(F.broadcast(reps) if few else reps, "doc_id").select("node", "text").dropDuplicates(["node"])
-    sets = written(wanted.mapInArrow(set_arrays, "node long, shingles array<long>"), "sets")
+    nodes = members.join(groups.select("node").distinct(), "node", "left_semi").groupBy("node")
+    nodes = written(nodes.agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.max("band").alias("band")), "nodes")
+    compare = _Comparison(texts, nodes, width, similarity)
 
     centers = groups.groupBy("signature").agg(F.min("node").alias("a"))
-    star = groups.join(centers, "signature").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
-    star = written(star, "star")
-    links = written(_linked(star, sets, similarity), "links")
+    star = groups.join(centers, "signature").filter("a <> node").select("a", F.col("node").alias("b"), "signature")
+    star = written(compare.promising(star), "star")
+    links = written(compare.links(star), "links")
     labels = written(connected(links), "labels")
 
-    placed = groups.join(reps.select("node", "n_shingles"), "node").join(labels, "node", "left").select("signature", "node", F.col("n_shingles").alias("n"), F.coalesce("label", "node").alias("label"))
-    mixed_up = placed.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.mode("label", True).alias("main")).filter("low <> high")
-    open_rows = written(placed.join(mixed_up, "signature").select("signature", "node", "n", "label", (F.col("label") == F.col("main")).alias("in_main")), "open")
+    placed = groups.join(labels, "node", "left").select("signature", "node", F.coalesce("label", "node").alias("label"))
+    several = placed.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.mode("label", True).alias("main")).filter("low <> high")
+    open_rows = written(placed.join(several, "signature").select("signature", "node", "label", (F.col("label") == F.col("main")).alias("in_main")), "open")
     x, y = open_rows.filter("not in_main").alias("x"), open_rows.alias("y")
-    num, den = similarity
-    fits = f"x.signature = y.signature AND x.label <> y.label AND (y.in_main OR x.node < y.node) AND least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num}"
-    cross = x.join(y, F.expr(fits)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    cross = written(cross.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "cross")
-    more = written(_linked(cross, sets, similarity), "links")
+    across = x.join(y, F.expr("x.signature = y.signature AND x.label <> y.label AND (y.in_main OR x.node < y.node)"))
+    across = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), "x.signature")
+    across = written(compare.promising(across).join(star, ["a", "b"], "left_anti"), "across")
+    more = written(compare.links(across), "links")
     if not more.isEmpty():
         labels = written(connected(links.union(more)), "labels")
 
