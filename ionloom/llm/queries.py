@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .html import op8_main_text
 from .imatch import op10_imatch_fingerprints
 from .jaccard import op4_jaccard_join
 from .language import op9_language_id
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_toxicity": op5_toxicity,
     "op7_mix_sources": op7_mix_sources,
+    "op8_main_text": op8_main_text,
     "op9_language_id": op9_language_id,
     "op10_imatch_fingerprints": op10_imatch_fingerprints,
 }
