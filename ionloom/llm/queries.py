@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op1_decontaminate
 from .html import op8_main_text
 from .imatch import op10_imatch_fingerprints
 from .jaccard import op4_jaccard_join
@@ -12,6 +13,7 @@ from .tokens import op2_token_counts
 from .toxicity import op5_toxicity
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_token_counts": op2_token_counts,
     "op3_personal_data": op3_personal_data,
     "op4_jaccard_join": op4_jaccard_join,
