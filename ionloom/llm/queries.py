@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import OP6_SQL, op6_tool_calls
 from .decontaminate import op1_decontaminate
 from .html import op8_main_text
 from .imatch import op10_imatch_fingerprints
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_personal_data": op3_personal_data,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_toxicity": op5_toxicity,
+    "op6_tool_calls": op6_tool_calls,
     "op7_mix_sources": op7_mix_sources,
     "op8_main_text": op8_main_text,
     "op9_language_id": op9_language_id,
@@ -25,5 +27,6 @@ QUERIES = {
 }
 
 SQL = {
+    "op6_tool_calls": OP6_SQL,
     "op7_mix_sources": OP7_SQL,
 }
