@@ -198,7 +198,8 @@ class _Comparison:
                 values = np.concatenate([*sets, np.array([], np.uint64)]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(lengths), pa.array(values))], names=["node", "shingles"])
 
-        needed = written(self.nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", "doc_id"), "needed")
+        both = pairs.select(F.col("a").alias("node")).distinct().union(pairs.select(F.col("b").alias("node")).distinct())
+        needed = written(self.nodes.join(both, "node", "left_semi").select("node", "doc_id"), "needed")
         few = needed.count() <= BROADCAST_ROWS
         arrow_batches(spark)
         rows = self.texts.join(F.broadcast(needed) if few else needed, "doc_id").select("node", "text")
@@ -229,9 +230,13 @@ def similar_classes(docs: DataFrame, width: int = WIDTH, similarity: tuple[int,
     nodes = written(nodes.agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.max("band").alias("band")), "nodes")
     compare = _Comparison(texts, nodes, width, similarity)
 
-    centers = groups.groupBy("signature").agg(F.min("node").alias("a"))
+    # The centre of a group is its node with the most company in all groups: of edited copies, what they were copied from.
+    sizes = groups.groupBy("signature").agg(F.count("*").alias("size"))
+    company = groups.join(sizes, "signature").groupBy("node").agg(F.sum("size").alias("company"))
+    ranked = groups.join(company, "node").select("signature", "node", F.struct("company", "node").alias("rank"))
+    centers = ranked.groupBy("signature").agg(F.max("rank").alias("top")).select("signature", F.col("top.node").alias("a"))
     star = groups.join(centers, "signature").filter("a <> node").select("a", F.col("node").alias("b"), "signature")
-    star = written(compare.promising(star), "star")
+    star = written(compare.promising(star).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")
     links = written(compare.links(star), "links")
     labels = written(connected(links), "labels")
 

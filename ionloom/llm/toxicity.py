@@ -164,6 +164,21 @@ def score_toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
     return out.mapInArrow(scored, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in head) + ", score double, predicted int")
 
 
+def without_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of docs that the model does not predict to be toxic, with all their columns; null and empty texts stay."""
+    spark = docs.sparkSession
+    shared, place = spark.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = shared.value.lengths()
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            yield batch.filter(pa.array([not t or shared.value.score(features(t, by)) < 0.5 for t in texts], pa.bool_()))
+
+    arrow_batches(spark)
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
