@@ -132,7 +132,7 @@ def activation_summary(params: Column | str) -> Column:
     methods = activation_methods(params)
     names = F.when(F.size(methods) == 0, "custom").otherwise(F.array_join(F.transform(methods, lambda p: F.coalesce(p["name"], p["accession"])), " + "))
     energy = collision_energy(params)
-    return F.when(F.size(params) == 0, "(none)").otherwise(F.concat(names, F.coalesce(F.format_string(" @ %.1f eV", energy), F.lit(""))))
+    return F.when(F.size(params) == 0, "(none)").otherwise(F.concat(names, F.when(energy.isNotNull(), F.format_string(" @ %.1f eV", energy)).otherwise("")))
 
 
 # ---- scans and ions ----
