@@ -1,9 +1,10 @@
 """Chat formatting: tool calls are linked to their results, put in topological order, validated and written as canonical JSON.
 
 Calls and results are hash-joined by (conversation, identifier). A call's level is one more than the highest level of the
-calls it depends on; levels are found round by round, a join each, so a round's work is spread like any other. Arguments are
-parsed once and held against the schema of their tool. Canonical JSON has sorted keys and no white space. One row is one
-link, so that no conversation, however long, is gathered in one place. All of it is built from DataFrame functions.
+calls it depends on; chains of calls are followed by pointers that double each round, and only calls with several needs take
+rounds of their own. Arguments are parsed once and held against the schema of their tool. Canonical JSON has sorted keys and
+no white space. One row is one link, so that no conversation, however long, is gathered in one place. All of it is built
+from DataFrame functions.
 """
 
 from __future__ import annotations
@@ -49,21 +50,56 @@ def problems(schema: Column) -> Column:
     return F.when(F.col("fields").isNull(), F.array(F.lit("arguments are no JSON object"))).when(schema.isNull(), F.array(F.lit("unknown tool"))).otherwise(listed)
 
 
+def chains(edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, root, far) for calls with one need each: the first call up the chain that has none or several, and how far up.
+
+    Pointers double in each round, so a chain of n calls takes log n rounds; calls on a cycle never reach a root and fall away.
+    """
+    keys = ["conv_id", "call_id"]
+    single = edges.groupBy(*keys).agg(F.count("*").alias("n"), F.min("needs").alias("root")).filter("n = 1").select(*keys, "root", F.lit(1).alias("far"))
+    open_, done, left = written(single, "chain"), None, None
+    while True:
+        up = open_.select("conv_id", F.col("call_id").alias("root"), F.col("root").alias("next"), F.col("far").alias("more"))
+        if done is not None:
+            up = up.union(done.select("conv_id", F.col("call_id").alias("root"), F.col("root").alias("next"), F.col("far").alias("more")))
+        jumped = open_.join(up, ["conv_id", "root"], "left")
+        now = written(jumped.select(*keys, F.coalesce("next", "root").alias("root"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), F.col("next").isNull().alias("rests")), "chain")
+        rested = now.filter("rests").drop("rests")
+        done = rested if done is None else written(done.union(rested), "chain")
+        open_ = now.filter("not rests").drop("rests")
+        n = open_.count()
+        if n == 0 or n == left and rested.isEmpty():
+            # Distances on a cycle grow for ever; a round in which nothing comes to rest leaves cycles and what hangs on them.
+            return done
+        left = n
+
+
 def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of all calls that hang on no cycle; edges: (conv_id, call_id, needs), all of them calls."""
+    """(conv_id, call_id, level) of all calls that hang on no cycle; edges: (conv_id, call_id, needs), all of them calls.
+
+    Chains are followed at once; then a round for each call with several needs on the longest way.
+    """
     keys = ["conv_id", "call_id"]
+    chain = chains(edges)
     waits = edges.groupBy(*keys).agg(F.count("*").alias("waits"))
+    several = written(waits.filter("waits > 1"), "waits")
+    # The needs of calls with several, each as a root, which has a level of its own, and the way down from it.
+    needs = edges.join(several.select(*keys), keys, "left_semi").join(chain.select("conv_id", F.col("call_id").alias("needs"), "root", "far"), ["conv_id", "needs"], "left")
+    needs = written(needs.select(*keys, F.coalesce("root", "needs").alias("root"), (F.coalesce("far", F.lit(0)) + 1).alias("far")), "needs")
     done = written(calls.join(waits, keys, "left_anti").select(*keys, F.lit(0).alias("level")), "level")
-    frontier, met, level = done, None, 0
-    while not frontier.isEmpty():
-        level += 1
-        now = edges.join(frontier.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"]).groupBy(*keys).agg(F.count("*").alias("met"))
-        met = now if met is None else met.union(now).groupBy(*keys).agg(F.sum("met").alias("met"))
-        met = written(met.join(waits, keys), "met").select(*keys, "met", "waits")
-        frontier = written(met.filter("met = waits").select(*keys, F.lit(level).alias("level")), "level")
-        met = met.filter("met < waits").select(*keys, "met")
+    frontier, met = done, None
+    while not several.isEmpty():
+        now = needs.join(frontier.select("conv_id", F.col("call_id").alias("root"), "level"), ["conv_id", "root"]).groupBy(*keys).agg(F.count("*").alias("met"), F.max(F.col("level") + F.col("far")).alias("level"))
+        met = now if met is None else met.union(now).groupBy(*keys).agg(F.sum("met").alias("met"), F.max("level").alias("level"))
+        met = written(met, "met")
+        ready = met.join(several, keys).filter("met = waits")
+        frontier = written(ready.select(*keys, "level"), "level")
+        if frontier.isEmpty():
+            break
+        met = met.join(frontier.select(*keys), keys, "left_anti")
         done = done.union(frontier)
-    return done
+    roots = done.select("conv_id", F.col("call_id").alias("root"), F.col("level").alias("base"))
+    return done.union(chain.join(roots, ["conv_id", "root"]).select(*keys, (F.col("base") + F.col("far")).alias("level")))
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
