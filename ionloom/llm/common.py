@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.storage import shared_dir, written
+
+__all__ = ["ARROW_ROWS", "arrow_batches", "release", "shared_dir", "table", "written"]
+
 #: Rows in one Arrow batch. Texts are read whole, so this bounds what a Python worker holds at once.
 ARROW_ROWS = 500
 
@@ -20,18 +23,7 @@ def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='ionloom-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors and is computed once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ionloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def release(spark: SparkSession) -> None:
+    """Lets the driver drop shuffles that nothing refers to any more, so that their files go before the next ones are written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, table, written
+from .common import arrow_batches, release, table, written
 from .shingles import PLACES, mixed, set_hash, shingle_set
 
 WIDTH, SIMILARITY = 5, (80, 100)
 #: Parts of a range, and how many of them may differ.
 PARTS, MAY_DIFFER = 3, 1
 #: A band's largest size over its smallest; at least the inverse of the similarity.
-BAND = 1.4
+BAND = 1.6
 #: The low bits of a signature, which hold the number of its band.
 BAND_BITS = np.uint64(63)
 #: Rows up to which a side (16 bytes a row) is broadcast; beyond, both sides are shuffled.
@@ -224,6 +224,8 @@ def similar_classes(docs: DataFrame, width: int = WIDTH, similarity: tuple[int,
     dealt = _signature_rows(texts, width, similarity).repartition("signature").sortWithinPartitions("signature", "node")
     arrow_batches(spark, 50_000)
     groups = written(dealt.mapInArrow(_shared, "signature long, node long"), "groups")
+    del dealt
+    release(spark)
     arrow_batches(spark)
 
     nodes = members.join(groups.select("node").distinct(), "node", "left_semi").groupBy("node")
