@@ -27,7 +27,7 @@ def json_type(value: Column) -> Column:
     """The JSON type of a variant."""
     kind = F.schema_of_variant(value)
     return (
-        F.when(kind == "VOID", "null").when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind == "BIGINT", "integer")
+        F.when(kind.isNull(), None).when(kind == "VOID", "null").when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind == "BIGINT", "integer")
         .when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").otherwise("number")
     )
 

@@ -1,0 +1,405 @@
+"""Each operator on awkward tables, and against brute force on the smallest tables."""
+
+import collections
+import hashlib
+import random
+import re
+
+import pytest
+import regex
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from ionloom.llm import chat, decontaminate, html, imatch, jaccard, language, mix, pii, tokens, toxicity
+
+SMALL = "/root/testdata/sf0.001"
+LONG = "lorem ipsum " * 4000
+UNBROKEN = "x" * 60_000
+ROWS = [(1, "a b c d e f g"), (2, None), (3, ""), (1, "a b c d e f g"), (None, "no id here at all"), (4, LONG), (5, UNBROKEN), (6, " \t\n "), (7, "a b c d e f g")]
+#: Names that the operators use inside.
+CLASHING = ("node", "label", "size", "key", "tid", "h", "n", "part", "packed", "k", "score", "signature", "band", "rank", "g")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    df = spark.createDataFrame([(*r, "s" if i % 2 else None, "en", 0) for i, r in enumerate(ROWS)], "doc_id long, text string, source string, lang string, n_chars long")
+    return df.select("*", *[F.lit("clash").alias(c) for c in CLASHING])
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{SMALL}/documents.parquet")
+
+
+def texts(df):
+    return {r.doc_id: r.text or "" for r in df.select("doc_id", "text").collect()}
+
+
+# ---- token counts ----
+
+
+def test_tokens_as_the_library_counts(spark, documents):
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(tokens.default_vocabulary())
+    bpe = tokens.merger(tokens.default_vocabulary())
+    r = random.Random(1)
+    parts = ["<|endoftext|>", "<|end", " ", "  ", "\n", "'s", "'LL", "é", "ß", "日本", "🙂", "\x1c", "\x85", "\xa0", "abc", "123", "aaaa", "!!", "\t", "don't"]
+    some = ["".join(r.choice(parts) for _ in range(r.randint(0, 25))) for _ in range(500)]
+    assert [bpe.count(t) for t in some] == [len(e.ids) for e in library.encode_batch(some, add_special_tokens=False)]
+    got = {x.doc_id: x for x in tokens.count_tokens(documents).collect()}
+    for i, t in texts(documents).items():
+        assert got[i].n_tokens == len(library.encode(t, add_special_tokens=False).ids) and got[i].n_bytes == len(t.encode()) and got[i].over_limit == (got[i].n_tokens > 512)
+
+
+def test_tokens_odd(odd):
+    rows = tokens.count_tokens(odd).collect()
+    assert len(rows) == len(ROWS) and {(r.doc_id, r.n_bytes) for r in rows} >= {(2, 0), (3, 0), (5, 60_000), (None, 17)}
+    assert tokens.count_tokens(odd.limit(0)).count() == 0
+
+
+# ---- personal data ----
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plain_spans(text):
+    out = []
+    for kind, p in PATTERNS.items():
+        for m in re.finditer(p, text):
+            digits = re.sub(r"[^0-9]", "", m[0])
+            total = sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits)))
+            if kind == "email" or kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")) or kind == "card" and 13 <= len(digits) <= 19 and total % 10 == 0 or kind == "phone" and 9 <= len(digits) <= 15:
+                out.append((kind, *m.span()))
+    return out
+
+
+def test_base_spans_against_the_patterns():
+    r = random.Random(3)
+    chars = list("0123456789" * 3 + "a.@+-() %_é\n1") + ["4111111111111111"]
+    for _ in range(3000):
+        t = "".join(r.choice(chars) for _ in range(r.randint(0, 40)))
+        assert pii.base_spans(t) == plain_spans(t)
+
+
+def test_field_finds_secrets_and_leaves_prose(spark, documents):
+    found = pii.Finder(pii.trained()).spans(['the token = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8" of page 12 in 1999', "call (212) 555-0199 now", "nothing at all"])
+    assert [k for k, *_ in found[0]] == ["secret"] and [k for k, *_ in found[1]] == ["phone"] and found[2] == []
+    got = pii.find_personal_data(documents).collect()
+    for r in got:
+        base = plain_spans(texts_of[r.doc_id]) if (texts_of := texts(documents)) and r.doc_id < 20 else None
+        if base is not None:
+            joined = ",".join(f"{k}:{s}:{e}" for k, s, e in base)
+            assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and r.spans.startswith(joined)
+
+
+def test_personal_data_odd(odd, spark):
+    rows = pii.find_personal_data(odd).collect()
+    assert len(rows) == len(ROWS) and all(r.spans == "" and r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in rows)
+    assert pii.find_personal_data(odd.limit(0)).count() == 0
+    clean = pii.redact(odd)
+    assert clean.columns == odd.columns and {r.doc_id: r.text for r in clean.collect()}[2] is None
+    assert pii.redacted("a b@c.de x", [("email", 2, 8), ("crf_ip", 3, 5)]) == "a [email] x"
+
+
+# ---- similarity join ----
+
+
+def plain_classes(rows, width, num, den):
+    sets, parent = {}, {}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, t in rows.items():
+        w = t.encode().lower().split()
+        sets[i] = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} or ({tuple(w)} if w else set())
+        parent[i] = i
+    for i in sets:
+        for j in sets:
+            if j < i and sets[i] and sets[j] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), root(i)) for i in sets}
+
+
+@pytest.mark.parametrize("width,num", [(4, 85), (5, 80), (2, 60)])
+def test_classes_against_brute_force(spark, width, num):
+    r = random.Random(width)
+    rows = {}
+    for base in range(12):
+        words = [f"w{r.randint(0, 60)}" for _ in range(r.choice([3, 5, 8, 20, 60, 150]))]
+        for copy in range(r.choice([1, 2, 6])):
+            w = list(words)
+            for _ in range(r.randint(0, max(1, len(w) // 25))):
+                w[r.randrange(len(w))] = f"x{r.randint(0, 99)}"
+            rows[base * 10 + copy] = " ".join(w[: len(w) - r.choice([0, 0, 1])])
+    rows[500] = ""
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.similar_classes(df, width, (num, 100)).collect()}
+    assert got == plain_classes(rows, width, num, 100)
+
+
+def test_signatures_lose_no_link():
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    bands = jaccard.Bands((85, 100))
+    for n in (7, 12, 40, 147, 600):
+        for _ in range(40):
+            a = np.unique(r.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+            drop = int(r.integers(0, max(2, n // 12)))
+            b = np.unique(np.r_[a[drop:], r.integers(0, 2**63, int(r.integers(0, max(2, n // 12))), dtype=np.uint64) * np.uint64(2)])
+            inter = len(np.intersect1d(a, b))
+            if 185 * inter >= 85 * (len(a) + len(b)) and not np.array_equal(a, b):
+                x, y = (np.concatenate(bands.signatures(s)) for s in (a, b))
+                assert np.intersect1d(x, y).size
+
+
+def test_classes_odd(odd):
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.n_equal) for r in jaccard.similar_classes(odd).collect())
+    assert got[(1, 3, 1, 3)] == 2 and got[(7, 3, 1, 3)] == 1 and got[(2, 0, 2, 1)] == 1 and got[(3, 0, 3, 1)] == 1 and got[(6, 0, 6, 1)] == 1 and got[(5, 1, 5, 1)] == 1
+    assert jaccard.similar_classes(odd.limit(0)).count() == 0
+
+
+# ---- decontamination ----
+
+
+def plain_leaks(docs, items, least=0.8):
+    words = lambda t: regex.findall(r"[\p{L}\p{N}]+", t.lower())
+    out = {}
+    for i, t in items.items():
+        w = words(t)
+        width = min(5, len(w))
+        grams = lambda x: collections.Counter(tuple(x[k : k + width]) for k in range(len(x) - width + 1))
+        mine = grams(w)
+        for d, s in docs.items():
+            v = words(s)
+            best = 0.0
+            for k in range(len(v) - len(w) + 1 if w else 0):
+                g = grams(v[k : k + len(w)])
+                both = sum((g & mine).values())
+                if both:
+                    best = max(best, both / (2 * sum(mine.values()) - both))
+            if best >= least:
+                out[(d, i)] = round(best, 9)
+    return out
+
+
+def test_leaks_against_brute_force(spark, documents):
+    items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    short = spark.createDataFrame([(900, "idiot scum"), (901, ""), (902, None), (903, "the")], "item_id long, text string")
+    some = documents.filter("doc_id % 4 = 0")
+    items = items.filter("item_id % 3 = 0").union(short)
+    got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontaminate.leaks(some, items).collect()}
+    assert got == plain_leaks(texts(some), {r.item_id: r.text or "" for r in items.collect()})
+
+
+def test_blocks_cover_the_radius():
+    r = random.Random(2)
+    for _ in range(200):
+        a = r.getrandbits(64)
+        b = a
+        for i in r.sample(range(64), decontaminate.RADIUS):
+            b ^= 1 << i
+        at, agree = 0, False
+        for i in range(decontaminate.RADIUS + 1):
+            bits = 64 // (decontaminate.RADIUS + 1) + (i < 64 % (decontaminate.RADIUS + 1))
+            agree |= (a >> at) % (1 << bits) == (b >> at) % (1 << bits)
+            at += bits
+        assert agree and at == 64
+
+
+def test_leaks_odd(spark, odd):
+    items = spark.createDataFrame([(1, "B c D e, f"), (2, None), (3, "a b")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.start_word) for r in decontaminate.leaks(odd, items).collect()) == [(1, 1, 1), (1, 3, 0), (7, 1, 1), (7, 3, 0)]
+    assert decontaminate.leaks(odd.limit(0), items).count() == 0 and decontaminate.leaks(odd, items.limit(0)).count() == 0
+
+
+# ---- toxicity, language ----
+
+
+def test_toxicity_on_held_out_rows(spark):
+    rows = toxicity.op5_toxicity(spark, "/root/testdata/sf0.01").collect()
+    bad = re.compile(r"\b(moron|loser|scum|clown|stupid|idiot|pathetic|worthless|disgusting|trash)\b", re.I)
+    said = texts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    held = [(r.predicted, bool(bad.search(said[r.doc_id]))) for r in rows if r.held_out]
+    assert len(held) > 150 and sum(p == b for p, b in held) / len(held) > 0.95
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
+
+
+def test_toxicity_odd(spark, odd):
+    labels = spark.createDataFrame([(1, 1), (7, 0), (None, 1), (4, None)], "doc_id long, toxic int")
+    model = toxicity.learnt(odd, labels)
+    assert toxicity.score_toxicity(odd, model).count() == len(ROWS)
+    none = toxicity.learnt(odd, labels.limit(0))
+    assert {r.predicted for r in toxicity.score_toxicity(odd, none).collect()} == {0}
+    assert toxicity.score_toxicity(odd.limit(0), none).count() == 0
+    kept = toxicity.without_toxic(odd, none)
+    assert kept.columns == odd.columns and kept.count() == len(ROWS)
+
+
+def test_language_on_held_out_rows(spark):
+    rows = language.op9_language_id(spark, "/root/testdata/sf0.01").collect()
+    said = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    held = [r for r in rows if r.held_out]
+    assert held and sum(r.lang_pred == said[r.doc_id] for r in held) / len(held) > 0.98 and all(0 <= r.score <= 1 for r in rows)
+
+
+def test_language_odd(odd):
+    learn = odd.select("text", "lang", F.col("doc_id").alias("draw"))
+    got = {(r.doc_id, r.lang_pred, r.score) for r in language.identify(odd, learn).collect()}
+    assert got >= {(1, "en", 1.0), (2, "und", 0.0), (3, "und", 0.0), (6, "und", 0.0)}
+    assert {r.lang_pred for r in language.identify(odd, learn.limit(0)).collect()} == {"und"}
+    assert language.identify(odd.limit(0), learn).count() == 0
+
+
+# ---- mixing ----
+
+
+def plain_targets(sizes, weights=(5, 2, 1), cap=3):
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
+    w = {s: weights[i % 3] for i, s in enumerate(names)}
+    total, capped = sum(sizes.values()), set()
+    while True:
+        free = [s for s in names if s not in capped]
+        left = total - sum(cap * sizes[s] for s in capped)
+        over = [s for s in free if left * w[s] / sum(w[x] for x in free) > cap * sizes[s]]
+        if not over:
+            return {s: cap * sizes[s] if s in capped else left * w[s] / sum(w[x] for x in free) for s in names}
+        capped |= set(over)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mix_against_brute_force(spark, seed):
+    r = random.Random(seed)
+    rows = [(i, " ".join("w" * r.randint(1, 40)) if r.random() < 0.95 else None, r.choice(["a", "a", "a", "a", "b", "c", "ä", "d" if i % 40 == 0 else "a", None])) for i in range(400)]
+    got = mix.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    sizes = collections.Counter()
+    for _, t, s in rows:
+        sizes[s] += len((t or "").split())
+    targets, taken = plain_targets(sizes), collections.Counter()
+    for x in got:
+        assert x.target == pytest.approx(targets[x.source]) and x.source_size == sizes[x.source] and 0 <= x.taken <= 3 * x.size
+        taken[x.source] += x.taken
+    assert all(0 <= targets[s] - taken[s] < 1.001 for s in targets)
+
+
+def test_mix_odd(odd):
+    rows = mix.mix_sources(odd).collect()
+    assert len(rows) == len(ROWS) and {(r.doc_id, r.size) for r in rows} >= {(2, 0), (3, 0), (4, 8000), (5, 1), (6, 0)}
+    assert mix.mix_sources(odd.limit(0)).count() == 0
+    empty = mix.mix_sources(odd.filter("text is null or text = ''"))
+    assert {r.taken for r in empty.collect()} == {0}
+
+
+# ---- pages ----
+
+PAGE = """<html><body class="has-sidebar"><header class="site-header"><h1>Site</h1></header><div id="cookie-banner"><p>We use cookies, yes.</p></div>
+<div class="wrap"><div class="sidebar"><p>Side text, long enough to count, surely so, yes.</p></div><div class="content"><h2>Title &amp; more</h2>
+<p>First paragraph with text, commas, and length to count for the points.<p>Second <b>bo</b>ld one, also of fair length, with some commas.<ul><li>item one<li>item two</ul>
+<pre>code
+ here</pre><form><p>Name</p></form><div class="comments"><p>Nice article, I liked it, really, very much so indeed.</p></div></div></div><footer>foot</footer><script>if(a<b){"</p>"}</script></body></html>"""
+
+
+def test_main_text():
+    assert html.main_text(PAGE) == "Title & more First paragraph with text, commas, and length to count for the points. Second bold one, also of fair length, with some commas. item one item two code here"
+    assert html.main_text(None) == html.main_text("") == html.main_text("<nav>menu</nav>") == "" and html.main_text("<p>Hi &lt;there&gt;") == "Hi <there>"
+    for torn in ("<div>" * 20_000 + "x", '<a "' * 10_000, "<!--" * 10_000, "<b>" * 20_000 + "<p>" * 500):
+        html.main_text(torn)
+
+
+def test_articles_of_the_pages(spark):
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    got = {r.page_id: r for r in html.extract_text(pages.withColumn("text", F.lit(1))).collect()}
+    for r in pages.collect():
+        article = re.search(r"<article>(.*?)(</article>|<footer>|$)", r.html, re.S)[1]
+        import html as h
+
+        plain = re.sub(r"</?(b|a)\b[^>]*>", "", re.sub(r"</?(p|br|h1)\b[^>]*>", " ", article))
+        assert got[r.page_id].text == " ".join(h.unescape(plain).split()) and got[r.page_id].n_chars == len(got[r.page_id].text)
+    assert html.extract_text(pages.limit(0)).count() == 0
+
+
+# ---- fingerprints ----
+
+
+def test_fingerprints(spark, documents):
+    got = {r.doc_id: r for r in imatch.fingerprints(documents.withColumn("k", F.lit(1))).collect()}
+    rows = sorted(texts(documents).items(), reverse=True)
+    same = {}
+    for k, (i, t) in enumerate(rows):
+        after, half = rows[(k + 1) % len(rows)][1], len(t) // 2
+        assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()
+        assert same.setdefault(t, got[i].fingerprint) == got[i].fingerprint and 0 <= got[i].near_next <= 1
+    assert sum(r.near_edited for r in got.values()) > 3 * sum(r.near_next for r in got.values())
+
+
+def test_fingerprints_odd(spark, odd):
+    rows = imatch.fingerprints(odd).collect()
+    assert len(rows) == len(ROWS) and {(r.doc_id, r.n_chars) for r in rows} >= {(2, 0), (5, 60_000), (None, 17)}
+    assert imatch.fingerprints(odd.limit(0)).count() == 0
+    one = imatch.fingerprints(odd.filter("doc_id = 4")).first()
+    assert one.near_next == 1.0 and one.edited_sha256 == hashlib.sha256((LONG[: len(LONG) // 2] + LONG[: len(LONG) // 2]).encode()).hexdigest()
+
+
+# ---- chat ----
+
+
+def test_calls_levels_schemas_and_results(spark):
+    calls = spark.createDataFrame(
+        [(1, "a", "add", 0, '{"y":2, "x":1}', []), (1, "b", "add", 1, '{"x":"1"}', ["a"]), (1, "c", "add", 2, "[1]", ["a", "b", "zz"]), (1, "d", "sub", 3, "{}", ["c"]), (1, "e", "add", 4, '{"x":1,"y":2,"z":3}', ["f"]), (1, "f", "add", 5, '{"x":1,"y":2.5}', ["e"]), (1, "a", "zzz", 9, "no", []), (None, "q", "add", 0, None, []), (2, "a", "add", 0, '{"x":1,"y":null}', ["d"])],
+        "conv_id long, call_id string, name string, turn long, arguments string, depends_on array<string>",
+    )
+    results = spark.createDataFrame([(1, "a", 1, "3"), (1, "a", 2, "3"), (1, "lost", 5, "x"), (2, "a", 1, None), (None, "q", 1, "y")], "conv_id long, call_id string, turn long, content string")
+    schemas = chat.schema_table(spark, [("add", "x", "integer", True), ("add", "y", "number", True)])
+    rows = chat.link_calls(calls, results, schemas).collect()
+    by = {(r.conv_id, r.call_id): r for r in rows}
+    assert {k: by[(1, k)].level for k in "abcdef"} == {"a": 0, "b": 1, "c": 2, "d": 3, "e": None, "f": None}
+    assert by[(1, "a")].valid and by[(1, "a")].json.startswith('{"arguments":{"x":1,"y":2},"depends_on":[],"id":"a","name":"add","result":{"content":"3","turn":')
+    assert by[(1, "b")].problems == "x is no integer; missing y" and by[(1, "c")].problems == "arguments are no JSON object" and by[(1, "d")].problems == "unknown tool"
+    assert by[(1, "e")].problems == "unknown z; cycle" and by[(1, "f")].problems == "cycle" and by[(2, "a")].problems == "missing y"
+    assert sum(r.call_id == "a" and r.conv_id == 1 for r in rows) == 2 and by[(1, "lost")].name is None and len(rows) == 11
+    assert chat.link_calls(calls.limit(0), results.limit(0), schemas).count() == 0
+
+
+def test_long_chains_and_calls_in_texts(spark):
+    turns = [(1, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(60)] + [(2, 0, "user", "hi"), (2, 1, "assistant", '{"tool_calls":[{"id":"c1","name":"f","arguments":{"b":1,"a":[2]}}]}'), (2, 2, "tool", '{"tool_call_id":"c1","content":"ok"}'), (3, None, None, None)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    rows = chat.link_calls(*chat.turns_as_calls(df), chat.schema_table(spark)).collect()
+    assert {r.turn: r.level for r in rows if r.conv_id == 1} == {2 * i: i for i in range(30)}
+    own = next(r for r in rows if r.call_id == "c1")
+    assert own.json == '{"arguments":{"a":[2],"b":1},"depends_on":[],"id":"c1","name":"f","result":{"content":"ok","turn":2}}' and own.result_turn == 2
+
+
+# ---- pipeline ----
+
+
+def test_pipeline(spark):
+    out = corpus_pipeline.run(spark, SMALL).collect()
+    docs = texts(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    model = toxicity.learnt(spark.read.parquet(f"{SMALL}/documents.parquet"), labels)
+    by = model.lengths()
+    left = {i: t for i, t in docs.items() if not t or model.score(toxicity.features(t, by)) < 0.5}
+    classes = plain_classes(left, 5, 80, 100)
+    left = {i: t for i, t in left.items() if classes[i][1] == i}
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
+    gone = {d for d, _ in plain_leaks(left, items)}
+    left = {i: t for i, t in left.items() if i not in gone}
+    assert {r.doc_id for r in out} <= set(left) and len(out) > 0.3 * len(left)
+    taken, targets = collections.Counter(), {}
+    for r in out:
+        taken[r.source] += r.taken
+        targets[r.source] = r.target
+    assert all(0 <= targets[s] - taken[s] < 1.001 for s in taken)
+
+
+def test_pipeline_stages_odd(spark, odd):
+    docs = odd.select(*corpus_pipeline.COLUMNS)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), SMALL).count() == 0, name
+        assert stage(spark, docs, SMALL).columns == docs.columns, name
+    stay = collections.Counter(r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, SMALL).collect())
+    assert stay == {1: 1, 2: 1, 3: 1, None: 1, 4: 1, 5: 1, 6: 1}
