@@ -9,7 +9,8 @@ sets that link share a signature for certain: nothing is lost. Sets that share o
 Texts with equal sets are one node. Of a group of nodes with one signature only a star (each with the smallest) is looked at
 first; the links found give components, and then, wherever a signature is shared by different components, the pairs
 across them. Pairs within a component can add nothing, so large groups of near copies don't cost the square of their size,
-and every link between components is still found.
+and every link between components is still found. Two nodes that were both compared with one centre share no more than the
+smaller of their parts of it and the elements that both have beside it, which rules most pairs out without forming them.
 
 A range that agrees in no choice of parts holds two differences at least, one that agrees in some holds one; so a pair with
 few common signatures differs in more than a link may, and is never compared. The count is free: pairs are gathered from
@@ -36,6 +37,8 @@ PARTS, MAY_DIFFER = 3, 1
 BAND = 1.6
 #: The low bits of a signature, which hold the number of its band.
 BAND_BITS = np.uint64(63)
+#: A star's pair is measured if it shares so much of what a link must share: measured pairs are what clusters decide by.
+STAR_SHARE = 0.4
 #: Rows up to which a side (16 bytes a row) is broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -177,18 +180,21 @@ class _Comparison:
         bands = Bands(similarity)
         self.ranges = F.create_map(*[F.lit(x) for i in range(int(BAND_BITS) + 1) for x in (i, bands.ranges(i))])
 
-    def promising(self, shared: DataFrame) -> DataFrame:
-        """From rows (a, b, signature), one for each signature that a pair shares, the pairs that may be links by their sizes and by the count."""
+    def promising(self, shared: DataFrame, share: float = 1.0) -> DataFrame:
+        """From rows (a, b, signature), one for each signature that a pair shares, the pairs that may be links by their sizes and by the count.
+
+        share: of the signatures that a link must share at least; below 1 other pairs that are much alike come too.
+        """
         a, b = (self.nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("band").alias(f"band_{x}")) for x in "ab")
         # Kept per pair and band: a pair's own band is that of its larger set.
         counts = shared.groupBy("a", "b", F.expr(f"cast(signature & {int(BAND_BITS)} as int)").alias("band")).agg(F.count("*").alias("common"))
         sized = counts.join(a, "a").join(b, "b").filter("band = greatest(band_a, band_b)")
         sized = sized.filter(F.least("n_a", "n_b") * self.den >= F.greatest("n_a", "n_b") * self.num)
         most = F.floor((F.col("n_a") + F.col("n_b")) * (self.den - self.num) / (self.den + self.num))
-        return sized.filter(F.col("common") >= 2 * self.ranges[F.col("band")] - most - PARTS).select("a", "b")
+        return sized.filter(F.col("common") >= share * (2 * self.ranges[F.col("band")] - most - PARTS)).select("a", "b")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose sets reach the similarity."""
+    def sets(self, pairs: DataFrame) -> DataFrame:
+        """(node, shingles) of the nodes in the pairs."""
         spark, width = pairs.sparkSession, self.width
 
         def set_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,10 +209,47 @@ class _Comparison:
         few = needed.count() <= BROADCAST_ROWS
         arrow_batches(spark)
         rows = self.texts.join(F.broadcast(needed) if few else needed, "doc_id").select("node", "text")
-        sets = written(rows.mapInArrow(set_arrays, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+        return written(rows.mapInArrow(set_arrays, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+
+    def measured(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, common, n_a, n_b, extra): elements the sets have in common, their sizes, and those of b that a lacks."""
+        sets = self.sets(pairs)
         a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
-        inter: Column = F.size(F.array_intersect("set_a", "set_b"))
-        return pairs.join(a, "a").join(b, "b").filter(inter * (self.num + self.den) >= self.num * (F.size("set_a") + F.size("set_b"))).select("a", "b")
+        extra = F.array_except("set_b", "set_a")
+        joined = pairs.join(a, "a").join(b, "b").select("a", "b", F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"), extra.alias("extra"))
+        return joined.select("a", "b", (F.col("n_b") - F.size("extra")).alias("common"), "n_a", "n_b", "extra")
+
+    def linked(self, common: str, n_a: str, n_b: str) -> Column:
+        """Whether so many common elements make a link of sets of these sizes."""
+        return F.expr(f"({common}) * {self.num + self.den} >= ({n_a} + {n_b}) * {self.num}")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose sets reach the similarity."""
+        return self.measured(pairs).filter(self.linked("common", "n_a", "n_b")).select("a", "b")
+
+
+def _across_clusters(known: DataFrame, compare: _Comparison) -> DataFrame:
+    """Pairs (a, b) with different labels that may be links, of nodes compared with one centre before.
+
+    known: (c, node, common, n, extra, label), the centre itself among them. What two nodes share lies within the centre, and
+    there is no more of it than the smaller of their two common parts, or among the elements both have beside it, which an
+    equi-join counts. Nodes that fall short of the centre on their own seldom reach each other, so few pairs are left.
+    """
+    labels = known.groupBy("c").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least")).filter("low <> high")
+    known = written(known.join(labels, "c").drop("low", "high"), "known")
+    side = lambda df, x: df.select(*[F.col(c).alias(c if c in ("c", "e") else f"{c}_{x}") for c in df.columns])
+    differ = "label_x <> label_y AND node_x < node_y"
+
+    beside = known.select("c", "node", "common", "n", "label", F.explode("extra").alias("e"))
+    shared = beside.groupBy("c", "e").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("c", "e")
+    beside = written(beside.join(shared, ["c", "e"]), "beside")
+    by_extra = side(beside, "x").join(side(beside, "y"), ["c", "e"]).filter(differ)
+    by_extra = by_extra.groupBy("c", "node_x", "node_y", "common_x", "common_y", "n_x", "n_y").agg(F.count("*").alias("more")).filter(compare.linked("least(common_x, common_y) + more", "n_x", "n_y"))
+
+    # Without a common extra: only nodes that, with what they share with the centre, could reach the smallest of the cluster.
+    able = known.filter(compare.linked("common", "n", "least")).select("c", "node", "common", "n", "label")
+    within = side(able, "x").join(side(able, "y"), "c").filter(F.expr(differ) & compare.linked("least(common_x, common_y)", "n_x", "n_y"))
+    return by_extra.select("node_x", "node_y").union(within.select("node_x", "node_y")).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
 def similar_classes(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -237,18 +280,29 @@ def similar_classes(docs: DataFrame, width: int = WIDTH, similarity: tuple[int,
     company = groups.join(sizes, "signature").groupBy("node").agg(F.sum("size").alias("company"))
     ranked = groups.join(company, "node").select("signature", "node", F.struct("company", "node").alias("rank"))
     centers = ranked.groupBy("signature").agg(F.max("rank").alias("top")).select("signature", F.col("top.node").alias("a"))
+    centers = written(centers, "centers")
     star = groups.join(centers, "signature").filter("a <> node").select("a", F.col("node").alias("b"), "signature")
-    star = written(compare.promising(star).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")
-    links = written(compare.links(star), "links")
+    star = written(compare.measured(written(compare.promising(star, STAR_SHARE), "star")), "measured")
+    links = written(star.filter(compare.linked("common", "n_a", "n_b")).select("a", "b"), "links")
     labels = written(connected(links), "labels")
 
-    placed = groups.join(labels, "node", "left").select("signature", "node", F.coalesce("label", "node").alias("label"))
-    several = placed.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.mode("label", True).alias("main")).filter("low <> high")
-    open_rows = written(placed.join(several, "signature").select("signature", "node", "label", (F.col("label") == F.col("main")).alias("in_main")), "open")
-    x, y = open_rows.filter("not in_main").alias("x"), open_rows.alias("y")
-    across = x.join(y, F.expr("x.signature = y.signature AND x.label <> y.label AND (y.in_main OR x.node < y.node)"))
-    across = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), "x.signature")
-    across = written(compare.promising(across).join(star, ["a", "b"], "left_anti"), "across")
+    own = nodes.join(labels, "node", "left").select("node", F.col("n_shingles").cast("int").alias("n"), F.coalesce("label", "node").alias("label"))
+    own = written(own, "own")
+    placed = groups.join(own.select("node", "label"), "node").join(centers.withColumnRenamed("a", "c"), "signature")
+    several = placed.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("signature")
+    met = star.select(F.col("a").alias("c"), F.col("b").alias("node"), F.lit(True).alias("met"))
+    open_rows = placed.join(several, "signature").join(met, ["c", "node"], "left")
+    open_rows = written(open_rows.select("signature", "c", "node", "label", (F.coalesce("met", F.lit(False)) | (F.col("node") == F.col("c"))).alias("met")), "open")
+
+    # Members that were never compared with their centre meet all others of their groups; of a pair whose two have been, in
+    # any group, the cluster decides, so that a pair counted short here is decided there.
+    x, y = open_rows.filter("not met").alias("x"), open_rows.alias("y")
+    strange = x.join(y, F.expr("x.signature = y.signature AND x.label <> y.label AND (y.met OR x.node < y.node)"))
+    strange = compare.promising(strange.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), "x.signature"))
+    hubs = open_rows.select("c").distinct()
+    known = star.select(F.col("a").alias("c"), F.col("b").alias("node"), "common", "extra").union(hubs.join(own, F.col("c") == F.col("node")).select("c", "node", F.col("n").alias("common"), F.array().cast("array<bigint>")))
+    known = known.join(hubs, "c", "left_semi").join(own, "node").select("c", "node", "common", "n", "extra", "label")
+    across = written(strange.union(_across_clusters(known, compare)).distinct(), "across")
     more = written(compare.links(across), "links")
     if not more.isEmpty():
         labels = written(connected(links.union(more)), "labels")
