@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from ..functions.columns import COMPONENTS
 
 # The format's names.
-MANIFEST = "mzpeak_index.json"
+MANIFEST, ARCHIVE_SUFFIX = "mzpeak_index.json", ".mzpeak"
 SPECTRA, SIGNALS, PEAKS = ("spectrum", "metadata"), ("spectrum", "data arrays"), ("spectrum", "peaks")
 CHROMATOGRAMS, CHROMATOGRAM_SIGNALS = ("chromatogram", "metadata"), ("chromatogram", "data arrays")
 WAVELENGTHS, WAVELENGTH_SIGNALS = ("wavelength spectrum", "metadata"), ("wavelength spectrum", "data arrays")

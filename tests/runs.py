@@ -7,6 +7,8 @@ import zipfile
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from ionloom.sources.manifest import MANIFEST
+
 PARAM = pa.struct([("value", pa.struct([("integer", pa.int64()), ("float", pa.float64()), ("string", pa.string()), ("boolean", pa.bool_())])), ("accession", pa.string()), ("name", pa.string()), ("unit", pa.string())])
 SPECTRUM = pa.struct([("index", pa.uint64()), ("id", pa.large_string()), ("MS_1000511_ms_level", pa.uint8()), ("time", pa.float32()), ("MS_1000465_scan_polarity", pa.int8()), ("MS_1000525_spectrum_representation", pa.string()), ("mz_delta_model", pa.large_list(pa.float64())), ("parameters", pa.large_list(PARAM))])
 WINDOW = pa.struct([("MS_1000501_scan_window_lower_limit_unit_MS_1000040", pa.float64()), ("MS_1000500_scan_window_upper_limit_unit_MS_1000040", pa.float64())])
@@ -75,7 +77,7 @@ def write_run(folder, signals=SIGNALS, layout="point", footer=None):
     table(f"{folder}/wd.parquet", point=([{"wavelength_spectrum_index": 7, "wavelength": 210.0 + k, "intensity": -0.5 * k} for k in range(3)], pa.struct([("wavelength_spectrum_index", pa.uint64()), ("wavelength", pa.float64()), ("intensity", pa.float64())])))
     roles = [("d", "spectrum", "data arrays"), ("p", "spectrum", "peaks"), ("m", "spectrum", "metadata"), ("cm", "chromatogram", "metadata"), ("cd", "chromatogram", "data arrays"), ("wm", "wavelength spectrum", "metadata"), ("wd", "wavelength spectrum", "data arrays")]
     settings = [{"id": "s", "parameters": [{"name": "px", "accession": "IMS:1000042", "value": "12", "unit_accession": None}, {"name": "size", "accession": "IMS:1000046", "value": "2.5", "unit_accession": "UO:1"}]}]
-    with open(f"{folder}/mzpeak_index.json", "w") as f:
+    with open(f"{folder}/{MANIFEST}", "w") as f:
         json.dump({"files": [{"name": f"{n}.parquet", "entity_type": e, "data_kind": k} for n, e, k in roles], "metadata": {"version": "v", "scan_settings_list": settings}}, f)
     return folder
 

@@ -8,8 +8,8 @@ from ionloom import tools
 from ionloom.functions import columns as C
 from ionloom.run import open_run
 from ionloom.sources import sinks
-from ionloom.sources.manifest import Manifest, RunError
-from runs import SIGNALS, write_run, zipped
+from ionloom.sources.manifest import ARCHIVE_SUFFIX, VERSION, Manifest, RunError
+from runs import write_run, zipped
 
 FILLED = {0: [100.0, 100.5, 101.0, 101.5, 102.0], 3: [99.75, 100.0, 100.25, 100.5, 100.75, 101.0]}
 
@@ -32,7 +32,7 @@ def folder(tmp_path_factory):
 def test_layouts_and_containers_agree(spark, tmp_path, layout, container):
     path = write_run(str(tmp_path / "run"), layout=layout)
     if container != "dir":
-        path = zipped(path, str(tmp_path / "run.mzpeak"), zipfile.ZIP_STORED if container == "zip" else zipfile.ZIP_DEFLATED)
+        path = zipped(path, str(tmp_path / "run.zip"), zipfile.ZIP_STORED if container == "zip" else zipfile.ZIP_DEFLATED)
     with open_run(spark, path) as run:
         got = arrays(run)
         assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in EXPECTED.items()}
@@ -102,7 +102,7 @@ def test_validate(spark, folder, tmp_path):
 @pytest.mark.parametrize("container", ["dir", "zip"])
 def test_write_and_reopen(spark, folder, tmp_path, layout, intensity, container):
     run = open_run(spark, folder)
-    path = str(tmp_path / "out.mzpeak")
+    path = str(tmp_path / "out")
     sinks.write_run(run.metadata(), run.points(), path, run.chromatograms(), container, layout, intensity, run.file_metadata())
     again = open_run(spark, path)
     got = arrays(again)
@@ -111,14 +111,14 @@ def test_write_and_reopen(spark, folder, tmp_path, layout, intensity, container)
         written = got[i] if layout == "point" or i not in (1,) else tuple(map(list, zip(*sorted(zip(*got[i])))))
         assert written[0] == pytest.approx([mz[k] for k in order], abs=1e-5) and written[1] == pytest.approx([values[k] for k in order], rel=1e-3, abs=1e-3)
     assert {r.chromatogram_index: r.intensity for r in again.chromatograms().collect()} == {0: [0, 1, 2], 1: []}
-    assert again.file_metadata()["run"]["id"] == "r" and again.manifest.version == "mzpeak-0.9"
+    assert again.file_metadata()["run"]["id"] == "r" and again.manifest.version == VERSION
     assert {r.spectrum_index: len(r.precursors) for r in again.metadata().collect()} == {0: 0, 1: 1, 2: 1, 3: 0, 4: 1, 5: 1}
 
 
 def test_tools(spark, folder, tmp_path):
     run = open_run(spark, folder)
-    tools.extract(run, str(tmp_path / "ms1.mzpeak"), levels=[1])
-    assert sorted(r.spectrum_index for r in open_run(spark, str(tmp_path / "ms1.mzpeak")).metadata().collect()) == [0, 3]
+    tools.extract(run, str(tmp_path / f"ms1{ARCHIVE_SUFFIX}"), levels=[1])
+    assert sorted(r.spectrum_index for r in open_run(spark, str(tmp_path / f"ms1{ARCHIVE_SUFFIX}")).metadata().collect()) == [0, 3]
     tools.to_dta(run, str(tmp_path / "dta"))
     texts = {r.name: r.value for r in sinks.dta_texts(run.spectra(), "point.x").collect()}
     assert texts["point.6.6.3.dta"] == "447.98545 3\n200.00000 1.0000\n300.00000 1.0000\n400.00000 1.0000" and set(texts) == {"point.2.2.2.dta", "point.3.3.1.dta", "point.6.6.3.dta"}
@@ -159,5 +159,3 @@ def test_chunk_errors(spark):
     none = chunks.delta_points(bad.limit(0))
     assert none.filter(F.lit(True)).count() == 0
 
-
-assert SIGNALS
