@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import peaks
 from ..functions import columns as C
 from ..operators import analytics, chunks, facets, gaps, lookups
+from ..run import open_run
+from ..sources import sinks, tables
+from ..sources.storage import shared_dir
 from . import analog as A
 from .analog import BASE, ORDER
 
@@ -413,3 +418,30 @@ def duplicate_indices(spark, d):
     return analytics.duplicate_indices(A.metadata(spark, d).select(F.col("cust").alias("spectrum_index")))
 
 
+
+
+# ---- runs ----
+
+
+def _rewritten(spark, d, layout: str):
+    """The analog run written as an archive and opened again."""
+    m = A.metadata(spark, d).withColumn("polarity", C.polarity("polarity_code")).withColumn("continuity", C.continuity("representation"))
+    ion = F.struct(F.col("ion_mz").alias("mz"), F.col("charge").cast("int").alias("charge"), F.lit(None).cast("double").alias("intensity"), F.array().cast(f"array<{C.PARAM}>").alias("params"))
+    made = F.array(F.struct(F.lit(None).cast("struct<precursor_index: bigint, precursor_id: string, isolation_window: struct<target_mz: double, lower_offset: double, upper_offset: double>, activation: array<" + C.PARAM + ">>").alias("precursor"), F.array(ion).alias("ions")))
+    m = m.withColumn("scans", F.array().cast(tables.SCANS)).withColumn("precursors", F.when(C.is_msn("ms_level"), made).otherwise(F.array().cast(tables.PRECURSORS))).withColumn("params", F.array().cast(f"array<{C.PARAM}>"))
+    path = f"{shared_dir(spark).removeprefix('file://').removeprefix('file:')}/ionloom-{uuid.uuid4().hex}"
+    sinks.write_run(m, A.points(spark, d).withColumn("ordinal", F.struct(*ORDER)), path, container="zip", layout=layout)
+    return open_run(spark, path)
+
+
+@query(f"SELECT spectrum_index, pos, mz, intensity FROM ({PLACED})")
+def archive_roundtrip(spark, d):
+    p = _rewritten(spark, d, "point").points()
+    place = F.row_number().over(Window.partitionBy("spectrum_index").orderBy("ordinal")) - 1
+    return p.select("spectrum_index", place.cast("long").alias("pos"), "mz", "intensity")
+
+
+@query("SELECT spectrum_index, id, ms_level, rt, CASE WHEN polarity_code > 0 THEN 'POSITIVE' WHEN polarity_code < 0 THEN 'NEGATIVE' ELSE 'UNKNOWN' END AS polarity, CASE WHEN ms_level > 1 THEN ion_mz END AS ion_mz, CASE WHEN ms_level > 1 THEN CAST(charge AS INTEGER) END AS charge FROM meta")
+def archive_metadata(spark, d):
+    m = _rewritten(spark, d, "numpress").metadata()
+    return m.withColumn("ion", C.primary(C.primary("precursors")["ions"])).select("spectrum_index", "id", "ms_level", "rt", "polarity", F.col("ion.mz").alias("ion_mz"), F.col("ion.charge").alias("charge"))

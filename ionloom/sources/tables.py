@@ -23,6 +23,9 @@ ISOLATION = ("MS_1000827_isolation_window_target_mz", "MS_1000828_isolation_wind
 ION_MZ, ION_CHARGE, ION_INTENSITY = "MS_1000744_selected_ion_mz_unit_MS_1000040", "MS_1000041_charge_state", "MS_1000042_intensity_unit_MS_1000131"
 MOBILITY, MOBILITY_TYPE, X, Y = "ion_mobility_value", "ion_mobility_type", "IMS_1000050_position_x", "IMS_1000051_position_y"
 CHROMATOGRAM_TYPE, LAMBDA_MAX = "MS_1000626_chromatogram_type", "MS_1003812_lambda_max_unit_UO:0000018"
+#: The types of a description's scans and precursors.
+SCANS = f"array<struct<start_time: double, injection_time: double, filter_string: string, preset_scan_configuration: int, instrument_configuration_ref: int, spectrum_reference: string, windows: array<struct<lower: double, upper: double>>, params: array<{C.PARAM}>>>"
+PRECURSORS = f"array<struct<precursor: struct<precursor_index: bigint, precursor_id: string, isolation_window: struct<target_mz: double, lower_offset: double, upper_offset: double>, activation: array<{C.PARAM}>>, ions: array<struct<mz: double, charge: int, intensity: double, params: array<{C.PARAM}>>>>>"
 #: Keys are unsigned in the format; one above this has its high bit set.
 TOP_KEY = 2**63 - 1
 
