@@ -2,7 +2,7 @@
 
 Sets are put into bands of like size. Two sets that reach the similarity and lie in one band, or in neighbouring ones,
 differ in at most k elements, k known from the band. The hashed domain of shingles is cut into n1 ranges and each of these
-into n2; by counting, at least two of the n1 ranges hold no more than k2 differences, and there some n2 - k2 of the n2 parts
+into n2; by counting, at least a few of the n1 ranges hold no more than k2 differences, and there some n2 - k2 of the n2 parts
 agree entirely. So a set's signatures are, for every range, the hashes of what it holds in each choice of n2 - k2 parts, and
 sets that link share a signature for certain: nothing is lost. Sets that share one are then compared exactly.
 
@@ -24,7 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, release, table, written
@@ -33,8 +33,10 @@ from .shingles import PLACES, mixed, set_hash, shingle_set
 WIDTH, SIMILARITY = 5, (80, 100)
 #: Parts of a range, and how many of them may differ.
 PARTS, MAY_DIFFER = 3, 1
+#: Ranges beyond those that counting needs. A link then shares a few signatures, and not just one.
+SPARE = 3
 #: A band's largest size over its smallest; at least the inverse of the similarity.
-BAND = 1.6
+BAND = 1.4
 #: The low bits of a signature, which hold the number of its band.
 BAND_BITS = np.uint64(63)
 #: A star's pair is measured if it shares so much of what a link must share: measured pairs are what clusters decide by.
@@ -68,8 +70,8 @@ class Bands:
         return 2 * self.top(i) * (self.den - self.num) // (self.den + self.num)
 
     def ranges(self, i: int) -> int:
-        """Ranges of the domain in a band; one more than counting needs, so that two of them agree."""
-        return -(-(self.differ(i) + 1) // (MAY_DIFFER + 1)) + 1
+        """Ranges of the domain in a band: SPARE more than counting needs, so that so many more of them agree."""
+        return -(-(self.differ(i) + 1) // (MAY_DIFFER + 1)) + SPARE
 
     def signatures(self, shingles: np.ndarray) -> list[np.ndarray]:
         out = []
@@ -178,7 +180,14 @@ class _Comparison:
     def __init__(self, texts: DataFrame, nodes: DataFrame, width: int, similarity: tuple[int, int]):
         self.texts, self.nodes, self.width, (self.num, self.den) = texts, nodes, width, similarity
         bands = Bands(similarity)
-        self.ranges = F.create_map(*[F.lit(x) for i in range(int(BAND_BITS) + 1) for x in (i, bands.ranges(i))])
+        every = range(int(BAND_BITS) + 1)
+        self.ranges = F.create_map(*[F.lit(x) for i in every for x in (i, bands.ranges(i))])
+        self.tops = F.create_map(*[F.lit(x) for i in every for x in (i, bands.top(i))])
+
+    def shares(self, n: str, band: Column) -> Column:
+        """Signatures of a band that a set of n elements shares with any set that it links to in that band, at least."""
+        other = F.least(F.floor(F.col(n) * self.den / self.num), self.tops[band].cast("bigint"))
+        return 2 * self.ranges[band] - F.floor((F.col(n) + other) * (self.den - self.num) / (self.den + self.num)) - PARTS
 
     def promising(self, shared: DataFrame, share: float = 1.0) -> DataFrame:
         """From rows (a, b, signature), one for each signature that a pair shares, the pairs that may be links by their sizes and by the count.
@@ -288,17 +297,26 @@ def similar_classes(docs: DataFrame, width: int = WIDTH, similarity: tuple[int,
 
     own = nodes.join(labels, "node", "left").select("node", F.col("n_shingles").cast("int").alias("n"), F.coalesce("label", "node").alias("label"))
     own = written(own, "own")
-    placed = groups.join(own.select("node", "label"), "node").join(centers.withColumnRenamed("a", "c"), "signature")
-    several = placed.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("signature")
+    placed = groups.join(own, "node").join(centers.withColumnRenamed("a", "c"), "signature")
+    several = placed.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).filter("low <> high").select("signature", "size")
     met = star.select(F.col("a").alias("c"), F.col("b").alias("node"), F.lit(True).alias("met"))
     open_rows = placed.join(several, "signature").join(met, ["c", "node"], "left")
-    open_rows = written(open_rows.select("signature", "c", "node", "label", (F.coalesce("met", F.lit(False)) | (F.col("node") == F.col("c"))).alias("met")), "open")
-
-    # Members that were never compared with their centre meet all others of their groups; of a pair whose two have been, in
-    # any group, the cluster decides, so that a pair counted short here is decided there.
-    x, y = open_rows.filter("not met").alias("x"), open_rows.alias("y")
-    strange = x.join(y, F.expr("x.signature = y.signature AND x.label <> y.label AND (y.met OR x.node < y.node)"))
-    strange = compare.promising(strange.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), "x.signature"))
+    open_rows = written(open_rows.select("signature", "size", "c", "node", "n", "label", (F.coalesce("met", F.lit(False)) | (F.col("node") == F.col("c"))).alias("met")), "open")
+
+    # Members that were never compared with their centre meet others of their groups. A node that shares t signatures with
+    # whatever it links to may leave out its t - 1 commonest: one of the others is still shared. Of a pair whose two have been
+    # compared with the centre, in any group, the cluster decides.
+    num, den = similarity
+    band = F.expr(f"cast(signature & {int(BAND_BITS)} as int)")
+    by_size = Window.partitionBy("node", "band").orderBy(F.desc("size"), "signature")
+    rare = open_rows.withColumn("band", band).withColumn("rank", F.row_number().over(by_size)).filter(F.col("rank") >= compare.shares("n", F.col("band")))
+    rare = written(rare.select("signature", "node", "n", "label", "met"), "rare")
+    x, y = rare.filter("not met").alias("x"), rare.alias("y")
+    strange = x.join(y, F.expr(f"x.signature = y.signature AND x.label <> y.label AND (y.met OR x.node < y.node) AND least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num}"))
+    strange = written(strange.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "strange")
+    theirs = open_rows.select("signature", "node")
+    common = strange.join(theirs.withColumnRenamed("node", "a"), "a").join(theirs.withColumnRenamed("node", "b"), ["b", "signature"])
+    strange = compare.promising(common.select("a", "b", "signature"))
     hubs = open_rows.select("c").distinct()
     known = star.select(F.col("a").alias("c"), F.col("b").alias("node"), "common", "extra").union(hubs.join(own, F.col("c") == F.col("node")).select("c", "node", F.col("n").alias("common"), F.array().cast("array<bigint>")))
     known = known.join(hubs, "c", "left_semi").join(own, "node").select("c", "node", "common", "n", "extra", "label")
