@@ -176,7 +176,7 @@ def first_n(spark, d):
   FROM meta m LEFT JOIN point p USING (spectrum_index) GROUP BY 1""")
 def facet_join(spark, d):
     rows = A.points(spark, d).select(F.col("spectrum_index").alias("source_index"), F.struct("line", "price").alias("row_no"), "line")
-    loose = rows.limit(1).select(F.lit(None).cast("long").alias("source_index"), "row_no", "line")  # a placeholder row
+    loose = spark.range(1).select(*[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])  # a placeholder row
     scans = facets.gathered(rows.union(loose), F.col("line"), "scans")
     return facets.facet_join(A.metadata(spark, d), scans=scans).select("spectrum_index", F.size("scans").cast("long").alias("n"), F.array_join(F.transform("scans", lambda x: x.cast("string")), ",").alias("lines"))
 
