@@ -305,14 +305,16 @@ def similar_classes(docs: DataFrame, width: int = WIDTH, similarity: tuple[int,
 
     # Members that were never compared with their centre meet others of their groups. A node that shares t signatures with
     # whatever it links to may leave out its t - 1 commonest: one of the others is still shared. Of a pair whose two have been
-    # compared with the centre, in any group, the cluster decides.
+    # compared with one centre, in whatever group, the cluster decides.
     num, den = similarity
     band = F.expr(f"cast(signature & {int(BAND_BITS)} as int)")
     by_size = Window.partitionBy("node", "band").orderBy(F.desc("size"), "signature")
     rare = open_rows.withColumn("band", band).withColumn("rank", F.row_number().over(by_size)).filter(F.col("rank") >= compare.shares("n", F.col("band")))
-    rare = written(rare.select("signature", "node", "n", "label", "met"), "rare")
+    compared = star.select(F.col("a").alias("c"), F.col("b").alias("node")).union(star.select("a", "a")).groupBy("node").agg(F.collect_set("c").alias("with"))
+    rare = rare.select("signature", "node", "n", "label", "met").join(compared, "node", "left").withColumn("with", F.coalesce("with", F.array().cast("array<bigint>")))
+    rare = written(rare, "rare")
     x, y = rare.filter("not met").alias("x"), rare.alias("y")
-    strange = x.join(y, F.expr(f"x.signature = y.signature AND x.label <> y.label AND (y.met OR x.node < y.node) AND least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num}"))
+    strange = x.join(y, F.expr(f"x.signature = y.signature AND x.label <> y.label AND (y.met OR x.node < y.node) AND least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num} AND NOT arrays_overlap(x.with, y.with)"))
     strange = written(strange.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "strange")
     theirs = open_rows.select("signature", "node")
     common = strange.join(theirs.withColumnRenamed("node", "a"), "a").join(theirs.withColumnRenamed("node", "b"), ["b", "signature"])
