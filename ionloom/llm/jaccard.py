@@ -189,14 +189,13 @@ class _Comparison:
         other = F.least(F.floor(F.col(n) * self.den / self.num), self.tops[band].cast("bigint"))
         return 2 * self.ranges[band] - F.floor((F.col(n) + other) * (self.den - self.num) / (self.den + self.num)) - PARTS
 
-    def promising(self, shared: DataFrame, share: float = 1.0) -> DataFrame:
-        """From rows (a, b, signature), one for each signature that a pair shares, the pairs that may be links by their sizes and by the count.
+    def promising(self, counts: DataFrame, share: float = 1.0) -> DataFrame:
+        """From rows (a, b, band, common), common being the signatures of the band that a pair shares, the pairs that may be links by their sizes and by the count.
 
         share: of the signatures that a link must share at least; below 1 other pairs that are much alike come too.
         """
         a, b = (self.nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("band").alias(f"band_{x}")) for x in "ab")
         # Kept per pair and band: a pair's own band is that of its larger set.
-        counts = shared.groupBy("a", "b", F.expr(f"cast(signature & {int(BAND_BITS)} as int)").alias("band")).agg(F.count("*").alias("common"))
         sized = counts.join(a, "a").join(b, "b").filter("band = greatest(band_a, band_b)")
         sized = sized.filter(F.least("n_a", "n_b") * self.den >= F.greatest("n_a", "n_b") * self.num)
         most = F.floor((F.col("n_a") + F.col("n_b")) * (self.den - self.num) / (self.den + self.num))
@@ -290,7 +289,8 @@ def similar_classes(docs: DataFrame, width: int = WIDTH, similarity: tuple[int,
     ranked = groups.join(company, "node").select("signature", "node", F.struct("company", "node").alias("rank"))
     centers = ranked.groupBy("signature").agg(F.max("rank").alias("top")).select("signature", F.col("top.node").alias("a"))
     centers = written(centers, "centers")
-    star = groups.join(centers, "signature").filter("a <> node").select("a", F.col("node").alias("b"), "signature")
+    band = F.expr(f"cast(signature & {int(BAND_BITS)} as int)").alias("band")
+    star = groups.join(centers, "signature").filter("a <> node").groupBy("a", F.col("node").alias("b"), band).agg(F.count("*").alias("common"))
     star = written(compare.measured(written(compare.promising(star, STAR_SHARE), "star")), "measured")
     links = written(star.filter(compare.linked("common", "n_a", "n_b")).select("a", "b"), "links")
     labels = written(connected(links), "labels")
@@ -307,7 +307,6 @@ def similar_classes(docs: DataFrame, width: int = WIDTH, similarity: tuple[int,
     # whatever it links to may leave out its t - 1 commonest: one of the others is still shared. Of a pair whose two have been
     # compared with one centre, in whatever group, the cluster decides.
     num, den = similarity
-    band = F.expr(f"cast(signature & {int(BAND_BITS)} as int)")
     by_size = Window.partitionBy("node", "band").orderBy(F.desc("size"), "signature")
     rare = open_rows.withColumn("band", band).withColumn("rank", F.row_number().over(by_size)).filter(F.col("rank") >= compare.shares("n", F.col("band")))
     compared = star.select(F.col("a").alias("c"), F.col("b").alias("node")).union(star.select("a", "a")).groupBy("node").agg(F.collect_set("c").alias("with"))
@@ -316,9 +315,9 @@ def similar_classes(docs: DataFrame, width: int = WIDTH, similarity: tuple[int,
     x, y = rare.filter("not met").alias("x"), rare.alias("y")
     strange = x.join(y, F.expr(f"x.signature = y.signature AND x.label <> y.label AND (y.met OR x.node < y.node) AND least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num} AND NOT arrays_overlap(x.with, y.with)"))
     strange = written(strange.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "strange")
-    theirs = open_rows.select("signature", "node")
-    common = strange.join(theirs.withColumnRenamed("node", "a"), "a").join(theirs.withColumnRenamed("node", "b"), ["b", "signature"])
-    strange = compare.promising(common.select("a", "b", "signature"))
+    held = written(open_rows.groupBy("node", band).agg(F.collect_list("signature").alias("held")), "held")
+    theirs = strange.join(held.select(F.col("node").alias("a"), "band", F.col("held").alias("held_a")), "a").join(held.select(F.col("node").alias("b"), "band", F.col("held").alias("held_b")), ["b", "band"])
+    strange = compare.promising(theirs.select("a", "b", "band", F.size(F.array_intersect("held_a", "held_b")).alias("common")))
     hubs = open_rows.select("c").distinct()
     known = star.select(F.col("a").alias("c"), F.col("b").alias("node"), "common", "extra").union(hubs.join(own, F.col("c") == F.col("node")).select("c", "node", F.col("n").alias("common"), F.array().cast("array<bigint>")))
     known = known.join(hubs, "c", "left_semi").join(own, "node").select("c", "node", "common", "n", "extra", "label")
