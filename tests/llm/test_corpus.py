@@ -229,6 +229,14 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_toxicity_finds_marked_texts_however_few_labels(spark, sf):
+    bad = re.compile(r"\b(moron|loser|scum|clown|stupid|idiot|pathetic|worthless|disgusting|trash)\b", re.I)
+    said = texts(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"))
+    marked = [r.predicted for r in toxicity.op5_toxicity(spark, f"/root/testdata/{sf}").collect() if bad.search(said[r.doc_id])]
+    assert len(marked) > 3 and sum(marked) / len(marked) > 0.8
+
+
 def test_toxicity_odd(spark, odd):
     labels = spark.createDataFrame([(1, 1), (7, 0), (None, 1), (4, None)], "doc_id long, toxic int")
     model = toxicity.learnt(odd, labels)
