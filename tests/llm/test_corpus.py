@@ -237,6 +237,24 @@ def test_toxicity_finds_marked_texts_however_few_labels(spark, sf):
     assert len(marked) > 3 and sum(marked) / len(marked) > 0.8
 
 
+def test_toxicity_learns_phrases_and_beginnings():
+    draw = random.Random(5)
+    words = ["".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+
+    def said(*marks):
+        out = draw.choices([*words, "green", "lemon"], k=60)
+        for m in marks:
+            out.insert(draw.randrange(len(out)), m)
+        return " ".join(out)
+
+    for marks in (lambda: ["green lemon"] * 3, lambda: ["zyxwv" + draw.choice(words) for _ in range(3)]):
+        rows = [(said(*marks()), 1) if i % 5 == 0 else (said("green", "lemon"), 0) for i in range(200)]
+        model = toxicity.fit(rows, 0.2)
+        by = model.lengths()
+        new = [(said(*marks()), 1) if i % 2 else (said("green", "lemon"), 0) for i in range(60)]
+        assert sum((model.score(toxicity.features(t, by)) >= 0.5) == y for t, y in new) > 51
+
+
 def test_toxicity_odd(spark, odd):
     labels = spark.createDataFrame([(1, 1), (7, 0), (None, 1), (4, None)], "doc_id long, toxic int")
     model = toxicity.learnt(odd, labels)
