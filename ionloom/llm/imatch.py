@@ -72,26 +72,38 @@ def lexicon(docs: DataFrame, least: float = LEAST, most: float = MOST) -> np.nda
     return np.sort(kept.column(0).to_numpy().view(np.uint64))
 
 
+def picked(terms: np.ndarray) -> np.ndarray:
+    """Whether each term (row) is in each subset (column)."""
+    shares = [share for share, n in SUBSETS for _ in range(n)]
+    return np.stack([mixed(terms + np.uint64(1_000_003 * (j + 1))) < np.uint64(int(share * 2**64)) for j, share in enumerate(shares)], axis=1)
+
+
 class Fingerprints:
     """Fingerprints of texts over one lexicon."""
 
     def __init__(self, terms: np.ndarray):
         self.terms = terms
-        shares = [share for share, n in SUBSETS for _ in range(n)]
-        picks = [mixed(terms + np.uint64(1_000_003 * (j + 1))) < np.uint64(int(share * 2**64)) for j, share in enumerate(shares)]
-        self.picks = np.stack(picks, axis=1) if len(terms) else np.zeros((0, len(shares)), bool)
+        self.picks = picked(terms)
 
     def of(self, text: bytes) -> list[str]:
-        """A hash for each subset, "" for one of which the text has no term; one hash of the text if it has none at all."""
+        """A hash for each subset, "" for one of which the text has no term.
+
+        A text without a term in the lexicon is told by all its terms, with the same subsets, and one without any term
+        in a subset by its whole hash.
+        """
         terms = term_hashes(text)
         at = np.searchsorted(self.terms, terms)
         known = at < len(self.terms)
         known[known] = self.terms[at[known]] == terms[known]
-        if not known.any():
+        if known.any():
+            terms, picks = terms[known], self.picks[at[known]]
+        else:
+            picks = picked(terms)
+        subset, term = np.nonzero(picks.T)
+        if not len(term):
             return ["t" + xxhash.xxh3_64_hexdigest(text)]
-        subset, term = np.nonzero(self.picks[at[known]].T)
-        held = terms[known][term].tobytes()
-        ends = (np.searchsorted(subset, np.arange(self.picks.shape[1] + 1)) * 8).tolist()
+        held = terms[term].tobytes()
+        ends = (np.searchsorted(subset, np.arange(picks.shape[1] + 1)) * 8).tolist()
         return [xxhash.xxh3_64_hexdigest(held[a:b])[:8] if a < b else "" for a, b in zip(ends, ends[1:])]
 
 
@@ -138,7 +150,7 @@ def fingerprints(docs: DataFrame, least: float = LEAST, most: float = MOST, doc_
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many, or all, of the next row in
     descending id; after the last comes the first, so a single row is its own next. Null texts count as empty, null ids as
     the smallest; rows with one id follow each other in the order of their packed texts. Equal texts have equal
-    fingerprints; a text without a term in the band is told by its whole hash. Other columns are ignored; an empty table
+    fingerprints; a text without a term in the band is told by all its terms. Other columns are ignored; an empty table
     gives no rows.
     """
     spark = docs.sparkSession

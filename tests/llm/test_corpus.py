@@ -362,6 +362,14 @@ def test_fingerprints(spark, documents):
     assert sum(r.near_edited for r in got.values()) > 3 * sum(r.near_next for r in got.values())
 
 
+def test_fingerprints_of_a_hot_group_of_edited_copies(spark, documents):
+    words = [f"word{i}" for i in range(80)]
+    hot = [(1_000_000 + i, " ".join([*words[: i % 80], f"edit{i}", *words[i % 80 + 1 :]])) for i in range(3000)]
+    docs = documents.select("doc_id", "text").union(spark.createDataFrame(hot, "doc_id long, text string"))
+    near = [r.near_next for r in imatch.fingerprints(docs).filter("doc_id > 1000000").collect()]
+    assert len(near) == 2999 and sum(near) / len(near) > 0.5 and sorted(near)[100] > 0
+
+
 def test_fingerprints_odd(spark, odd):
     rows = imatch.fingerprints(odd).collect()
     assert len(rows) == len(ROWS) and {(r.doc_id, r.n_chars) for r in rows} >= {(2, 0), (5, 60_000), (None, 17)}
