@@ -62,9 +62,9 @@ def test_codes_and_tolerances(spark):
 
 def test_peak_search(spark):
     df = spark.createDataFrame([([3.0, float("nan"), 1.0, 2.0, 1.0], [1.0, 2.0, 3.0, 4.0, 5.0])], "mz array<double>, i array<double>").select(peaks.normalised_peaks("mz", "i").alias("p"))
-    assert [(x.mz, x.index) for x in df.first().p] == [(1, 2), (1, 4), (2, 3), (3, 0)]
+    assert [(x.mz, x["index"]) for x in df.first().p] == [(1, 2), (1, 4), (2, 3), (3, 0)]
     found = df.select(peaks.find_peak("p", 1.5, C.da(0.5)).alias("a"), peaks.find_peak("p", 9.0, C.da(1)).alias("b"), peaks.find_peaks("p", 2.0, C.da(1)).alias("c"), peaks.find_peaks_between("p", 3, 1).alias("d")).first()
-    assert found.a.mz == 1 and found.a.index == 2 and found.b is None and len(found.c) == 4 and found.d == []
+    assert found.a.mz == 1 and found.a["index"] == 2 and found.b is None and len(found.c) == 4 and found.d == []
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 40])
