@@ -1,12 +1,17 @@
 """Benchmark decontamination: SimHash of item-sized windows, found by multi-index Hamming blocks and verified exactly.
 
 Words are runs of letters and digits, lowered; a shingle is five of them (a shorter item is one shingle of all its words). For
-an item of n words, the windows of n words of a text are told by the 64-bit SimHash of their shingles. A fingerprint is cut
-into one block more than the radius, so that any two within the radius agree on a whole block: an equi-join on the blocks
-finds them all. Candidates are then compared exactly, by the Jaccard similarity of their shingles weighted by how often they
-occur. Only windows that hold a shingle of an item of their size are fingerprinted; the similarity of any other is nought.
+an item of n words, the windows of n words of a text are told by the 64-bit SimHash of their shingles.
 
-All of it is built from DataFrame functions. Texts are told apart by their hash, so that copies of a text are searched once.
+A window can reach the similarity with an item only if enough of its shingles are an item's, of some item of its size. These
+shingles, the hits, are found first; windows with too few are left out, and of the others only hits are counted, since no
+other shingle can be shared. A window's SimHash follows from running sums over the hits, one at either end, so that no window
+is ever copied out. A fingerprint is cut into BLOCKS blocks; two that lie within the radius differ in at most
+RADIUS // BLOCKS bits of one of them, and an item stands in the index under every value so near to its own: an equi-join on
+the blocks finds them all. Candidates are then compared exactly, by the Jaccard similarity of their shingles weighted by how
+often they occur.
+
+All of it is built from DataFrame functions. Texts are told apart by a key, so that copies of a text are searched once.
 """
 
 from __future__ import annotations
@@ -14,19 +19,15 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
-
-WIDTH, SIMILARITY, RADIUS = 5, 0.8, 18
-#: Rows up to which a side is broadcast (some 20 bytes each); beyond, both sides are shuffled.
-BROADCAST_ROWS = 1_000_000
-
+from .common import scratch, small, table, text_key, written
 
-def small(df: DataFrame) -> DataFrame:
-    """df, for broadcasting if it is small enough; df must be cheap to count."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+WIDTH, SIMILARITY = 5, 0.8
+#: Bits in which a window and an item may differ. Of a window's hits at least 8 in 9 are the item's, so some 7 bits differ at
+#: the similarity of 0.8, with a standard deviation of 2.5.
+RADIUS, BLOCKS = 14, 5
 
 
 def computed(value: Column) -> Column:
@@ -51,74 +52,141 @@ def of_width(widths: list[int]) -> Column:
     return reduce(lambda c, w: c.when(F.col("width") == w, shingles(w)), widths, F.when(F.lit(False), shingles(1)))
 
 
-def fingerprints(df: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and g, an array of shingles -> keys, simhash. Two bits' counts share a long, 32 bits each."""
-    one = df.select(*keys, F.size("g").alias("m"), F.explode("g").alias("x"))
-    lanes = F.lit((1 << 32) | 1)
-    sums = one.groupBy(*keys, "m").agg(*[F.sum(F.shiftrightunsigned("x", k).bitwiseAND(lanes)).alias(f"s{k}") for k in range(32)])
-    bit = lambda count, b: F.shiftleft((count * 2 > F.col("m")).cast("long"), b)
+def lanes(x: str) -> list[Column]:
+    """The bits of a hash, two to a long: bit k below and bit k + 32 above, so that sums over hashes count each bit."""
+    ones = F.lit((1 << 32) | 1)
+    return [F.shiftrightunsigned(x, k).bitwiseAND(ones).alias(f"s{k}") for k in range(32)]
+
+
+def simhash(m: str) -> Column:
+    """The SimHash from the sums of lanes over m hashes: a bit is set if more than half of them have it."""
+    bit = lambda count, b: F.shiftleft((count * 2 > F.col(m)).cast("long"), b)
     low = reduce(add, [bit(F.col(f"s{k}").bitwiseAND(F.lit(0xFFFFFFFF)), k) for k in range(32)])
     high = reduce(add, [bit(F.shiftrightunsigned(F.col(f"s{k}"), 32), k) for k in range(32)])
-    return sums.select(*keys, low.bitwiseOR(F.shiftleft(high, 32)).alias("simhash"))
+    return low.bitwiseOR(F.shiftleft(high, 32))
+
 
+def _masks(bits: int, most: int) -> list[int]:
+    """All values of so many bits of which at most so many are set."""
+    found = {0}
+    for _ in range(most):
+        found |= {v | 1 << i for v in found for i in range(bits)}
+    return sorted(found)
 
-def blocks(radius: int) -> Column:
-    """The fingerprint's blocks, (place, value), one more than the radius."""
-    n, at, out = radius + 1, 0, []
+
+def _placed(place: int):
+    return lambda value: F.struct(F.lit(place).alias("place"), value.alias("value"))
+
+
+def blocks(near: int = 0, radius: int = RADIUS, n: int = BLOCKS) -> Column:
+    """The blocks (place, value) of the column ``simhash``, and with ``near`` also the values that differ in so many bits."""
+    at, out = 0, []
     for i in range(n):
         bits = 64 // n + (i < 64 % n)
-        out.append(F.struct(F.lit(i).alias("place"), F.shiftrightunsigned("simhash", at).bitwiseAND(F.lit((1 << bits) - 1)).alias("value")))
+        value = F.shiftrightunsigned("simhash", at).bitwiseAND(F.lit((1 << bits) - 1))
+        masks = F.array(*[F.lit(m).cast("bigint") for m in _masks(bits, near)])
+        values = F.transform(masks, value.bitwiseXOR)
+        out.append(F.transform(values, _placed(i)))
         at += bits
-    return F.explode(F.array(*out))
+    return F.explode(F.concat(*out))
 
 
-def weighted_similarity(a: str, b: str) -> Column:
-    """Sum of the smaller over sum of the larger counts of each shingle of two arrays."""
-    times = lambda g, x: F.size(F.filter(F.col(g), lambda y: y == x))
-    both = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, x: acc + F.least(times(a, x), times(b, x)))
-    return both / (F.size(a) + F.size(b) - both)
+def weighted_similarity(a: str, b: str, m: str) -> Column:
+    """Sum of the smaller over sum of the larger counts of each shingle, of two arrays that stand for m shingles each.
+
+    a may leave out shingles that b has not.
+    """
+    again = lambda g: F.filter(F.sort_array(g), lambda x, i: (i > 0) & (x == F.get(F.sort_array(g), i - 1)))
+    times = lambda g, x: F.size(F.filter(g, lambda y: y == x))
+    # Most windows have no shingle twice; what is there again is counted by itself.
+    rest = F.aggregate(F.array_intersect(again(a), again(b)), F.lit(0), lambda acc, x: acc + F.least(times(again(a), x), times(again(b), x)))
+    repeats = (F.size(F.array_distinct(a)) < F.size(a)) & (F.size(F.array_distinct(b)) < F.size(b))
+    both = F.size(F.array_intersect(a, b)) + F.when(repeats, rest).otherwise(0)
+    return both / (2 * F.col(m) - both)
 
 
-def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
+def _items(items: DataFrame, item_id: str, text: str) -> tuple[DataFrame, list[int]]:
+    """(item_id, n, width, m, g): an item's words, the width and number of its shingles, and these; and the widths there are."""
+    items = items.select(F.col(item_id).alias("item_id"), F.col(text).cast("string").alias("text")).filter("text is not null")
+    items = with_words(items).filter("size(h) > 0").withColumn("n", F.size("h")).withColumn("width", F.least("n", F.lit(WIDTH)))
+    widths = sorted(r.width for r in items.select("width").distinct().collect())  # five at most
+    items = items.withColumn("g", of_width(widths)).withColumn("m", F.size("g"))
+    return written(items.select("item_id", "n", "width", "m", "g"), "items"), widths
+
+
+def _hits(texts: DataFrame, items: DataFrame, widths: list[int], similarity: float) -> DataFrame:
+    """(tid, n, m, need, last, at, x): where texts have a shingle of an item of n words.
+
+    need: how many hits a window must have to reach the similarity; last: where a text's last window begins.
+    """
+    known = written(items.select("width", "n", F.explode("g").alias("x")).distinct(), "item-shingles")
+    hashed = with_words(texts).select("tid", computed(F.col("h")).alias("h"))
+    each = F.explode(F.array(*[F.struct(F.lit(w).alias("width"), shingles(w).alias("g")) for w in widths or [WIDTH]]))
+    placed = hashed.select("tid", F.size("h").alias("words"), each.alias("s")).select("tid", "words", "s.width", F.posexplode("s.g").alias("at", "x"))
+    m = F.col("n") - F.col("width") + 1
+    hits = placed.join(small(known), ["width", "x"]).filter("n <= words").select("tid", "n", m.alias("m"), (F.col("words") - F.col("n")).alias("last"), "at", "x")
+    need = F.ceil(F.lit(similarity) * 2 * F.col("m") / (1 + similarity) - 1e-9).cast("int")
+    return written(hits.withColumn("need", need).distinct(), "hits")
+
+
+def _windows(hits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tid, n, start, m, held, before, simhash) of the windows with enough hits: held, their hits, which follow ``before`` others; and (tid, n, xs), the hits of a text in order."""
+    keys = ["tid", "n"]
+    rows = hits.groupBy(*keys, "m", "need", "last").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("l"))
+    rows = written(rows.filter("size(l) >= need").select(*keys, "m", "need", "last", F.transform("l", lambda h: h["at"]).alias("ats"), F.transform("l", lambda h: h["x"]).alias("xs")), "hit-lists")
+    # A window has enough hits if it begins where the hits i to i + need - 1 are all inside, for some i.
+    i = lambda k: F.get("ats", k)
+    reach = F.transform(F.sequence(F.lit(0), F.size("ats") - F.col("need")), lambda k: F.struct(F.greatest(F.lit(0), i(k + F.col("need") - 1) - F.col("m") + 1).alias("a"), F.least(i(k), F.col("last")).alias("b")))
+    spans = rows.select(*keys, "m", F.explode(F.filter(reach, lambda r: r["a"] <= r["b"])).alias("r"))
+    starts = written(spans.select(*keys, "m", F.explode(F.sequence("r.a", "r.b")).alias("start")).distinct(), "starts")
+    # Running sums: a row before the first place of a window, and one behind its last.
+    ends = starts.select(*keys, "m", "start", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(0).alias("kind")), F.struct((F.col("start") + F.col("m") - 1).alias("at"), F.lit(2).alias("kind")))).alias("e"))
+    held = rows.select(*keys, F.explode(F.arrays_zip("ats", "xs")).alias("h"))
+    held = held.join(starts.select(*keys).distinct(), keys, "left_semi")
+    marks = held.select(*keys, F.lit(None).cast("int").alias("m"), F.lit(None).cast("int").alias("start"), F.col("h.ats").alias("at"), F.lit(1).alias("kind"), F.col("h.xs").alias("x"))
+    marks = marks.union(ends.select(*keys, "m", "start", "e.at", "e.kind", F.lit(None).cast("bigint")))
+    run = Window.partitionBy(*keys).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = [F.coalesce(F.sum(c).over(run), F.lit(0)).alias(f"s{k}") for k, c in enumerate(lanes("x"))]
+    run_up = marks.select(*keys, "m", "start", "kind", F.count("x").over(run).alias("c"), *sums).filter("kind <> 1")
+    sign = F.when(F.col("kind") == 2, 1).otherwise(-1)
+    apart = [F.sum(sign * F.col(f"s{k}")).alias(f"s{k}") for k in range(32)]
+    told = run_up.groupBy(*keys, "start", "m").agg(F.sum(sign * F.col("c")).cast("int").alias("held"), F.min("c").cast("int").alias("before"), *apart)
+    return told.select(*keys, "start", "m", "held", "before", simhash("held").alias("simhash")), rows.select(*keys, "xs")
+
+
+def leaking_texts(texts: DataFrame, items: DataFrame, similarity: float = SIMILARITY, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """texts (tid, text; null texts left out) -> tid, item_id, start_word, n_words, similarity: the best window of each text and item."""
+    with scratch(texts.sparkSession):
+        items, widths = _items(items, item_id, text)
+        windows, lists = _windows(_hits(texts, items, widths, similarity))
+
+        one = items.select("item_id", "n", "m", F.explode("g").alias("x"))
+        own = one.groupBy("item_id", "n", "m").agg(*[F.sum(c).alias(f"s{k}") for k, c in enumerate(lanes("x"))]).withColumn("simhash", simhash("m"))
+        index = written(own.select("item_id", "n", F.col("simhash").alias("theirs"), blocks(RADIUS // BLOCKS).alias("b")).select("item_id", "n", "theirs", "b.*"), "item-blocks")
+        near = windows.withColumn("b", blocks()).select(*windows.columns, "b.*").join(small(index), ["n", "place", "value"])
+        near = near.filter(F.bit_count(F.col("simhash").bitwiseXOR(F.col("theirs"))) <= RADIUS)
+        near = written(near.select("tid", "n", "start", "m", "held", "before", "item_id").distinct(), "near")
+
+        theirs = items.select("item_id", F.col("n").alias("n_words"), F.col("g").alias("theirs"))
+        pairs = near.join(small(theirs, F.size("theirs")), "item_id")
+        pairs = pairs.filter("n = n_words").join(lists, ["tid", "n"])
+        pairs = pairs.select("tid", "item_id", "n", "start", "m", "theirs", computed(F.slice("xs", F.col("before") + 1, F.col("held"))).alias("g"))
+        found = pairs.select("tid", "item_id", "n", "start", computed(weighted_similarity("g", "theirs", "m")).alias("similarity")).filter(F.col("similarity") >= similarity)
+        best = found.groupBy("tid", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n")).alias("best"))
+        return written(best.select("tid", "item_id", (-F.col("best.back")).alias("start_word"), F.col("best.n").alias("n_words"), "best.similarity"), "leaks", outer=True)
+
+
+def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """One row for each document and item of which the document holds a window: doc_id, item_id, start_word, n_words, similarity.
 
     The window reported is the most similar one, the first of equals; start_word counts the document's words from 0. Null
     and empty texts, and items without words, are in no row; a document shorter than an item can't hold its window. Repeated
-    rows with one id give one row for each item; other columns are ignored; either table may be empty.
+    rows with one id and text give one row for each item, and so do several texts of one id whose best windows agree; items
+    with one id count as one, and items without id are passed over. Null document ids are as good as others. Other columns
+    are ignored; either table may be empty.
     """
-    items = items.select(F.col(item_id).alias("item_id"), F.col(text).cast("string").alias("text")).filter("text is not null")
-    items = with_words(items).filter("size(h) > 0").withColumn("n", F.size("h")).withColumn("width", F.least("n", F.lit(WIDTH)))
-    widths = sorted(r.width for r in items.select("width").distinct().collect())  # five at most
-    items = items.withColumn("g", of_width(widths))
-    items = written(items.select("item_id", "n", "width", "g"), "items")
-
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).filter("text is not null").withColumn("tid", F.xxhash64("text"))
-    of_items = written(items.select("width", "n", F.explode("g").alias("x")).distinct(), "item-shingles")
-    known = small(of_items)
-    hashed = with_words(texts.select("tid", "text")).select("tid", "h")
-    placed = [hashed.select("tid", F.lit(w).alias("width"), F.posexplode(shingles(w)).alias("at", "x")) for w in widths or [WIDTH]]
-    hits = reduce(DataFrame.union, placed).join(known, ["width", "x"]).select("tid", "width", "n", "at").distinct()
-    hits = written(hits, "hits")
-
-    some = small(written(hits.select("tid").distinct(), "texts"))
-    held = written(with_words(texts.join(some, "tid").select("tid", "text").dropDuplicates(["tid"])).select("tid", "h"), "words")
-    # Every window of n words that holds the hit; at is where its shingle begins.
-    starts = hits.select("tid", "width", "n", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("n") + F.col("width")), F.col("at"))).alias("start")).distinct()
-    inside = starts.join(held, "tid").filter("start + n <= size(h)").select("tid", "width", "n", "start", F.slice("h", F.col("start") + 1, F.col("n")).alias("h"))
-    windows = inside.select("tid", "n", "start", computed(of_width(widths)).alias("g"))
-    told = fingerprints(windows, ["tid", "n", "start"])
-
-    of_items = small(written(fingerprints(items, ["item_id", "n"]).select("item_id", "n", F.col("simhash").alias("theirs"), blocks(radius).alias("b")).select("item_id", "n", "theirs", "b.*"), "item-blocks"))
-    near = told.select("tid", "n", "start", "simhash", blocks(radius).alias("b")).select("tid", "n", "start", "simhash", "b.*").join(of_items, ["n", "place", "value"])
-    near = near.filter(F.bit_count(F.col("simhash").bitwiseXOR(F.col("theirs"))) <= radius).select("tid", "n", "start", "item_id").distinct()
-    near = written(near, "near")
-
-    own = items.select("item_id", "width", F.col("g").alias("theirs"))
-    compared = near.join(small(own), "item_id").join(held, "tid").select("tid", "item_id", "n", "start", "width", "theirs", F.slice("h", F.col("start") + 1, F.col("n")).alias("h"))
-    compared = compared.select("tid", "item_id", "n", "start", "theirs", computed(of_width(widths)).alias("g"))
-    found = compared.select("tid", "item_id", "n", "start", computed(weighted_similarity("g", "theirs")).alias("similarity")).filter(F.col("similarity") >= similarity)
-    best = found.groupBy("tid", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n")).alias("best"))
-    best = written(best.select("tid", "item_id", (-F.col("best.back")).alias("start_word"), F.col("best.n").alias("n_words"), "best.similarity"), "leaks")
+    texts = docs.select(F.col(doc_id).alias("doc_id"), text_key(text).alias("tid"), F.col(text).cast("string").alias("text")).filter("text is not null")
+    best = leaking_texts(texts.select("tid", "text"), items, similarity, item_id, text)
     return texts.select("doc_id", "tid").join(small(best), "tid").select("doc_id", "item_id", "start_word", "n_words", "similarity").distinct()
 
 
