@@ -1,18 +1,22 @@
 """Toxicity by compression distance: windows of a text are compressed against an ordinary and a toxic zstandard dictionary.
 
-The ordinary dictionary is trained by zstandard on windows of texts that are labelled as not toxic. The toxic one holds the
-same content and, on top, the segments of toxic texts (words, their beginnings and runs of up to three) that the labels single out; so an
-ordinary window takes as many bytes with either, and a toxic window fewer with the toxic one. Each window stands between a
-fixed lead and tail that both dictionaries hold: blocks are then never stored raw, and the compressor looks for matches up to
-the window's end. Segments are ranked by how the labels tell them apart, and no size of the sample is needed for one to count:
-how many are taken, how far the lengths must differ, and on how many windows, is fitted on labelled texts that the
-dictionaries of their fold have not seen. A second dictionary trained by zstandard on toxic windows as they are finds next to
-nothing here, since most of a toxic window is ordinary (figures in the README).
+Both dictionaries are trained by zstandard. The ordinary one is trained on windows of texts that are labelled as not toxic. The
+toxic one holds the same content, so that an ordinary window takes about as many bytes with either, and what is trained on
+windows of toxic texts. Most of a toxic text is ordinary too, and a dictionary trained on all of it tells little (figures in
+the README). So the windows that it is trained on are cut around the segments (words, their beginnings and runs of up to
+three) by which the labels tell toxic texts from others, some bytes of what stands before and behind included; a segment that
+the trainer left out is added. Each window that is compared stands between a fixed lead and tail that both dictionaries
+hold: blocks are then never stored raw, and the compressor looks for matches up to the window's end.
+
+Segments are ranked by how the labels tell them apart, and no size of the sample is needed for one to count: how many are
+taken, how far the lengths must differ, and on how many windows, is fitted on labelled texts that the dictionaries of their
+fold have not seen.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,15 +27,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, table
+from .common import pieces, table
 from .shingles import PLACES, REMEMBERED, WORDS, mixed, shingle_set
 
 #: Words of a window, and the most bytes of one.
 WINDOW, WINDOW_BYTES = 16, 400
-#: Bytes of the ordinary dictionary, and of the toxic segments at most; the compression level.
-ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 16_384, 4_096, 6
-#: Labelled documents that are learnt from, of each label at most.
-SAMPLE_OF_EACH = 2_000
+#: Bytes of the ordinary dictionary, and of the toxic one for each segment; the compression level.
+ORDINARY_BYTES, SEGMENT_BYTES, LEVEL = 16_384, 16, 6
+#: Bytes before and behind a segment in the windows that train the toxic dictionary, and the trainer's k and d.
+AROUND, TRAINER = 4, {"k": 16, "d": 6}
+#: Labelled documents that are learnt from, of each label at most, and bytes of all their texts.
+SAMPLE_OF_EACH, SAMPLE_BYTES = 2_000, 64_000_000
 #: Words of a segment at most; bytes of a word's beginning at least; the numbers of segments that are tried; folds of the fit; windows that train the ordinary dictionary.
 SEGMENT, STEM, TRIED, FOLDS, TRAINED_ON = 3, 5, (4, 6, 8, 9, 10, 11, 12, 14, 16, 20, 26, 36, 50, 80, 140, 250, 450), 4, 40_000
 #: Of a text's runs of words, the smallest hashes, by which edited copies are told.
@@ -190,12 +196,30 @@ def ordinary_content(texts: list[str]) -> bytes:
         return b" ".join(plain)[-ORDINARY_BYTES:]
 
 
-def toxic_content(ordinary: bytes, found: list[bytes]) -> bytes:
-    """The ordinary content and the segments, the strongest last."""
-    marks = b""
-    for w in found:
-        marks = w + marks
-    return ordinary + marks[-TOXIC_BYTES:]
+def toxic_windows(texts: list[str], found: list[bytes]) -> list[tuple[int, bytes]]:
+    """Windows of texts cut around the segments, each with the segment's place among them."""
+    place = {w.strip(): i for i, w in reversed(list(enumerate(found)))}
+    if not place:
+        return []
+    any_of, out = re.compile(b"|".join(map(re.escape, place))), []
+    for t in texts:
+        line = b" " + b" ".join(t.lower().encode("utf-8").split()) + b" "
+        out += [(place[m[0]], line[max(0, m.start() - AROUND) : m.end() + AROUND]) for m in any_of.finditer(line)]
+    return out
+
+
+def toxic_content(ordinary: bytes, found: list[bytes], seen: list[tuple[int, bytes]], n: int) -> bytes:
+    """The ordinary content and that of a dictionary trained on the windows around the first n segments.
+
+    Segments that the trainer left out follow, the strongest last; too few windows to train on leave them all out.
+    """
+    found, size = found[:n], SEGMENT_BYTES * min(n, len(found))
+    try:
+        # The trained content is the end of what comes, behind the tables.
+        body = zstandard.train_dictionary(256 + size, [w for i, w in seen if i < n and len(w) >= 8], **TRAINER).as_bytes()[-size:] if size else b""
+    except zstandard.ZstdError:
+        body = b""
+    return ordinary + body + b"".join(w for w in reversed(found) if w not in body)
 
 
 def _error(x: np.ndarray) -> float:
@@ -212,11 +236,12 @@ def fit(rows: list[tuple[str, int]], share: float) -> Model:
         return Model(content, content, np.array([3.0 if y.any() else -3.0, 0, 0, 0, 0, 0]))
     fold = np.where(y == 1, np.cumsum(y) - 1, np.cumsum(1 - y) - 1) % FOLDS
     found = segments(rows, fold)
+    seen = [toxic_windows([t for (t, label), f in zip(rows, fold) if label and f != k], s) for k, s in zip([*range(FOLDS), None], found)]
     contents = [ordinary_content([t for (t, label), f in zip(rows, fold) if not label and f != left_out]) for left_out in [*range(FOLDS), None]]
     w = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     tried = []
     for n in TRIED:
-        by = [(compressor(c), compressor(toxic_content(c, s[:n]))) for c, s in zip(contents, found)]
+        by = [(compressor(c), compressor(toxic_content(c, s, x, n))) for c, s, x in zip(contents, found, seen)]
         x = np.stack([features(t, by[f]) for (t, _), f in zip(rows, fold)])
         weights = calibrated(x, y, w)
         logit = np.clip(x @ weights, -30, 30)
@@ -226,18 +251,26 @@ def fit(rows: list[tuple[str, int]], share: float) -> Model:
             break
     # The fewest segments that fit as well as the best number, but for what chance explains.
     _, n, weights = next(t for t in tried if (best - t[0]).sum() <= _error(best - t[0]))
-    return Model(contents[-1], toxic_content(contents[-1], found[-1][:n]), weights)
+    return Model(contents[-1], toxic_content(contents[-1], found[-1], seen[-1], n), weights)
+
 
+def learnt(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_OF_EACH, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """docs (doc_id, text) and labels (doc_id, toxic 0 or 1) to a model, from a sample drawn by a hash of the id.
 
-def learnt(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_OF_EACH) -> Model:
-    """docs (doc_id, text) and labels (doc_id, toxic 0 or 1) to a model, from a bounded sample drawn by a hash of the id."""
+    The sample is bounded: so many documents of each label, and no more bytes of texts. Of an id with several labels the
+    highest counts, for every text of that id; rows without id, text or label teach nothing, and repeated rows teach once.
+    Without labels, or with one label only, every text gets the same verdict. Either table may be empty.
+    """
     labels = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Model(b"", b"", np.array([-3.0, 0, 0, 0, 0, 0]))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) / 1_000_000
     limit = F.when(F.col("toxic") == 1, per_label / max(1, counts.get(1, 0))).otherwise(per_label / max(1, counts.get(0, 0)))
-    drawn = labels.filter(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) < limit * 1_000_000)
-    got = docs.filter("text is not null").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").toArrow()  # drawn: 2 * per_label rows at most, but for chance
+    drawn = F.broadcast(labels.withColumn("draw", draw / limit).filter("draw < 1"))  # 2 * per_label rows at most, but for chance
+    texts = docs.filter("text is not null").join(drawn, "doc_id").select("doc_id", "text", "toxic", "draw")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    got = texts.filter(F.col("draw") < min(1.0, sample_bytes / max(1, size))).toArrow()
     rows = sorted(zip(*(got[c].to_pylist() for c in ("doc_id", "text", "toxic"))))
     return fit([(t, int(y)) for _, t, y in rows], counts.get(1, 0) / sum(counts.values()))
 
@@ -255,26 +288,27 @@ def score_toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = shared.value.lengths()
-        for batch in batches:
+        for batch in pieces(batches, len(head)):
             scores = [shared.value.score(features(t, by)) for t in batch.column(len(head)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(head)], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], names=[*(f.name for f in head), "score", "predicted"])
 
-    arrow_batches(spark)
     return out.mapInArrow(scored, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in head) + ", score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of docs that the model does not predict to be toxic, with all their columns; null and empty texts stay."""
+    """The rows of docs that the model does not predict to be toxic, with all their columns; null and empty texts stay.
+
+    A row is judged by its text alone, so repeated rows go or stay together, whatever their ids. An empty table stays empty.
+    """
     spark = docs.sparkSession
     shared, place = spark.sparkContext.broadcast(model), docs.columns.index(text)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = shared.value.lengths()
-        for batch in batches:
+        for batch in pieces(batches, place):
             texts = batch.column(place).to_pylist()
             yield batch.filter(pa.array([not t or shared.value.score(features(t, by)) < 0.5 for t in texts], pa.bool_()))
 
-    arrow_batches(spark)
     return docs.mapInArrow(kept, docs.schema)
 
 
