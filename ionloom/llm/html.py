@@ -1,9 +1,11 @@
 """Main text of web pages by tree scoring.
 
-A page becomes a tree. What can't be article text (menus, forms, notices, adverts, comments and the like, by element, role or
-name) is left out. Each paragraph earns points for its length and its commas and passes them to its ancestors, less the
-further up; a container's points are discounted by the share of its text that stands in links. The best container is the
-article, together with those of its siblings that read like a part of it.
+A page becomes a tree; elements that never hold article text (scripts, menus, footers and the like) are passed over. Each
+paragraph earns points for its length and its commas and passes them to its ancestors, less the further up; a container's
+points are discounted by the share of its text that stands in links. Elements that by role or name read like a sidebar, a
+notice, an advert, a form or comments count for a fiftieth, with all that they hold. A name only lowers points: where all of a page
+stands in such an element, nothing changes between its parts. The best container is the article, together with those of its
+siblings that read like a part of it; what is inside it under such a name goes, unless it holds most of the points there.
 """
 
 from __future__ import annotations
@@ -17,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, table
+from .common import pieces, table
 
 #: Elements whose content isn't markup; all of it is passed over but for textarea's and title's, which aren't article text either.
 _RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are never article text.
-_DROPPED = frozenset("head nav footer aside form noscript template svg math canvas object audio video button select option datalist dialog menu menuitem map".split())
+_DROPPED = frozenset("head nav footer aside noscript template svg math canvas object audio video button select option datalist dialog menu menuitem map".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Start tags that end an open element: which, and what bounds the search for it.
 _ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -37,6 +39,10 @@ _NAMES = frozenset(
     breadcrumb breadcrumbs footer header masthead share sharing social related recommended recommendations comment comments commentlist
     disqus respond reply replies popup modal overlay widget widgets toolbar pagination pager skip toc""".split()
 )
+#: First parts of names that say what a page has, or has not, and not what an element is; parts of names of an article's own header.
+_ABOUT, _OWN = frozenset("has no with without not hide show".split()), frozenset("article post entry content story main title".split())
+#: What an element counts for under such a name, and the share of the article's points from which it stays all the same.
+DISCOUNT, MOST = 0.02, 0.5
 _SPLIT_NAMES = re.compile(r"[^a-z]+")
 _NAME_EDGES = re.compile(r"([a-z])([A-Z])")
 _TAG = re.compile(r"<(?:!--(?P<comment>)|(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(?P<loose>/?[a-zA-Z][^>]*>)|[!?/][^>]*>)")
@@ -44,29 +50,41 @@ _ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "points", "dropped", "size", "linked")
+    """An element: points, as passed on to it; mass, the points of all paragraphs below; size and linked, letters in it and in its links."""
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
-        self.tag, self.parent, self.parts, self.points, self.dropped, self.size, self.linked = tag, parent, [], 0.0, dropped, 0, 0
+    __slots__ = ("tag", "parent", "parts", "points", "mass", "dropped", "doubtful", "weight", "size", "linked")
 
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, doubtful: bool = False):
+        self.tag, self.parent, self.parts, self.dropped, self.doubtful = tag, parent, [], dropped, doubtful
+        self.points = self.mass = self.size = self.linked = 0.0
+        self.weight = (parent.weight if parent else 1.0) * (DISCOUNT if doubtful else 1.0)
 
-def _left_out(tag: str, attrs: str, inside_article: bool) -> bool:
-    """Whether an element can't hold article text."""
-    if tag in _DROPPED or tag == "header" and not inside_article:
-        return True
-    if not attrs.strip() or tag in ("html", "body", "main", "article"):
+
+def _telling(name: str) -> bool:
+    """Whether a class name or id marks what isn't the article."""
+    parts = [x for x in _SPLIT_NAMES.split(_NAME_EDGES.sub(r"\1 \2", name).lower()) if x]
+    if not parts or parts[0] in _ABOUT:
         return False
+    found = _NAMES.intersection(parts)
+    return bool(found) and not (found <= {"header"} and not _OWN.isdisjoint(parts))
+
+
+def _judged(tag: str, attrs: str) -> tuple[bool, bool]:
+    """Whether an element can't hold article text, and whether it looks as if it didn't."""
+    if tag in _DROPPED:
+        return True, False
+    doubtful = tag in ("form", "header")
+    if not attrs.strip() or tag in ("html", "body"):
+        return False, doubtful
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
         if key in ("class", "id"):
-            if not _NAMES.isdisjoint(_SPLIT_NAMES.split(_NAME_EDGES.sub(r"\1 \2", value).lower())):
-                return True
+            doubtful |= any(map(_telling, value.split()))
         elif key == "role":
-            if value.lower() in _ROLES:
-                return True
+            doubtful |= value.lower() in _ROLES
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-    return False
+            return True, False
+    return False, doubtful
 
 
 def parsed(page: str) -> Node:
@@ -135,7 +153,8 @@ def parsed(page: str) -> Node:
                     if tag in _ENDS and node.tag == "tr" or tag not in _ENDS:
                         break
                 node = node.parent
-        node = Node(tag, here, here.dropped or _left_out(tag, attrs, opened["article"] > 0))
+        dropped, doubtful = (True, False) if here.dropped else _judged(tag, attrs)
+        node = Node(tag, here, dropped, doubtful)
         if not node.dropped:
             here.parts.append(node)
         opened[tag] += 1
@@ -154,8 +173,9 @@ def _measured(root: Node) -> list[Node]:
     for node in order:
         for p in node.parts:
             if isinstance(p, Node):
-                node.size += p.size
-                node.linked += p.linked
+                share = DISCOUNT if p.doubtful else 1.0
+                node.size += share * p.size
+                node.linked += share * p.linked
             else:
                 node.size += sum(map(len, p.split()))
         if node.tag == "a":
@@ -163,13 +183,32 @@ def _measured(root: Node) -> list[Node]:
     return order
 
 
-def text_of(node: Node, out: list[str]) -> None:
-    """Appends the texts below a node, with spaces where blocks begin and end."""
+def _has_heading(node: Node) -> bool:
+    todo = [node]
+    while todo:
+        p = todo.pop()
+        if p.tag in _HEADINGS:
+            return True
+        todo += [x for x in p.parts if isinstance(x, Node)]
+    return False
+
+
+def _stays(node: Node, best: Node) -> bool:
+    """Whether a doubtful element inside the article is a part of it: most of it, or its own header."""
+    if node.mass >= MOST * best.mass > 0:
+        return True
+    return node.tag == "header" and best.tag not in ("body", "html", "#page") and _has_heading(node) and node.linked <= 0.5 * node.size
+
+
+def text_of(node: Node, out: list[str], best: Node) -> None:
+    """Appends the texts below a node, with spaces where blocks begin and end; doubtful elements only if they stay."""
     todo: list[Node | str] = [node]
     while todo:
         p = todo.pop()
         if isinstance(p, str):
             out.append(p)
+        elif p.doubtful and p is not best and not _stays(p, best):
+            out.append(" ")
         elif p.tag in _INLINE:
             todo += reversed(p.parts)
         else:
@@ -207,32 +246,34 @@ def main_text(page: str | None) -> str:
             if not words or node.size and node.linked > 0.9 * node.size:
                 continue
             points = (1 if len(words) >= 25 else 0.05) + words.count(",") * 0.5 + min(len(words) / 100, 3)
+            points *= node.weight
+            node.mass += points
             up, level = (node.parent if node.tag in _PARAGRAPHS and node.parent else node), 0
             while up is not None and level < 4:
                 up.points += points / (1, 2, 6, 12)[level]
                 up, level = up.parent, level + 1
+    for node in order:  # each after what it holds
+        if node.parent is not None:
+            node.parent.mass += node.mass
     best = max((n for n in reversed(order) if n.tag not in _INLINE and n.points > 0), key=_value, default=None)
     if best is None:
         return ""
-    inner = best
-    while inner is not None and inner.tag != "article":
-        inner = inner.parent
-    if inner is not None:
-        best = inner
     out: list[str] = []
     if best.parent is None:
-        text_of(best, out)
+        text_of(best, out, best)
     else:
         enough = max(3.0, 0.2 * _value(best))
         for p in best.parent.parts:
             if p is best or isinstance(p, Node) and _reads_on(p, best, enough):
-                text_of(p, out)
+                text_of(p, out, best)
     return " ".join("".join(out).split())
 
 
 def _reads_on(node: Node, best: Node, enough: float) -> bool:
     """Whether a sibling of the best container reads like a part of the article."""
     density = node.linked / node.size if node.size else 1.0
+    if node.doubtful:
+        return _value(node) >= enough and density < 0.3
     if node.tag in _HEADINGS:
         return best.tag != "article" and density < 0.5
     if node.tag in _PARAGRAPHS:
@@ -247,11 +288,10 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", s
     elements, comments and quotes are taken as browsers would, roughly; nothing is cut off. Repeated rows give equal texts;
     other columns are ignored; an empty table gives no rows. Narrow: no shuffle.
     """
-    arrow_batches(pages.sparkSession)
     head = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(source).cast("string").alias("html"))
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 2):
             texts = [main_text(h) for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
