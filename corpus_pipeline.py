@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionloom.llm.common import table, written
-from ionloom.llm.decontaminate import leaks, small
-from ionloom.llm.jaccard import similar_classes
+from ionloom.llm.common import scratch, small, table, text_key, written
+from ionloom.llm.decontaminate import leaking_texts
+from ionloom.llm.jaccard import classed_rows
 from ionloom.llm.mix import mix_sources
 from ionloom.llm.pii import redact
 from ionloom.llm.toxicity import learnt, without_toxic
@@ -27,21 +27,31 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 80 % of their five-word shingles, directly or over others, the one with the smallest id stays, once."""
-    classes = written(similar_classes(docs).select("doc_id", "component_id"), "classes")
-    gone = written(classes.filter("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    again = written(classes.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "again")
-    stay = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
-    if again.isEmpty():
-        return stay
-    once = stay.join(small(again), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
-    return stay.join(small(again), "doc_id", "left_anti").select(*docs.columns).union(once)
+    """Of documents linked by 80 % of their five-word shingles, directly or over others, one stays.
+
+    It is the one with the smallest id, a null id being the largest; of several texts with that id the one whose key is
+    smallest, and of repeated rows one, the smallest by its other columns. Texts without words all stay. An id that also
+    stands on other texts says nothing of those: rows are judged by id and text.
+    """
+    classes = classed_rows(docs).filter("label is not null").select("doc_id", "tid", "label")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tid")
+    first = classes.groupBy("label").agg(F.min(order).alias("first"))
+    judged = classes.groupBy("doc_id", "tid", "label").agg(F.count("*").alias("n")).join(first, "label")
+    stays = F.expr("doc_id <=> first.doc_id and tid = first.tid")
+    keys = written(judged.select("doc_id", "tid", "n", stays.alias("stays")).filter("not stays or n > 1"), "judged")
+    marked = docs.withColumn("tid", text_key()).alias("d")
+    same = F.expr("d.tid = k.tid and d.doc_id <=> k.doc_id")
+    left = marked.join(small(keys).alias("k"), same, "left_anti").drop("tid")
+    again = marked.join(small(keys.filter("stays")).alias("k"), same, "left_semi")
+    once = again.groupBy("doc_id", "tid").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return left.select(*docs.columns).union(once)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = written(leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaking")
-    return docs.alias("d").join(small(found).alias("f"), F.expr("d.doc_id <=> f.doc_id"), "left_anti").select(*docs.columns)
+    """Documents whose text holds a benchmark item go, all rows with that text and no other; null texts stay."""
+    marked = docs.withColumn("tid", text_key())
+    found = leaking_texts(marked.filter("text is not null").select("tid", "text"), table(spark, sf_dir, "benchmark"))
+    return marked.join(small(found.select("tid").distinct()), "tid", "left_anti").select(*docs.columns)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,5 +80,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other over ``documents``, each written as Parquet and read again by the next."""
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark):  # a stage's own tables pass when its result stands
+            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"), outer=True)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,29 +1,48 @@
-"""What the corpus operators share: reading tables, cutting lineage and sizing Arrow batches."""
+"""What the corpus operators share: reading tables, cutting lineage, telling texts apart and handling them in small pieces."""
 
 from __future__ import annotations
 
-import gc
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..sources.storage import shared_dir, written
+from ..sources.storage import scratch, shared_dir, written
 
-__all__ = ["ARROW_ROWS", "arrow_batches", "release", "shared_dir", "table", "written"]
+__all__ = ["pieces", "scratch", "shared_dir", "small", "table", "text_key", "written"]
 
-#: Rows in one Arrow batch. Texts are read whole, so this bounds what a Python worker holds at once.
-ARROW_ROWS = 500
+#: Bytes of texts that are turned into Python objects at once; a longer text is a piece of its own.
+PIECE_BYTES = 1 << 20
+#: Rows, or values where a row holds many, up to which a side is broadcast; beyond, both sides are shuffled.
+BROADCAST_VALUES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Keep the batches that cross to Python small; very long texts come in every batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def text_key(text: str = "text") -> Column:
+    """128 bits by which texts are told apart, as hexadecimal digits; null for null."""
+    return F.md5(F.col(text).cast("string").cast("binary"))
 
 
-def release(spark: SparkSession) -> None:
-    """Lets the driver drop shuffles that nothing refers to any more, so that their files go before the next ones are written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def small(df: DataFrame, values: Column | None = None) -> DataFrame:
+    """df, for broadcasting if it is small enough; df must be cheap to read. values: how many a row holds, if not one."""
+    n = df.agg(F.coalesce(F.sum(F.lit(1) if values is None else values), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= BROADCAST_VALUES else df
+
+
+def pieces(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts (the column of this number) take few bytes, however long the batches are.
+
+    Spark bounds a batch by rows and bytes, but a text as a Python object, and what is made of it, takes far more.
+    """
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.cumsum(sizes + 64) // PIECE_BYTES
+        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
+        for a, b in zip(starts, [*starts[1:], len(part)]):
+            yield batch.slice(int(a), int(b - a))

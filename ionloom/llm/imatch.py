@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, table
+from .common import pieces, table
 from .shingles import WORDS, mixed
 
 #: The band: the share of all documents that have a term. At most (distinct terms of a mean text) / LEAST terms are in it.
@@ -57,7 +57,7 @@ def lexicon(docs: DataFrame, least: float = LEAST, most: float = MOST) -> np.nda
             return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
 
         seen: Counter[bytes] = Counter()
-        for batch in batches:
+        for batch in pieces(batches, 0):
             for t in batch.column(0).to_pylist():
                 seen.update(distinct_terms(t or b""))
             if len(seen) > COUNTED:
@@ -65,7 +65,6 @@ def lexicon(docs: DataFrame, least: float = LEAST, most: float = MOST) -> np.nda
                 seen.clear()
         yield passed_on()
 
-    arrow_batches(docs.sparkSession)
     total = docs.count()
     found = docs.select("text").mapInArrow(counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     kept = found.filter((F.col("n") >= least * total) & (F.col("n") <= max(1.0, most * total))).select("term").toArrow()
@@ -128,7 +127,7 @@ def with_next(docs: DataFrame, partitions: int) -> DataFrame:
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in pieces(batches, 1):
             keys = np.array([LOWEST if k is None else k for k in batch.column(0).to_pylist()], np.int64)
             # tops[i - 1] < key <= tops[i]; parts count from the greatest ids on
             place = np.searchsorted(tops, keys, side="left")
@@ -159,7 +158,7 @@ def fingerprints(docs: DataFrame, least: float = LEAST, most: float = MOST, doc_
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints, press, last = Fingerprints(terms.value), zstandard.ZstdDecompressor(), None
-        for batch in batches:
+        for batch in pieces(batches, 4):
             out = []
             for part, tail, key, packed in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4))):
                 if tail and (last is None or last[0] != part):
@@ -179,7 +178,6 @@ def fingerprints(docs: DataFrame, least: float = LEAST, most: float = MOST, doc_
         theirs = prints.of(edited)
         return key, len(words), hashlib.sha256(edited).hexdigest(), ".".join(own), ".".join(theirs), likeness(own, theirs), likeness(own, after[3])
 
-    arrow_batches(spark)
     partitions = 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     return with_next(docs, partitions).mapInArrow(told, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, release, table, written
+from .common import BROADCAST_VALUES, pieces, scratch, table, text_key, written
 from .shingles import PLACES, mixed, set_hash, shingle_set
 
 WIDTH, SIMILARITY = 5, (80, 100)
@@ -41,8 +41,8 @@ BAND = 1.4
 BAND_BITS = np.uint64(63)
 #: A star's pair is measured if it shares so much of what a link must share: measured pairs are what clusters decide by.
 STAR_SHARE = 0.4
-#: Rows up to which a side (16 bytes a row) is broadcast; beyond, both sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Nodes that a task remembers, so that copies that it meets again are passed over.
+REMEMBERED = 50_000
 
 
 class Bands:
@@ -96,40 +96,53 @@ class Bands:
         return out
 
 
-def _set_rows(docs: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
-    """(doc_id, node, n_shingles, band); node is null for a text without words."""
+class Seen(set):
+    """What a task has met lately: forgets all when it is full. Whatever it forgets is only done again."""
+
+    def new(self, x) -> bool:
+        if x in self:
+            return False
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self.add(x)
+        return True
+
+
+def _set_rows(texts: DataFrame, width: int, similarity: tuple[int, int], seed: int) -> DataFrame:
+    """(doc_id, tid, node, check, n_shingles, band); node and check, two names of the set, are null for a text without words."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(similarity)
-        for batch in batches:
-            sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands.of(len(s))[0] for s in sets], pa.int32())], names=["doc_id", "node", "n_shingles", "band"])
+        for batch in pieces(batches, 2):
+            sets = [shingle_set(t, width) for t in batch.column(2).to_pylist()]
+            named = [pa.array([set_hash(s, k) if len(s) else None for s in sets], pa.int64()) for k in (seed, seed + 1)]
+            size, band = pa.array(list(map(len, sets)), pa.int64()), pa.array([bands.of(len(s))[0] for s in sets], pa.int32())
+            names = ["doc_id", "tid", "node", "check", "n_shingles", "band"]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *named, size, band], names=names)
 
-    return docs.mapInArrow(rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, n_shingles long, band int")
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.mapInArrow(rows, f"doc_id {kind}, tid string, node long, check long, n_shingles long, band int")
 
 
-def _signature_rows(docs: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
+def _signature_rows(texts: DataFrame, width: int, similarity: tuple[int, int], seed: int) -> DataFrame:
     """(signature, node), each node once for a run of batches at most."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, seen = Bands(similarity), set()
-        for batch in batches:
+        bands, seen = Bands(similarity), Seen()
+        for batch in pieces(batches, 0):
             names, nodes, counts = [], [], []
-            for t in batch.column(1).to_pylist():
+            for t in batch.column(0).to_pylist():
                 shingles = shingle_set(t, width)
-                if not len(shingles) or (node := set_hash(shingles)) in seen:
-                    continue
-                if len(seen) >= 200_000:
-                    seen.clear()
-                seen.add(node)
-                found = bands.signatures(shingles)
-                names += found
-                nodes.append(node)
-                counts.append(sum(map(len, found)))
+                if len(shingles) and seen.new(node := set_hash(shingles, seed)):
+                    found = bands.signatures(shingles)
+                    names += found
+                    nodes.append(node)
+                    counts.append(sum(map(len, found)))
             if names:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), counts))], names=["signature", "node"])
+                signature = pa.array(np.concatenate(names).view(np.int64))
+                yield pa.RecordBatch.from_arrays([signature, pa.array(np.repeat(np.array(nodes, np.int64), counts))], names=["signature", "node"])
 
-    return docs.mapInArrow(rows, "signature long, node long")
+    return texts.select("text").mapInArrow(rows, "signature long, node long")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,20 +216,25 @@ class _Comparison:
 
     def sets(self, pairs: DataFrame) -> DataFrame:
         """(node, shingles) of the nodes in the pairs."""
-        spark, width = pairs.sparkSession, self.width
+        width = self.width
 
         def set_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
+            seen = Seen()
+            for batch in pieces(batches, 1):
+                nodes, sets = [], []
+                for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if seen.new(node):
+                        nodes.append(node)
+                        sets.append(shingle_set(text, width).view(np.int64))
                 lengths = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                values = np.concatenate([*sets, np.array([], np.uint64)]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(lengths), pa.array(values))], names=["node", "shingles"])
-
-        both = pairs.select(F.col("a").alias("node")).distinct().union(pairs.select(F.col("b").alias("node")).distinct())
-        needed = written(self.nodes.join(both, "node", "left_semi").select("node", "doc_id"), "needed")
-        few = needed.count() <= BROADCAST_ROWS
-        arrow_batches(spark)
-        rows = self.texts.join(F.broadcast(needed) if few else needed, "doc_id").select("node", "text")
+                arrays = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate([*sets, np.array([], np.int64)])))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), arrays], names=["node", "shingles"])
+
+        both = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        # A node has one text by its key; a key has one text, so no other text is taken for it, whatever its id.
+        needed = written(self.nodes.join(both, "node", "left_semi").select("node", "tid"), "needed")
+        few = needed.count() <= BROADCAST_VALUES
+        rows = self.texts.join(F.broadcast(needed) if few else needed, "tid").select("node", "text")
         return written(rows.mapInArrow(set_arrays, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
 
     def measured(self, pairs: DataFrame) -> DataFrame:
@@ -260,27 +278,57 @@ def _across_clusters(known: DataFrame, compare: _Comparison) -> DataFrame:
     return by_extra.select("node_x", "node_y").union(within.select("node_x", "node_y")).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
+def set_members(texts: DataFrame, width: int, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame, int]:
+    """The rows by the set that they have, the sets (node, tid, n_shingles, band), and the seed of the sets' names.
+
+    Two names of 64 bits each tell sets apart. Only one is used further on; should different sets share it, which corpora of
+    billions of texts may well see, other names are taken.
+    """
+    seed = 0
+    while True:
+        members = written(_set_rows(texts, width, similarity, seed), "members")
+        first = [F.min("tid").alias("tid"), F.max("n_shingles").alias("n_shingles"), F.max("band").alias("band")]
+        nodes = members.filter("node is not null").groupBy("node").agg(*first, F.min("check").alias("low"), F.max("check").alias("high"))
+        nodes = written(nodes, "nodes")
+        if nodes.filter("low <> high").isEmpty():
+            return members.drop("check"), nodes.drop("low", "high"), seed
+        seed += 2
+
+
+def classed_rows(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, tid (the text's key), n_shingles, node (the set's name), label (the class's name).
+
+    Rows with one label are linked, directly or over others. node and label are null for texts without words. Null ids are as
+    good as others, and so are several texts with one id: rows are told apart by their texts.
+    """
+    with scratch(docs.sparkSession):
+        return written(_labelled(docs, width, similarity, doc_id, text), "classes", outer=True)
+
+
 def similar_classes(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included), n_equal.
 
     Documents link when the similarity of their sets is at least ``similarity`` (as a fraction of whole numbers). n_equal is
     the number of rows with the same set. Null and empty texts have no shingles, link with nothing and are their own
-    component; repeated rows share one; other columns of docs are ignored; an empty table gives no rows. Shingles are
-    compared by 64-bit hashes.
+    component. Repeated rows are in one component, and so is each text of an id that stands on several only with what that
+    text links to. A null id links like any other, but is no component's smallest unless all are null. Other columns of docs
+    are ignored; an empty table gives no rows. Shingles are compared by 64-bit hashes.
     """
-    spark = docs.sparkSession
-    arrow_batches(spark)
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))
-    members = written(_set_rows(texts, width, similarity), "members")
-    dealt = _signature_rows(texts, width, similarity).repartition("signature").sortWithinPartitions("signature", "node")
-    arrow_batches(spark, 50_000)
+    named = classed_rows(docs, width, similarity, doc_id, text)
+    smallest = named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    equal = named.filter("node is not null").groupBy("node").agg(F.count("*").alias("n_equal"))
+    out = named.join(smallest, "label", "left").join(equal, "node", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_equal", F.lit(1)).cast("long").alias("n_equal"))
+
+
+def _labelled(docs: DataFrame, width: int, similarity: tuple[int, int], doc_id: str, text: str) -> DataFrame:
+    """What classed_rows() gives, yet to be written."""
+    texts = docs.select(F.col(doc_id).alias("doc_id"), text_key(text).alias("tid"), F.col(text).cast("string").cast("binary").alias("text"))
+    members, nodes, seed = set_members(texts, width, similarity)
+    dealt = _signature_rows(texts, width, similarity, seed).repartition("signature").sortWithinPartitions("signature", "node")
     groups = written(dealt.mapInArrow(_shared, "signature long, node long"), "groups")
-    del dealt
-    release(spark)
-    arrow_batches(spark)
 
-    nodes = members.join(groups.select("node").distinct(), "node", "left_semi").groupBy("node")
-    nodes = written(nodes.agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.max("band").alias("band")), "nodes")
+    nodes = written(nodes.join(groups.select("node").distinct(), "node", "left_semi"), "nodes")
     compare = _Comparison(texts, nodes, width, similarity)
 
     # The centre of a group is its node with the most company in all groups: of edited copies, what they were copied from.
@@ -327,11 +375,7 @@ def similar_classes(docs: DataFrame, width: int = WIDTH, similarity: tuple[int,
         labels = written(connected(links.union(more)), "labels")
 
     named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = written(named.select("doc_id", "n_shingles", "node", "label"), "named")
-    smallest = named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    equal = named.filter("node is not null").groupBy("node").agg(F.count("*").alias("n_equal"))
-    out = named.join(smallest, "label", "left").join(equal, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_equal", F.lit(1)).cast("long").alias("n_equal"))
+    return named.select("doc_id", "tid", "n_shingles", "node", "label")
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:

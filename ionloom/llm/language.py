@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, table
+from .common import pieces, table
 
 #: Features, and the lengths of the n-grams hashed into them.
 FEATURES, LENGTHS = 1 << 16, (1, 2, 3)
@@ -111,11 +111,10 @@ def fit_temperature(model: Model, rows: list[tuple[np.ndarray, np.ndarray, int]]
 def fit(learn: DataFrame) -> Model:
     """From (text, lang), both not null: frequencies from every row, weights from the bounded sample."""
     spark = learn.sparkSession
-    arrow_batches(spark)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have, rows = np.zeros(FEATURES, np.int64), 0
-        for batch in batches:
+        for batch in pieces(batches, 0):
             for t in batch.column(0).to_pylist():
                 if any(map(str.isalpha, t)):
                     have[counted(t)[0]] += 1
@@ -140,7 +139,7 @@ def fit(learn: DataFrame) -> Model:
     drawn = learn.filter(F.pmod(F.xxhash64("text", "draw"), F.lit(1_000_000)) < share * 1_000_000).select("text", place.alias("lang"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 0):
             rows = [(*counted(t), lang) for t, lang in zip(*(c.to_pylist() for c in batch.columns)) if any(map(str.isalpha, t))]
             yield pa.RecordBatch.from_arrays([pa.array([r[0].astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([r[1].astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.int32())], names=["at", "counts", "lang"])
 
@@ -168,11 +167,10 @@ def identify(docs: DataFrame, learn: DataFrame, doc_id: str = "doc_id", text: st
     head = [f for f in out.schema.fields if f.name != "text"]
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, len(head)):
             found = [model.value.predict(t) for t in batch.column(len(head)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(head)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*(f.name for f in head), "lang_pred", "score"])
 
-    arrow_batches(spark)
     return out.mapInArrow(predicted, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in head) + ", lang_pred string, score double")
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words whose hash a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: Odd multipliers, one for each place in a shingle, from the golden ratio's fraction.
 PLACES = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**64 | 1 for i in range(64)], np.uint64)
 _33 = np.uint64(33)
@@ -55,6 +55,6 @@ def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     return np.unique(mixed(h))
 
 
-def set_hash(shingles: np.ndarray) -> int:
+def set_hash(shingles: np.ndarray, seed: int = 0) -> int:
     """A signed 64-bit name of a set; equal sets have equal names."""
-    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - 2**63
+    return xxhash.xxh3_64_intdigest(shingles.tobytes(), seed) - 2**63
