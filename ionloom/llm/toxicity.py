@@ -39,7 +39,7 @@ AROUND, TRAINER = 4, {"k": 16, "d": 6}
 #: Labelled documents that are learnt from, of each label at most, and bytes of all their texts.
 SAMPLE_OF_EACH, SAMPLE_BYTES = 2_000, 64_000_000
 #: Words of a segment at most; bytes of a word's beginning at least; the numbers of segments that are tried; folds of the fit; windows that train the ordinary dictionary.
-SEGMENT, STEM, TRIED, FOLDS, TRAINED_ON = 3, 5, (4, 6, 8, 9, 10, 11, 12, 14, 16, 20, 26, 36, 50, 80, 140, 250, 450), 4, 40_000
+SEGMENT, STEM, TRIED, FOLDS, TRAINED_ON = 3, 5, (4, 6, 8, 9, 10, 11, 12, 14, 16, 20, 26, 36, 50, 80), 4, 40_000
 #: Of a text's runs of words, the smallest hashes, by which edited copies are told.
 SKETCH = 16
 LEAD, TAIL = b" the lead that every window follows here, in both of the two ", b" and then the tail, in both"
@@ -148,7 +148,7 @@ def segments(rows: list[tuple[str, int]], fold: np.ndarray) -> list[list[bytes]]
             if not parts & taken.keys() and not (w[0].endswith(b"*") and w[0] in stemmed):
                 taken[w] = None
                 stemmed.update([w[0].rstrip(b"*") + b"*", *STEMS[w[0].rstrip(b"*")]])
-        out.append([b" " + (x[:-1] if (x := b" ".join(w)).endswith(b"*") else x + b" ") for w in taken])
+        out.append([b" " + (x[:-1] if (x := b" ".join(w)).endswith(b"*") else x + b" ") for w in list(taken)[: TRIED[-1]]])
     return out
 
 
@@ -165,13 +165,21 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(x @ self.weights, -50, 50))))
 
 
-def features(text: str | None, by: tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]) -> np.ndarray:
+def lengths_of(cut: list[bytes], by: zstandard.ZstdCompressor) -> np.ndarray:
+    """The compressed lengths of windows."""
+    return np.array([len(by.compress(LEAD + w + TAIL)) for w in cut], np.int64)
+
+
+def features_of(gains: np.ndarray) -> np.ndarray:
     """What the windows' gains say of a text: the two largest, how many exceed what ordinary ones reach, and all of it a window."""
-    ordinary, toxic = by
-    gains = sorted((len(ordinary.compress(LEAD + w + TAIL)) - len(toxic.compress(LEAD + w + TAIL)) for w in windows(text)), reverse=True)
-    first, second = (gains + [0, 0])[:2]
-    high = sum(g >= 4 for g in gains)
-    return np.array([1.0, np.clip(first, 0, 12), np.clip(second, 0, 12), math.log1p(high), math.log1p(len(gains)), 10 * sum(max(0, g - 1) for g in gains) / max(1, len(gains))])
+    top = np.sort(np.r_[gains, 0, 0])[::-1] if len(gains) < 2 else -np.partition(-gains, 1)
+    high, excess = (gains >= 4).sum(), np.maximum(0, gains - 1).sum()
+    return np.array([1.0, np.clip(top[0], 0, 12), np.clip(top[1], 0, 12), math.log1p(high), math.log1p(len(gains)), 10 * excess / max(1, len(gains))])
+
+
+def features(text: str | None, by: tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]) -> np.ndarray:
+    cut = windows(text)
+    return features_of(lengths_of(cut, by[0]) - lengths_of(cut, by[1]))
 
 
 def calibrated(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -239,10 +247,12 @@ def fit(rows: list[tuple[str, int]], share: float) -> Model:
     seen = [toxic_windows([t for (t, label), f in zip(rows, fold) if label and f != k], s) for k, s in zip([*range(FOLDS), None], found)]
     contents = [ordinary_content([t for (t, label), f in zip(rows, fold) if not label and f != left_out]) for left_out in [*range(FOLDS), None]]
     w = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    tried = []
+    tried, cuts = [], [windows(t) for t, _ in rows]
+    plain = [compressor(c) for c in contents]
+    plain = [lengths_of(cut, plain[f]) for cut, f in zip(cuts, fold)]
     for n in TRIED:
-        by = [(compressor(c), compressor(toxic_content(c, s, x, n))) for c, s, x in zip(contents, found, seen)]
-        x = np.stack([features(t, by[f]) for (t, _), f in zip(rows, fold)])
+        toxic = [compressor(toxic_content(c, s, x, n)) for c, s, x in zip(contents, found, seen)]
+        x = np.stack([features_of(p - lengths_of(cut, toxic[f])) for cut, p, f in zip(cuts, plain, fold)])
         weights = calibrated(x, y, w)
         logit = np.clip(x @ weights, -30, 30)
         tried.append((w * (y * logit - np.log1p(np.exp(logit))), n, weights))
