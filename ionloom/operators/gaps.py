@@ -1,7 +1,8 @@
 """Reconstruction of null-marked m/z: linear and polynomial gap filling, or dropping.
 
-One window specification, (spectrum, order), serves every column, so that the plan has one exchange and one sort. A spectrum
-is the unit of work; a run has many, so hot keys don't arise from the format.
+The anchor on the left comes from a window that runs ahead, the one on the right from a window that runs back: both grow by a
+row at a time, so that a spectrum costs its length. They share one exchange. A spectrum is the unit of work; a run has many,
+so hot keys don't arise from the format.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ KEYS = ("spectrum_index",)
 
 def _anchors(points: DataFrame, keys, order) -> DataFrame:
     """Adds place, and the nearest known value and its place on the left (lv, lp) and on the right (rv, rp)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    placed = points.withColumn("place", F.row_number().over(w))
+    ahead = Window.partitionBy(*keys).orderBy(*order)
+    placed = points.withColumn("place", F.row_number().over(ahead))
+    # By place, which has no ties, so that the way back is the way ahead reversed.
+    grown = lambda *by: Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     known = F.when(F.col("mz").isNotNull(), F.struct(F.col("mz").alias("v"), F.col("place").alias("p")))
-    placed = placed.withColumn("left", F.last(known, ignorenulls=True).over(back)).withColumn("right", F.first(known, ignorenulls=True).over(ahead))
+    placed = placed.withColumn("left", F.last(known, ignorenulls=True).over(grown("place")))
+    placed = placed.withColumn("right", F.last(known, ignorenulls=True).over(grown(F.desc("place"))))
     return placed.select("*", F.col("left.v").alias("lv"), F.col("left.p").alias("lp"), F.col("right.v").alias("rv"), F.col("right.p").alias("rp")).drop("left", "right")
 
 

@@ -45,14 +45,15 @@ def nearest_times(metadata: DataFrame, queries: DataFrame, query_id: str = "quer
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = metadata.select(finite("rt").alias("t"), F.col("spectrum_index").alias("i")).filter("t is not null").groupBy("t").agg(F.min("i").alias("i"))
     asked = queries.select(F.col(query_id).alias("q"), F.col(time).alias("asked"), finite(time).alias("t")).filter("t is not null")
-    cuts = sorted(set(own.stat.approxQuantile("t", [k / parts for k in range(1, parts)], 0.01))) if parts > 1 else []
+    cuts = sorted(set(own.stat.approxQuantile("t", [k / parts for k in range(1, parts)], min(0.01, 0.1 / parts)))) if parts > 1 else []
     part = F.size(F.filter(F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>"), lambda c: c <= F.col("t")))
     hit = F.struct("t", "i")
     rows = own.select(part.alias("part"), "t", F.lit(None).cast(asked.schema["q"].dataType).alias("q"), F.lit(None).cast(asked.schema["asked"].dataType).alias("asked"), hit.alias("s"), F.lit(0).alias("kind"))
     rows = rows.union(asked.select(part.alias("part"), "t", "q", "asked", F.lit(None).cast(rows.schema["s"].dataType).alias("s"), F.lit(1).alias("kind")))
-    w = Window.partitionBy("part").orderBy("t", "kind")
-    before = F.last("s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("s", ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # Both windows grow by a row at a time, one ahead and one back; of equal times spectra come first either way.
+    grown = lambda *by: Window.partitionBy("part").orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.last("s", ignorenulls=True).over(grown("t", "kind"))
+    after = F.last("s", ignorenulls=True).over(grown(F.desc("t"), "kind"))
     inside = rows.select("part", "t", "q", "asked", "kind", before.alias("below"), after.alias("above")).filter("kind = 1")
     ends = own.select(part.alias("part"), hit.alias("s")).groupBy("part").agg(F.min("s").alias("low"), F.max("s").alias("high"))
     every = spark.range(len(cuts) + 1).select(F.col("id").cast("int").alias("part")).join(ends, "part", "left")
