@@ -16,6 +16,7 @@ fold have not seen.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces, table
-from .shingles import PLACES, REMEMBERED, WORDS, mixed, shingle_set
+from .shingles import PLACES, WORDS, mixed, shingle_set
 
 #: Words of a window, and the most bytes of one.
 WINDOW, WINDOW_BYTES = 16, 400
@@ -64,11 +65,15 @@ def compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=held, compression_params=plan)
 
 
+#: Words whose beginnings are remembered.
+STEMS_KEPT = 10_000
+
+
 class Stems(dict):
     """word -> its beginnings of STEM bytes and more, marked by a star, remembered while there is room."""
 
     def __missing__(self, word: bytes) -> list[bytes]:
-        if len(self) >= REMEMBERED:
+        if len(self) >= STEMS_KEPT:
             self.clear()
         self[word] = found = [word[:i] + b"*" for i in range(STEM, min(len(word), 24))]
         return found
@@ -77,15 +82,36 @@ class Stems(dict):
 STEMS = Stems()
 
 
-def grams(text: str) -> tuple[list[tuple[bytes, ...]], np.ndarray]:
-    """The runs of 1 to SEGMENT words of a text, lowered and without punctuation at their ends, and the beginnings of its words; and their hashes."""
+def _split(text: str) -> tuple[list[bytes], list[bytes]]:
+    """The words of a text, lowered and without punctuation at their ends, and the distinct beginnings of them."""
     words = [w for w in (x.strip(_EDGES) for x in text.lower().encode("utf-8").split()) if w]
-    stems = list({s for w in words for s in STEMS[w]})
+    return words, list({s for w in words for s in STEMS[w]})
+
+
+def _hashes(words: list[bytes], stems: list[bytes]) -> np.ndarray:
     ids = np.fromiter(map(WORDS.__getitem__, words), np.uint64, len(words))
     runs = [sum((ids[j : len(ids) - n + 1 + j] * PLACES[j] for j in range(n)), np.zeros(1, np.uint64)) + np.uint64(n) for n in range(1, SEGMENT + 1) if len(ids) >= n]
-    hashes = mixed(np.concatenate([*runs, np.fromiter(map(WORDS.__getitem__, stems), np.uint64, len(stems))]))
-    names = [*((w,) for w in words), *(tuple(words[i : i + n]) for n in range(2, SEGMENT + 1) for i in range(len(words) - n + 1)), *((s,) for s in stems)]
-    return names, hashes
+    return mixed(np.concatenate([*runs, np.fromiter(map(WORDS.__getitem__, stems), np.uint64, len(stems))]))
+
+
+def gram_hashes(text: str) -> np.ndarray:
+    """Sorted distinct hashes of a text's runs of 1 to SEGMENT words and of the beginnings of its words."""
+    found = _hashes(*_split(text))
+    found.sort()
+    return found[np.r_[True, found[1:] != found[:-1]]] if len(found) else found
+
+
+def named_grams(text: str, wanted: np.ndarray) -> Iterator[tuple[int, tuple[bytes, ...]]]:
+    """Those of a text's grams whose hashes are wanted, with their hashes."""
+    words, stems = _split(text)
+    hashes, at = _hashes(words, stems), 0
+    for n in range(1, SEGMENT + 1):
+        if len(words) >= n:
+            for i in np.flatnonzero(np.isin(hashes[at : at + len(words) - n + 1], wanted)):
+                yield int(hashes[at + i]), tuple(words[i : i + n])
+            at += len(words) - n + 1
+    for i in np.flatnonzero(np.isin(hashes[at:], wanted)):
+        yield int(hashes[at + i]), (stems[i],)
 
 
 def taught_once(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
@@ -116,13 +142,19 @@ def segments(rows: list[tuple[str, int]], fold: np.ndarray) -> list[list[bytes]]
     The order is that of the log-likelihood ratio of what is commoner in toxic rows. One that contains a segment before it is
     left out, and so are a beginning of one before it and one of a single toxic row.
     """
-    have = [np.unique(grams(t)[1]) for t, _ in rows]
-    found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h for h, (_, y) in zip(have, rows) if y)]), return_counts=True)
-    known = found[n > 1]
-    count, size = np.zeros((2, FOLDS, len(known))), np.zeros((2, FOLDS), int)
-    for h, (_, y), f in zip(have, rows, fold):
+    toxic = [gram_hashes(t) if y else None for t, y in rows]
+    known = np.concatenate([np.zeros(0, np.uint64), *(h for h in toxic if h is not None)])
+    known.sort()
+    known = known[1:][known[1:] == known[:-1]]  # what several toxic rows have
+    known = known[np.r_[True, known[1:] != known[:-1]]] if len(known) else known
+    count, size = np.zeros((2, FOLDS, len(known)), np.int32), np.zeros((2, FOLDS), int)
+    for i, ((t, y), f) in enumerate(zip(rows, fold)):
+        h = gram_hashes(t) if toxic[i] is None else toxic[i]
+        at = np.searchsorted(known, h)
+        at = at[at < len(known)]
         size[y, f] += 1
-        count[y, f, np.flatnonzero(np.isin(known, h, assume_unique=True))] += 1
+        count[y, f, at[known[at] == h[: len(at)]]] += 1
+        toxic[i] = None
     tops = []
     for left_out in [*range(FOLDS), None]:
         keep = [f for f in range(FOLDS) if f != left_out]
@@ -137,8 +169,7 @@ def segments(rows: list[tuple[str, int]], fold: np.ndarray) -> list[list[bytes]]
     wanted, names = np.array(sorted(set().union(*tops)), np.uint64), {}
     for t, y in rows:
         if y:
-            runs, hashes = grams(t)
-            names.update((int(hashes[i]), runs[i]) for i in np.flatnonzero(np.isin(hashes, wanted)))
+            names.update(named_grams(t, wanted))
     out = []
     for top in tops:
         taken: dict[tuple[bytes, ...], None] = {}
@@ -280,9 +311,16 @@ def learnt(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_OF_EACH,
     drawn = F.broadcast(labels.withColumn("draw", draw / limit).filter("draw < 1"))  # 2 * per_label rows at most, but for chance
     texts = docs.filter("text is not null").join(drawn, "doc_id").select("doc_id", "text", "toxic", "draw")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    got = texts.filter(F.col("draw") < min(1.0, sample_bytes / max(1, size))).toArrow()
-    rows = sorted(zip(*(got[c].to_pylist() for c in ("doc_id", "text", "toxic"))))
-    return fit([(t, int(y)) for _, t, y in rows], counts.get(1, 0) / sum(counts.values()))
+    sample = texts.filter(F.col("draw") < min(1.0, sample_bytes / max(1, size))).select("doc_id", "text", "toxic")
+    share = counts.get(1, 0) / sum(counts.values())
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([(t, int(y)) for _, t, y in rows], share))], pa.binary())], names=["model"])
+
+    # The sample is bounded, so one task holds it; the driver gets the model only.
+    got = sample.repartition(1).mapInArrow(fitted, "model binary").first()
+    return fit([], share) if got is None else pickle.loads(got.model)
 
 
 def score_toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
