@@ -63,8 +63,9 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("target_id"), (F.col("p_retailprice") / 2).alias("target_mz"))
 
 
-def param(name: str, accession: Column, integer: Column | None = None, number: Column | None = None) -> Column:
-    value = F.struct((integer if integer is not None else F.lit(None)).cast("bigint").alias("integer"), (number if number is not None else F.lit(None)).cast("double").alias("float"), F.lit(None).cast("string").alias("string"), F.lit(None).cast("boolean").alias("boolean"))
+def param(name: str, accession: Column, integer: Column | None = None, number: Column | None = None, text: Column | None = None, flag: Column | None = None) -> Column:
+    arms = (("integer", integer, "bigint"), ("float", number, "double"), ("string", text, "string"), ("boolean", flag, "boolean"))
+    value = F.struct(*[(F.lit(None) if v is None else v).cast(kind).alias(arm) for arm, v, kind in arms])
     return F.struct(F.lit(name).alias("name"), accession.alias("accession"), value.alias("value"), F.lit(None).cast("string").alias("unit"))
 
 

@@ -119,6 +119,68 @@ def imaging_position(spark, d):
     return m.select("spectrum_index", "p.x", "p.y", C.is_valid_position("p").alias("valid"))
 
 
+@query("SELECT spectrum_index, line, price, abs(mz - 500.0) <= 500.0 * 2000 / 1e6 AS near FROM point")
+def tolerance_test(spark, d):
+    return A.points(spark, d).select("spectrum_index", "line", "price", C.ppm(2000).test("mz", F.lit(500.0)).alias("near"))
+
+
+@query("""SELECT spectrum_index, CASE cust % 5 WHEN 0 THEN CAST(cust AS VARCHAR) WHEN 1 THEN CAST(CAST(cust + 0.5 AS DOUBLE) AS VARCHAR) WHEN 2 THEN 'c' || cust
+  WHEN 3 THEN CASE WHEN cust % 2 = 0 THEN 'true' ELSE 'false' END END AS value FROM meta""")
+def param_text(spark, d):
+    cust, arm = F.col("cust"), F.col("cust") % 5
+    text = F.when(arm == 2, F.concat(F.lit("c"), cust.cast("string")))
+    p = A.param("x", F.lit("X:1"), F.when(arm == 0, cust), F.when(arm == 1, cust + 0.5), text, F.when(arm == 3, cust % 2 == 0))
+    return A.metadata(spark, d).select("spectrum_index", C.param_text(p).alias("value"))
+
+
+@query("SELECT spectrum_index, CASE WHEN cust % 3 = 0 THEN 'tool' ELSE id END AS name FROM meta")
+def display_name(spark, d):
+    named = F.array(A.param(" ", F.lit("X:1")), F.when(F.col("cust") % 3 == 0, A.param("tool", F.lit("X:2"))))
+    return A.metadata(spark, d).select("spectrum_index", C.display_name(F.filter(named, lambda p: p.isNotNull()), "id").alias("name"))
+
+
+@query("SELECT spectrum_index, CASE cust % 5 WHEN 0 THEN 'ION_SOURCE' WHEN 1 THEN 'ANALYZER' WHEN 2 THEN 'DETECTOR' ELSE 'UNKNOWN' END AS component FROM meta")
+def component_type(spark, d):
+    kind = F.col("cust") % 5
+    name = F.when(kind == 0, "IonSource").when(kind == 1, "mass_analyzer").when(kind == 2, "Detector").when(kind == 3, "?")
+    return A.metadata(spark, d).select("spectrum_index", C.component_type(name).alias("component"))
+
+
+@query("SELECT spectrum_index, round(coalesce(CASE WHEN cust % 2 = 0 THEN cust / 7 END, CASE WHEN cust % 3 = 0 THEN cust END), 6) AS mobility FROM meta")
+def ion_mobility_of_ion(spark, d):
+    cust = F.col("cust")
+    some = F.array(A.param("none", F.lit("MS:1002476"), number=F.lit(float("nan"))), F.when(cust % 2 == 0, A.param("a", F.lit("MS:1003006"), number=cust / 7)), F.when(cust % 3 == 0, A.param("b", F.lit("MS:1002476"), integer=cust)))
+    return A.metadata(spark, d).select("spectrum_index", F.round(C.ion_mobility_of_ion(F.filter(some, lambda p: p.isNotNull())), 6).alias("mobility"))
+
+
+@query("SELECT spectrum_index, CASE WHEN cust % 2 = 0 THEN 2 ELSE 1 END AS windows, CAST(CASE WHEN cust % 2 = 0 THEN cust + 10 ELSE 2 END AS DOUBLE) AS upper FROM meta")
+def scan_windows(spark, d):
+    cust = F.col("cust")
+    given = F.array(F.struct(cust.alias("a"), F.when(cust % 2 == 0, cust + 10).alias("b")), F.struct(F.lit(1).cast("bigint").alias("a"), F.lit(2).cast("bigint").alias("b")))
+    w = A.metadata(spark, d).select("spectrum_index", C.scan_windows(given, "a", "b").alias("w"))
+    return w.select("spectrum_index", F.size("w").alias("windows"), C.first_of("w")["upper"].alias("upper"))
+
+
+@query("SELECT spectrum_index, CAST(CASE WHEN cust % 2 = 0 THEN cust ELSE cust + 1 END AS INTEGER) AS max_x FROM meta")
+def scan_setting(spark, d):
+    cust, term = F.col("cust"), "IMS:1000042"
+    number = F.when(cust % 2 == 0, A.param("x", F.lit(term), text=cust.cast("string"))).otherwise(A.param("x", F.lit(term), integer=cust + 1))
+    settings = F.array(A.param("x", F.lit("IMS:1000043"), integer=cust), A.param("x", F.lit(term), text=F.lit("many")), number)
+    return A.metadata(spark, d).select("spectrum_index", C.setting_number(settings, term, "int").alias("max_x"))
+
+
+@query("SELECT DISTINCT user_id AS chromatogram_index, CASE user_id % 3 WHEN 0 THEN 'total ion current' WHEN 1 THEN 'basepeak chromatogram' ELSE '?' END AS name FROM events")
+def chromatogram_type_name(spark, d):
+    return _chromatograms(spark, d).select("chromatogram_index", C.chromatogram_type_name("type").alias("name"))
+
+
+def _chromatograms(spark, d) -> DataFrame:
+    """A chromatogram for each user: (chromatogram_index, id, type)."""
+    index = F.col("chromatogram_index")
+    kind = F.when(index % 3 == 0, "MS:1000235").when(index % 3 == 1, "MS:1000628")
+    return A.chromatogram_points(spark, d).select("chromatogram_index").distinct().select(index, F.concat(F.lit("u"), index.cast("string")).alias("id"), kind.alias("type"))
+
+
 # ---- filters and lookups ----
 
 
@@ -256,9 +318,7 @@ def charge_histogram(spark, d):
 
 @query("SELECT coalesce(type, 'unknown') AS type, count(*) AS chromatograms, CAST(sum(n) AS BIGINT) AS points FROM (SELECT user_id, CASE user_id % 3 WHEN 0 THEN 'MS:1000235' WHEN 1 THEN 'MS:1000628' END AS type, count(*) AS n FROM events GROUP BY ALL) GROUP BY 1")
 def chrom_per_type(spark, d):
-    p = A.chromatogram_points(spark, d)
-    c = p.select("chromatogram_index").distinct().withColumn("type", F.when(F.col("chromatogram_index") % 3 == 0, "MS:1000235").when(F.col("chromatogram_index") % 3 == 1, "MS:1000628"))
-    return analytics.chromatograms_per_type(c, p)
+    return analytics.chromatograms_per_type(_chromatograms(spark, d), A.chromatogram_points(spark, d))
 
 
 @query("SELECT count(*) AS n, round(avg(intensity), 6) AS mean, min(intensity) AS min, quantile_cont(intensity, 0.25) AS q1, quantile_cont(intensity, 0.5) AS median, quantile_cont(intensity, 0.75) AS q3, max(intensity) AS max FROM point JOIN meta USING (spectrum_index) WHERE ms_level = 1")
@@ -391,8 +451,10 @@ def numpress_slof_roundtrip(spark, d):
 
 @query("SELECT vec_id AS wavelength_index, CAST(i - 1 AS INTEGER) AS pos, CAST(210 + 2 * (i - 1) AS DOUBLE) AS wavelength, CAST(embedding[i] AS DOUBLE) AS intensity FROM embeddings, unnest(range(1, len(embedding) + 1)) AS t(i)")
 def wavelength_points(spark, d):
-    e = A._read(spark, d, "embeddings").select(F.col("vec_id").alias("wavelength_index"), F.posexplode("embedding").alias("pos", "v"))
-    return e.select("wavelength_index", "pos", (210 + 2 * F.col("pos")).cast("double").alias("wavelength"), F.col("v").cast("double").alias("intensity"))
+    e = A._read(spark, d, "embeddings").select(F.col("vec_id").alias("wavelength_spectrum_index"), F.posexplode("embedding").alias("row_no", "intensity"))
+    member = e.select(F.struct("wavelength_spectrum_index", (210 + 2 * F.col("row_no")).alias("wavelength"), "intensity").alias("point"), "row_no")
+    p = tables.axis_points(member, "wavelength_spectrum_index", "wavelength")
+    return p.select(F.col("wavelength_spectrum_index").alias("wavelength_index"), F.col("ordinal.row_no").alias("pos"), "wavelength", "intensity")
 
 
 @query("""SELECT wavelength_index, -(s.w) AS lambda_max FROM (SELECT vec_id AS wavelength_index, max({'v': CAST(embedding[i] AS DOUBLE), 'w': CAST(-(210 + 2 * (i - 1)) AS DOUBLE)}) AS s FROM embeddings, unnest(range(1, len(embedding) + 1)) AS t(i) GROUP BY 1)""")
@@ -404,13 +466,24 @@ def lambda_max(spark, d):
 
 @query("SELECT spectrum_index, printf('%.6f,%.4f', rt, intensity) AS line FROM (SELECT m.spectrum_index, m.rt, coalesce(sum(p.intensity), 0) AS intensity FROM meta m LEFT JOIN point p ON p.spectrum_index = m.spectrum_index AND p.mz BETWEEN 399.5 AND 400.5 WHERE m.ms_level = 1 GROUP BY ALL)")
 def xic_csv_lines(spark, d):
-    return QUERIES["xic"](spark, d).select("spectrum_index", F.format_string("%.6f,%.4f", "rt", "intensity").alias("line"))
+    return sinks.xic_lines(QUERIES["xic"](spark, d)).withColumnRenamed("value", "line")
 
 
 @query("SELECT spectrum_index, printf('%.5f %d', ion_mz * coalesce(charge, 2) - (coalesce(charge, 2) - 1) * 1.007276466812::DOUBLE, coalesce(charge, 2)) AS header FROM meta WHERE ms_level >= 2")
 def dta_headers(spark, d):
-    m = A.metadata(spark, d).filter("ms_level >= 2")
-    return m.select("spectrum_index", F.format_string("%.5f %d", C.mh_plus("ion_mz", "charge"), F.coalesce("charge", F.lit(2))).alias("header"))
+    scan = F.split("name", r"\.")[1].cast("bigint")
+    return QUERIES["dta_texts"](spark, d).select((scan - 1).alias("spectrum_index"), F.substring_index("value", "\n", 1).alias("header"))
+
+
+@query("""SELECT 'run.' || (spectrum_index + 1) || '.' || (spectrum_index + 1) || '.' || coalesce(charge, 2) || '.dta' AS name,
+    printf('%.5f %d', ion_mz * coalesce(charge, 2) - (coalesce(charge, 2) - 1) * 1.007276466812::DOUBLE, coalesce(charge, 2)) || coalesce(lines, '') AS value
+  FROM meta LEFT JOIN (SELECT spectrum_index, string_agg(chr(10) || printf('%.5f %.4f', mz, intensity), '' ORDER BY line, price) AS lines FROM point GROUP BY 1) USING (spectrum_index)
+  WHERE ms_level >= 2""")
+def dta_texts(spark, d):
+    arrays = facets.points_to_arrays(A.points(spark, d), ORDER)
+    spectra = facets.payload(_described(spark, d), arrays, arrays.limit(0))
+    none = F.array().cast("array<struct<mz: double, intensity: double>>")
+    return sinks.dta_texts(spectra.withColumn("peaks", none), "run.analog")
 
 
 @query("SELECT spectrum_index, n FROM (SELECT cust AS spectrum_index, count(*) AS n FROM meta GROUP BY 1) WHERE n > 1")
@@ -423,14 +496,23 @@ def duplicate_indices(spark, d):
 # ---- runs ----
 
 
-def _rewritten(spark, d, layout: str):
-    """The analog run written as an archive and opened again."""
+def _described(spark, d) -> DataFrame:
+    """The analog spectra in the shape of Run.metadata(): those of level 2 and 3 with an ion."""
     m = A.metadata(spark, d).withColumn("polarity", C.polarity("polarity_code")).withColumn("continuity", C.continuity("representation"))
-    ion = F.struct(F.col("ion_mz").alias("mz"), F.col("charge").cast("int").alias("charge"), F.lit(None).cast("double").alias("intensity"), F.array().cast(f"array<{C.PARAM}>").alias("params"))
-    made = F.array(F.struct(F.lit(None).cast("struct<precursor_index: bigint, precursor_id: string, isolation_window: struct<target_mz: double, lower_offset: double, upper_offset: double>, activation: array<" + C.PARAM + ">>").alias("precursor"), F.array(ion).alias("ions")))
-    m = m.withColumn("scans", F.array().cast(tables.SCANS)).withColumn("precursors", F.when(C.is_msn("ms_level"), made).otherwise(F.array().cast(tables.PRECURSORS))).withColumn("params", F.array().cast(f"array<{C.PARAM}>"))
+    params = F.array().cast(f"array<{C.PARAM}>")
+    ion = F.struct(F.col("ion_mz").alias("mz"), F.col("charge").cast("int").alias("charge"), F.lit(None).cast("double").alias("intensity"), params.alias("params"))
+    window = "isolation_window: struct<target_mz: double, lower_offset: double, upper_offset: double>"
+    no_precursor = F.lit(None).cast(f"struct<precursor_index: bigint, precursor_id: string, {window}, activation: array<{C.PARAM}>>")
+    made = F.array(F.struct(no_precursor.alias("precursor"), F.array(ion).alias("ions")))
+    precursors = F.when(C.is_msn("ms_level"), made).otherwise(F.array().cast(tables.PRECURSORS))
+    return m.withColumn("scans", F.array().cast(tables.SCANS)).withColumn("precursors", precursors).withColumn("params", params)
+
+
+def _rewritten(spark, d, layout: str, chromatograms: DataFrame | None = None):
+    """The analog run written as an archive and opened again."""
     path = f"{shared_dir(spark).removeprefix('file://').removeprefix('file:')}/ionloom-{uuid.uuid4().hex}"
-    sinks.write_run(m, A.points(spark, d).withColumn("ordinal", F.struct(*ORDER)), path, container="zip", layout=layout)
+    points = A.points(spark, d).withColumn("ordinal", F.struct(*ORDER))
+    sinks.write_run(_described(spark, d), points, path, chromatograms, container="zip", layout=layout, intensity="pic")
     return open_run(spark, path)
 
 
@@ -445,3 +527,33 @@ def archive_roundtrip(spark, d):
 def archive_metadata(spark, d):
     m = _rewritten(spark, d, "numpress").metadata()
     return m.withColumn("ion", C.primary(C.primary("precursors")["ions"])).select("spectrum_index", "id", "ms_level", "rt", "polarity", F.col("ion.mz").alias("ion_mz"), F.col("ion.charge").alias("charge"))
+
+
+@query(f"SELECT spectrum_index, pos, round(mz, 4) AS mz, intensity FROM ({PLACED})")
+def archive_numpress(spark, d):
+    p = _rewritten(spark, d, "numpress").points()
+    place = F.row_number().over(Window.partitionBy("spectrum_index").orderBy("ordinal")) - 1
+    return p.select("spectrum_index", place.cast("long").alias("pos"), F.round("mz", 4).alias("mz"), "intensity")
+
+
+CHROMATOGRAMS = """SELECT user_id AS chromatogram_index, row_number() OVER (PARTITION BY user_id ORDER BY ts, value) - 1 AS pos, CAST(epoch_us(ts) AS DOUBLE) AS time, value AS intensity FROM events"""
+
+
+def _chromatogram_arrays(spark, d) -> DataFrame:
+    points = A.chromatogram_points(spark, d).withColumn("time", F.col("micros").cast("double"))
+    return facets.with_arrays(_chromatograms(spark, d), points, ["micros", "intensity"], "time", "chromatogram_index")
+
+
+def _spread(c: DataFrame) -> DataFrame:
+    at = F.posexplode(F.arrays_zip("time", "intensity")).alias("pos", "z")
+    return c.select("chromatogram_index", at).select("chromatogram_index", F.col("pos").cast("long").alias("pos"), "z.time", "z.intensity")
+
+
+@query(CHROMATOGRAMS)
+def chromatogram_arrays(spark, d):
+    return _spread(_chromatogram_arrays(spark, d))
+
+
+@query(CHROMATOGRAMS)
+def archive_chromatograms(spark, d):
+    return _spread(_rewritten(spark, d, "point", _chromatogram_arrays(spark, d)).chromatograms())

@@ -16,9 +16,6 @@ from .sources import manifest as M
 from .sources import tables
 from .sources.archive import located, safe_member
 
-#: The largest metadata member whose footer is read, in bytes.
-FOOTER_BYTES = 1 << 30
-
 
 class Run:
     """One run. Every table is lazy; nothing is read but the manifest until a table is used."""
@@ -69,11 +66,7 @@ class Run:
 
     def footer(self) -> dict[str, str]:
         """Key-value pairs of the metadata member's Parquet footer."""
-        path = f"{self.folder}/{safe_member(self.manifest.find(M.SPECTRA))}"
-        size = self.spark.read.format("binaryFile").load(path).select("length").first()[0]
-        if size > FOOTER_BYTES:
-            raise M.RunError("the metadata member is too large to read its footer here")
-        raw = self.spark.read.format("binaryFile").load(path).select("content").first()[0]
+        raw = tables.footer_bytes(self.spark, f"{self.folder}/{safe_member(self.manifest.find(M.SPECTRA))}")
         return {k.decode(): v.decode() for k, v in (pq.read_metadata(io.BytesIO(raw)).metadata or {}).items()}
 
     def file_metadata(self) -> dict:

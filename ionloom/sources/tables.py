@@ -178,3 +178,24 @@ def chromatograms(df: DataFrame) -> DataFrame:
 def wavelength_spectra(df: DataFrame) -> DataFrame:
     rows = df.filter("spectrum is not null").select(key(df, "spectrum.index").alias("wavelength_spectrum_index"), "row_no", optional(df, "spectrum.id", "string").alias("id"), optional(df, "spectrum.time", "double").alias("time"), F.coalesce(optional(df, f"spectrum.{LAMBDA_MAX}", "double"), optional(df, "spectrum.lambda_max", "double")).alias("lambda_max"))
     return _last(rows, "wavelength_spectrum_index")
+
+
+def footer_bytes(spark: SparkSession, path: str) -> bytes:
+    """The end of a Parquet file, from its footer on, behind the magic bytes: enough to read its metadata, and no data.
+
+    Two short reads through Spark's file systems, whatever the file's size.
+    """
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    size = store.getFileStatus(where).getLen()
+    stream = store.open(where)
+    try:
+
+        def last(n: int) -> bytes:
+            stream.seek(size - n)
+            return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, n))
+
+        return b"PAR1" + last(int.from_bytes(last(8)[:4], "little") + 8)
+    finally:
+        stream.close()
