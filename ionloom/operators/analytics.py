@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import Tolerance, activation_methods, finite, is_msn
@@ -83,12 +83,45 @@ def chromatograms_per_type(chromatograms: DataFrame, points: DataFrame, kind: st
     return chromatograms.join(per, "chromatogram_index", "left").groupBy(F.coalesce(kind, F.lit("unknown")).alias("type")).agg(F.count("*").alias("chromatograms"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("points"))
 
 
+def quantiles(values: DataFrame, column: str, at: tuple[float, ...], parts: int | None = None) -> DataFrame:
+    """One row, q0, q1 ...: exact quantiles of the finite values, by linear interpolation; null if there are none.
+
+    Values are counted first. The counts are summed by part of the axis (cut at approximate quantiles), and only the parts in
+    which a wanted rank lies are sorted, so that no task holds the axis and no rank depends on where the cuts lie.
+    """
+    parts = parts or int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    v = values.select(finite(column).alias("v")).filter("v is not null")
+    cuts = sorted(set(v.stat.approxQuantile("v", [k / parts for k in range(1, parts)], min(0.01, 0.1 / parts)))) if parts > 1 else []
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("v"))) if cuts else F.lit(0)
+    counts = v.groupBy("v").agg(F.count("*").alias("n")).withColumn("part", part)
+    all_parts = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # one row a part
+    so_far = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = counts.groupBy("part").agg(F.sum("n").alias("held"))
+    held = held.select("part", "held", (F.sum("held").over(so_far) - F.col("held")).alias("before"), F.sum("held").over(all_parts).alias("total"))
+    asked = F.array(*[F.struct(F.lit(i).alias("i"), ((F.col("total") - 1) * F.lit(float(q))).alias("at")) for i, q in enumerate(at)])
+    wanted = held.select("part", "held", "before", F.explode(asked).alias("w")).select("part", "held", "before", "w.i", "w.at")
+    wanted = wanted.withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at"))))).filter("rank >= before AND rank < before + held")
+    few = F.broadcast(wanted.select("part", "before").distinct())  # two parts a quantile at most
+    inside = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.join(few, "part").withColumn("upto", F.col("before") + F.sum("n").over(inside)).drop("before")
+    found = ranked.join(F.broadcast(wanted.select("part", "i", "at", "rank")), "part").filter("rank >= upto - n AND rank < upto")
+    ends = found.groupBy("i", "at").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    between = (F.ceil("at") - F.col("at")) * F.col("low") + (F.col("at") - F.floor("at")) * F.col("high")
+    each = ends.select("i", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(between).alias("q"))
+    return each.agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(f"q{i}") for i in range(len(at))])
+
+
 def five_numbers(values: DataFrame, column: str, approximate: bool = False) -> DataFrame:
     """One row: n, mean, min, q1, median, q3, max of the finite values; quartiles exact, by linear interpolation, or approximate."""
     v = finite(column)
-    # Exact quantiles over few distinct values are counts first; Spark's percentile keeps a count for each distinct value.
-    how = (lambda q: F.percentile_approx(v, q)) if approximate else (lambda q: F.percentile(v, q))
-    return values.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"), how(0.25).alias("q1"), how(0.5).alias("median"), how(0.75).alias("q3"), F.max(v).alias("max"))
+    names, at = ("q1", "median", "q3"), (0.25, 0.5, 0.75)
+    near = [F.percentile_approx(v, q).alias(x) for q, x in zip(at, names)] if approximate else []
+    out = values.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), *near)
+    if not approximate:
+        exact = quantiles(values, column, at).toDF(*names)
+        both = out.unionByName(exact, allowMissingColumns=True)  # two rows, each null where the other is not
+        out = both.agg(*[F.max(x).alias(x) for x in both.columns])
+    return out.select("n", "mean", "min", *names, "max")
 
 
 def count_in_box(metadata: DataFrame, points: DataFrame, rt: tuple[float, float], mz: tuple[float, float], levels: list[int] | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ionloom.functions import codecs, peaks
 from ionloom.functions import columns as C
-from ionloom.operators import gaps, lookups
+from ionloom.operators import analytics, gaps, lookups
 
 IDS = [("controllerType=0 controllerNumber=1 scan=3", 3), ("function=1 process=0 scan=42", 42), ("scanId=1", 1), ("frame=7 x=2", 7), ("sample=1 period=1 cycle=123 experiment=1", 123), ("index=99", 99), ("spectrum=5", 5), (None, None), ("scan=99999999999 frame=7", None), ("prescan=4", None)]
 
@@ -133,6 +133,16 @@ def test_nearest_times_against_brute_force(spark, parts):
     assert lookups.nearest_times(none, spark.createDataFrame(asked, "query_id long, time double"), parts=parts).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 3, 8])
+@pytest.mark.parametrize("values", [[], [2.0], [1.0, 2.0], [5.0] * 30 + [1.0], [float(x * x % 97) / 4 - 9 for x in range(301)], [float("nan"), None, 3.0, float("inf"), 8.0, -0.0]])
+def test_quantiles_against_numpy(spark, values, parts):
+    at = (0.0, 0.25, 0.5, 0.75, 1.0)
+    df = spark.createDataFrame([(v, 1) for v in values], "x double, part int")
+    sound = [v for v in values if v is not None and np.isfinite(v)]
+    got = tuple(analytics.quantiles(df, "x", at, parts).first())
+    assert got == (pytest.approx(tuple(np.quantile(sound, at)), abs=1e-9) if sound else (None,) * 5)
+
+
 def test_streamed_chromatogram(spark, tmp_path):
     from datetime import datetime, timedelta
 
