@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionloom.llm.common import scratch, small, table, text_key, written
+from ionloom.llm.common import join_one, scratch, small, table, text_key, written
 from ionloom.llm.decontaminate import leaking_texts
 from ionloom.llm.jaccard import classed_rows
 from ionloom.llm.mix import mix_sources
@@ -36,7 +36,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes = classed_rows(docs).filter("label is not null").select("doc_id", "tid", "label")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tid")
     first = classes.groupBy("label").agg(F.min(order).alias("first"))
-    judged = classes.groupBy("doc_id", "tid", "label").agg(F.count("*").alias("n")).join(first, "label")
+    counted = written(classes.groupBy("doc_id", "tid", "label").agg(F.count("*").alias("n")), "counted")
+    judged = join_one(counted, first, "label")
     stays = F.expr("doc_id <=> first.doc_id and tid = first.tid")
     keys = written(judged.select("doc_id", "tid", "n", stays.alias("stays")).filter("not stays or n > 1"), "judged")
     marked = docs.withColumn("tid", text_key()).alias("d")

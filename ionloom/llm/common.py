@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources.storage import scratch, shared_dir, written
 
-__all__ = ["pieces", "scratch", "shared_dir", "small", "table", "text_key", "written"]
+__all__ = ["join_one", "pieces", "scratch", "shared_dir", "small", "table", "text_key", "written"]
 
 #: Bytes of texts that are turned into Python objects at once; a longer text is a piece of its own.
 PIECE_BYTES = 1 << 20
@@ -35,6 +35,23 @@ def small(df: DataFrame, values: Column | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_VALUES else df
 
 
+def join_one(rows: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of ``one``, which has one row a key at most, or nulls; rows must be cheap to read, and may have hot keys.
+
+    A key with more rows than a mean partition holds is hot, so there are fewer hot keys than partitions: what ``one`` has for
+    them is broadcast and their rows stay where they are. All others are shuffled by key; rows without a key meet nothing.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    hot = written(counts.filter(F.col("n") > max(rows.count() // parts, 1)).select(key), "hot")
+    columns = [*rows.columns, *[c for c in one.columns if c != key]]
+    known = F.broadcast(one.join(F.broadcast(hot), key, "left_semi"))
+    of_hot = rows.join(F.broadcast(hot), key, "left_semi").join(known, key, "left")
+    of_rest = rows.filter(F.col(key).isNotNull()).join(F.broadcast(hot), key, "left_anti").join(one, key, "left")
+    keyless = rows.filter(F.col(key).isNull()).select("*", *[F.lit(None).cast(one.schema[c].dataType).alias(c) for c in columns[len(rows.columns) :]])
+    return of_hot.select(*columns).union(of_rest.select(*columns)).union(keyless.select(*columns))
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
     """The batches in slices whose texts (the column of this number) take few bytes, however long the batches are.
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_VALUES, pieces, scratch, table, text_key, written
+from .common import BROADCAST_VALUES, join_one, pieces, scratch, table, text_key, written
 from .shingles import PLACES, mixed, set_hash, shingle_set
 
 WIDTH, SIMILARITY = 5, (80, 100)
@@ -317,7 +317,9 @@ def similar_classes(docs: DataFrame, width: int = WIDTH, similarity: tuple[int,
     named = classed_rows(docs, width, similarity, doc_id, text)
     smallest = named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     equal = named.filter("node is not null").groupBy("node").agg(F.count("*").alias("n_equal"))
-    out = named.join(smallest, "label", "left").join(equal, "node", "left")
+    with scratch(docs.sparkSession):
+        placed = written(join_one(named, smallest, "label"), "placed", outer=True)
+    out = join_one(placed, equal, "node")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_equal", F.lit(1)).cast("long").alias("n_equal"))
 
 
@@ -374,7 +376,7 @@ def _labelled(docs: DataFrame, width: int, similarity: tuple[int, int], doc_id:
     if not more.isEmpty():
         labels = written(connected(links.union(more)), "labels")
 
-    named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = join_one(members, labels, "node").withColumn("label", F.coalesce("label", "node"))
     return named.select("doc_id", "tid", "n_shingles", "node", "label")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ionloom.llm import chat, decontaminate, html, imatch, jaccard, language, mix, pii, tokens, toxicity
+from ionloom.llm.common import join_one
 
 SMALL = "/root/testdata/sf0.001"
 LONG = "lorem ipsum " * 4000
@@ -230,6 +231,17 @@ def test_signatures_lose_no_link():
                 assert np.intersect1d(x, y).size
 
 
+def test_join_by_hot_keys(spark):
+    """A third of the rows has one key, a third has none, and a key is on one side only."""
+    rows = [(1, i) for i in range(200)] + [(None, i) for i in range(200)] + [(k, k) for k in range(2, 202)]
+    one = {1: "one", **{k: str(k) for k in range(2, 150)}, 999: "nobody"}
+    known = spark.createDataFrame([(k, v, v) for k, v in one.items()], "key long, name string, again string")
+    got = join_one(spark.createDataFrame(rows, "key long, x long"), known, "key")
+    assert got.columns == ["key", "x", "name", "again"]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr((k, x, one.get(k), one.get(k))) for k, x in rows)
+    assert join_one(spark.createDataFrame([], "key long, x long"), known, "key").isEmpty()
+
+
 def test_classes_odd(odd):
     got = collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.n_equal) for r in jaccard.similar_classes(odd).collect())
     assert got[(1, 3, 1, 3)] == 2 and got[(7, 3, 1, 3)] == 1 and got[(2, 0, 2, 1)] == 1 and got[(3, 0, 3, 1)] == 1 and got[(6, 0, 6, 1)] == 1 and got[(5, 1, 5, 1)] == 1
