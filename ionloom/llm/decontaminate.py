@@ -105,13 +105,13 @@ def weighted_similarity(a: str, b: str, m: str) -> Column:
     return both / (2 * F.col(m) - both)
 
 
-def _items(items: DataFrame, item_id: str, text: str) -> tuple[DataFrame, list[int]]:
-    """(item_id, n, width, m, g): an item's words, the width and number of its shingles, and these; and the widths there are."""
-    items = items.select(F.col(item_id).alias("item_id"), F.col(text).cast("string").alias("text")).filter("text is not null")
-    items = with_words(items).filter("size(h) > 0").withColumn("n", F.size("h")).withColumn("width", F.least("n", F.lit(WIDTH)))
-    widths = sorted(r.width for r in items.select("width").distinct().collect())  # five at most
-    items = items.withColumn("g", of_width(widths)).withColumn("m", F.size("g"))
-    return written(items.select("item_id", "n", "width", "m", "g"), "items"), widths
+def _items(items: DataFrame, item_id: str, text: str) -> tuple[DataFrame, DataFrame, list[int]]:
+    """Each item text once, whatever ids it has: (key, n, width, m, g), its words, the width and number of its shingles, and these; (key, item_id), the ids of each; and the widths there are."""
+    named = items.select(F.col(item_id).alias("item_id"), text_key(text).alias("key"), F.col(text).cast("string").alias("text")).filter("text is not null")
+    once = with_words(named.groupBy("key").agg(F.first("text").alias("text"))).filter("size(h) > 0").withColumn("n", F.size("h")).withColumn("width", F.least("n", F.lit(WIDTH)))
+    widths = sorted(r.width for r in once.select("width").distinct().collect())  # five at most
+    once = once.withColumn("g", of_width(widths)).withColumn("m", F.size("g"))
+    return written(once.select("key", "n", "width", "m", "g"), "items"), written(named.select("key", "item_id").distinct(), "item-ids"), widths
 
 
 def _hits(texts: DataFrame, items: DataFrame, widths: list[int], similarity: float) -> DataFrame:
@@ -157,22 +157,22 @@ def _windows(hits: DataFrame) -> tuple[DataFrame, DataFrame]:
 def leaking_texts(texts: DataFrame, items: DataFrame, similarity: float = SIMILARITY, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """texts (tid, text; null texts left out) -> tid, item_id, start_word, n_words, similarity: the best window of each text and item."""
     with scratch(texts.sparkSession):
-        items, widths = _items(items, item_id, text)
+        items, ids, widths = _items(items, item_id, text)
         windows, lists = _windows(_hits(texts, items, widths, similarity))
 
-        one = items.select("item_id", "n", "m", F.explode("g").alias("x"))
-        own = one.groupBy("item_id", "n", "m").agg(*[F.sum(c).alias(f"s{k}") for k, c in enumerate(lanes("x"))]).withColumn("simhash", simhash("m"))
-        index = written(own.select("item_id", "n", F.col("simhash").alias("theirs"), blocks(RADIUS // BLOCKS).alias("b")).select("item_id", "n", "theirs", "b.*"), "item-blocks")
+        one = items.select("key", "n", "m", F.explode("g").alias("x"))
+        own = one.groupBy("key", "n", "m").agg(*[F.sum(c).alias(f"s{k}") for k, c in enumerate(lanes("x"))]).withColumn("simhash", simhash("m"))
+        index = written(own.select("key", "n", F.col("simhash").alias("theirs"), blocks(RADIUS // BLOCKS).alias("b")).select("key", "n", "theirs", "b.*"), "item-blocks")
         near = windows.withColumn("b", blocks()).select(*windows.columns, "b.*").join(small(index), ["n", "place", "value"])
         near = near.filter(F.bit_count(F.col("simhash").bitwiseXOR(F.col("theirs"))) <= RADIUS)
-        near = written(near.select("tid", "n", "start", "m", "held", "before", "item_id").distinct(), "near")
+        near = written(near.select("tid", "n", "start", "m", "held", "before", "key").distinct(), "near")
 
-        theirs = items.select("item_id", F.col("n").alias("n_words"), F.col("g").alias("theirs"))
-        pairs = near.join(small(theirs, F.size("theirs")), "item_id")
+        theirs = items.select("key", F.col("n").alias("n_words"), F.col("g").alias("theirs"))
+        pairs = near.join(small(theirs, F.size("theirs")), "key")
         pairs = pairs.filter("n = n_words").join(lists, ["tid", "n"])
-        pairs = pairs.select("tid", "item_id", "n", "start", "m", "theirs", computed(F.slice("xs", F.col("before") + 1, F.col("held"))).alias("g"))
-        found = pairs.select("tid", "item_id", "n", "start", computed(weighted_similarity("g", "theirs", "m")).alias("similarity")).filter(F.col("similarity") >= similarity)
-        best = found.groupBy("tid", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n")).alias("best"))
+        pairs = pairs.select("tid", "key", "n", "start", "m", "theirs", computed(F.slice("xs", F.col("before") + 1, F.col("held"))).alias("g"))
+        found = pairs.select("tid", "key", "n", "start", computed(weighted_similarity("g", "theirs", "m")).alias("similarity")).filter(F.col("similarity") >= similarity)
+        best = found.join(small(ids), "key").groupBy("tid", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n")).alias("best"))
         return written(best.select("tid", "item_id", (-F.col("best.back")).alias("start_word"), F.col("best.n").alias("n_words"), "best.similarity"), "leaks", outer=True)
 
 
@@ -181,8 +181,9 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, doc
 
     The window reported is the most similar one, the first of equals; start_word counts the document's words from 0. Null
     and empty texts, and items without words, are in no row; a document shorter than an item can't hold its window. Repeated
-    rows with one id and text give one row for each item, and so do several texts of one id whose best windows agree; items
-    with one id count as one, and items without id are passed over. Null document ids are as good as others. Other columns
+    rows with one id and text give one row for each item, and so do several texts of one id whose best windows agree; repeated
+    items count once, items of several texts under one id give the best window of any, and a text under several ids gives a row
+    for each, a null id included. Null document ids are as good as others. Other columns
     are ignored; either table may be empty.
     """
     texts = docs.select(F.col(doc_id).alias("doc_id"), text_key(text).alias("tid"), F.col(text).cast("string").alias("text")).filter("text is not null")

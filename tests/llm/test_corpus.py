@@ -352,6 +352,22 @@ def test_leaks_odd(spark, odd):
     assert decontaminate.leaks(odd.limit(0), items).count() == 0 and decontaminate.leaks(odd, items.limit(0)).count() == 0
 
 
+def test_repeated_items_and_shared_ids(spark, tmp_path):
+    r = random.Random(21)
+    words = lambda n: [f"w{r.randrange(3000)}" for _ in range(n)]
+    texts_of = [" ".join(words(40 if i % 2 else 30)) for i in range(20)]
+    docs = [(d, " ".join([*words(20), texts_of[d % 20], *words(20)])) for d in range(40)]
+    doc_df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = lambda rows: {(x.doc_id, x.item_id) for x in decontaminate.leaks(doc_df, spark.createDataFrame(rows, "item_id long, text string")).collect()}
+    once = list(enumerate(texts_of))
+    # Repeated rows; two lengths under one id; one length under one id; texts that also have no id.
+    rows = once * 3 + [(100 + i // 2, t) for i, t in once] + [(200 + i % 10, t) for i, t in once] + [(None, t) for _, t in once]
+    want = {(d, i) for d in range(40) for i in (d % 20, 100 + d % 20 // 2, 200 + d % 10, None)}
+    assert found(rows) == want
+    spark.createDataFrame([(i // 2, t) for i, t in once] * 2, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.drop_leaks(spark, doc_df, str(tmp_path)).count() == 0
+
+
 # ---- toxicity, language ----
 
 
