@@ -11,6 +11,7 @@ from .jaccard import op4_jaccard_join
 from .language import op9_language_id
 from .mix import OP7_SQL, op7_mix_sources
 from .negatives import OP12_SQL, op12_hard_negatives
+from .packing import op13_pack_sequences
 from .pii import op3_personal_data
 from .tokens import op2_token_counts
 from .toxicity import op5_toxicity
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_imatch_fingerprints": op10_imatch_fingerprints,
     "op11_compress_codes": op11_compress_codes,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_pack_sequences": op13_pack_sequences,
 }
 
 SQL = {
