@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -536,6 +537,40 @@ def archive_numpress(spark, d):
     return p.select("spectrum_index", place.cast("long").alias("pos"), F.round("mz", 4).alias("mz"), "intensity")
 
 
+def _pruned(spark, d, sort: bool):
+    """The analog run as a folder of small row groups; unless sorted by spectrum, its signals lie in order of m/z."""
+    path = f"{shared_dir(spark).removeprefix('file://').removeprefix('file:')}/ionloom-{uuid.uuid4().hex}"
+    points = A.points(spark, d).withColumn("ordinal", F.struct(*ORDER))
+    sinks.write_run(_described(spark, d), points, path, row_group=1 << 16)
+    if not sort:
+        name = "spectra_data.parquet"
+        rows = spark.read.parquet(f"file://{path}/{name}")
+        sinks.write_member(rows.withColumn("sort_key", F.col("point.mz")), path, f"by-mz-{name}", ["sort_key"], 1 << 16)
+        os.replace(f"{path}/by-mz-{name}", f"{path}/{name}")
+    return open_run(spark, path)
+
+
+LATE_XIC = """SELECT m.spectrum_index, m.rt, coalesce(sum(p.intensity), 0) AS intensity FROM meta m LEFT JOIN point p ON p.spectrum_index = m.spectrum_index AND p.mz BETWEEN 399.5 AND 400.5
+  WHERE m.ms_level = 1 AND m.rt BETWEEN 100 AND 200 GROUP BY ALL"""
+
+
+@query(LATE_XIC)
+def pruned_xic(spark, d):
+    return _pruned(spark, d, True).xic(400.0, C.da(0.5), (1,), 100, 200)
+
+
+@query(LATE_XIC)
+def pruned_xic_unsorted(spark, d):
+    return _pruned(spark, d, False).xic(400.0, C.da(0.5), (1,), 100, 200)
+
+
+@query("""SELECT spectrum_index, row_number() OVER (ORDER BY CASE WHEN ms_level > 1 THEN mz END, line, price) - 1 AS pos, mz, intensity
+  FROM point JOIN meta USING (spectrum_index) WHERE spectrum_index = 77""")
+def pruned_spectrum(spark, d):
+    one = _rewritten(spark, d, "point").spectra(index=77)
+    return one.select("spectrum_index", F.posexplode(F.arrays_zip("mz", "intensity")).alias("pos", "z")).select("spectrum_index", F.col("pos").cast("long").alias("pos"), "z.mz", "z.intensity")
+
+
 CHROMATOGRAMS = """SELECT user_id AS chromatogram_index, row_number() OVER (PARTITION BY user_id ORDER BY ts, value) - 1 AS pos, CAST(epoch_us(ts) AS DOUBLE) AS time, value AS intensity FROM events"""
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import shutil
 
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +14,7 @@ from .operators import analytics, facets, gaps, lookups
 from .sources import manifest as M
 from .sources import tables
 from .sources.archive import located, safe_member
+from .sources.groups import for_keys, for_mz, group_index, read_groups
 
 
 class Run:
@@ -22,9 +22,9 @@ class Run:
 
     def __init__(self, spark: SparkSession, path: str, reconstruct: bool = True):
         self.spark, self.path, self.reconstruct = spark, path, reconstruct
-        self.folder, self.staged = located(spark, path)
+        self.place = located(spark, path)
         try:
-            self.manifest = M.Manifest.parse(M.read_text(spark, f"{self.folder}/{M.MANIFEST}"))
+            self.manifest = M.Manifest.parse(self.place.manifest_text(spark))
             if self.manifest.find(M.SPECTRA) is None:
                 raise M.RunError("the run has no spectrum metadata")
         except Exception:
@@ -32,9 +32,8 @@ class Run:
             raise
 
     def close(self) -> None:
-        """Removes what was staged; tables of an archive can't be used any more then."""
-        if self.staged:
-            shutil.rmtree(self.folder.removeprefix("file://"), ignore_errors=True)
+        """Removes what was staged; tables of such an archive can't be used any more then."""
+        self.place.remove()
 
     def __enter__(self) -> Run:
         return self
@@ -43,8 +42,30 @@ class Run:
         self.close()
 
     def member(self, role: tuple[str, str]) -> DataFrame | None:
+        """A member's rows with row_no, their place; None if the run hasn't got it."""
         name = self.manifest.find(role)
-        return None if name is None else tables.read(self.spark, f"{self.folder}/{safe_member(name)}")
+        if name is None:
+            return None
+        name = safe_member(name)
+        if name in self.place.members:
+            return read_groups(self.spark, self.place.members[name])
+        if self.place.members:
+            raise M.RunError(f"the archive has no member {name!r}")
+        return tables.read(self.spark, f"{self.place.folder}/{name}")
+
+    def needed(self, role: tuple[str, str], keys: tuple[int, int] | None = None, mz: tuple[float, float] | None = None) -> DataFrame | None:
+        """The rows of the row groups of a signal member that may hold spectra with these indices, or points with this m/z, both ends inclusive.
+
+        All rows where tasks can't open the member by themselves. What isn't asked for must still be filtered.
+        """
+        name = self.manifest.find(role)
+        where = None if name is None else self.place.direct(safe_member(name))
+        if where is None or (keys is None and mz is None):
+            return self.member(role)
+        every = group_index(where)
+        groups = every if keys is None else for_keys(every, *keys)
+        groups = groups if mz is None else for_mz(groups, *mz)
+        return read_groups(self.spark, where, groups) if len(groups) < len(every) else self.member(role)
 
     # ---- metadata ----
 
@@ -66,8 +87,13 @@ class Run:
 
     def footer(self) -> dict[str, str]:
         """Key-value pairs of the metadata member's Parquet footer."""
-        raw = tables.footer_bytes(self.spark, f"{self.folder}/{safe_member(self.manifest.find(M.SPECTRA))}")
-        return {k.decode(): v.decode() for k, v in (pq.read_metadata(io.BytesIO(raw)).metadata or {}).items()}
+        name = safe_member(self.manifest.find(M.SPECTRA))
+        if (where := self.place.direct(name)) is not None:
+            with where.open() as f:
+                pairs = f.metadata.metadata
+        else:
+            pairs = pq.read_metadata(io.BytesIO(tables.footer_bytes(self.spark, f"{self.place.folder}/{name}"))).metadata
+        return {k.decode(): v.decode() for k, v in (pairs or {}).items()}
 
     def file_metadata(self) -> dict:
         return M.file_metadata(self.footer())
@@ -80,13 +106,15 @@ class Run:
 
     # ---- signals ----
 
-    def _points(self, role: tuple[str, str]) -> DataFrame:
-        df = self.member(role)
+    def _points(self, role: tuple[str, str], keys: tuple[int, int] | None = None, mz: tuple[float, float] | None = None) -> DataFrame:
+        df = self.needed(role, keys, mz)
         if df is None:
             return self.spark.createDataFrame([], "spectrum_index bigint, ordinal struct<row_no: struct<file: string, row: bigint>, pos: int>, mz double, intensity double")
         points = tables.signal_points(df)
+        points = points if keys is None else points.filter(F.col("spectrum_index").between(*keys))
         models = self.metadata().select("spectrum_index", "mz_delta_model")
-        return gaps.reconstruct(points, models, ["ordinal"], fill=self.reconstruct)
+        points = gaps.reconstruct(points, models, ["ordinal"], fill=self.reconstruct)
+        return points if mz is None else points.filter(F.col("mz").between(*mz))
 
     def profile_points(self) -> DataFrame:
         """(spectrum_index, ordinal, mz, intensity), gaps filled or dropped."""
@@ -95,10 +123,16 @@ class Run:
     def peak_points(self) -> DataFrame:
         return self._points(M.PEAKS)
 
-    def points(self) -> DataFrame:
-        """The points of each spectrum's payload: of its profile, or of its peaks if it has no profile."""
-        profile, peaks = self.profile_points(), self.peak_points()
-        return profile.unionByName(peaks.join(profile.select("spectrum_index").distinct(), "spectrum_index", "left_anti"))
+    def points(self, keys: tuple[int, int] | None = None, mz: tuple[float, float] | None = None) -> DataFrame:
+        """The points of each spectrum's payload: of its profile, or of its peaks if it has no profile.
+
+        keys and mz are ranges of indices and m/z, both ends inclusive; only row groups that may hold such points are read.
+        """
+        profile, peaks = self._points(M.SIGNALS, keys, mz), self._points(M.PEAKS, keys, mz)
+        if self.manifest.find(M.SIGNALS) is None or self.manifest.find(M.PEAKS) is None:
+            return profile.unionByName(peaks)
+        has = tables.signal_points(self.needed(M.SIGNALS, keys)).select("spectrum_index").distinct()  # whatever its m/z
+        return profile.unionByName(peaks.join(has, "spectrum_index", "left_anti"))
 
     def spectra(self, index: int | None = None, ordinal: int | None = None, native_id: str | None = None, scan: int | None = None, nearest_time: float | None = None) -> DataFrame:
         """Spectra with mz, intensity and peaks arrays: all, or the one that is asked for. Only its signal is read."""
@@ -113,11 +147,12 @@ class Run:
             metadata = metadata.join(lookups.index_of_scans(metadata).filter(F.col("scan") == scan).select("spectrum_index"), "spectrum_index", "left_semi")
         elif nearest_time is not None:
             metadata = metadata.join(lookups.nearest_time(metadata, nearest_time).select("spectrum_index"), "spectrum_index", "left_semi")
-        one = any(x is not None for x in (index, ordinal, native_id, scan, nearest_time))
-        wanted = metadata.select("spectrum_index")
-        cut = (lambda p: p.join(F.broadcast(wanted), "spectrum_index", "left_semi")) if one else (lambda p: p)  # one row
-        profile = facets.points_to_arrays(cut(self.profile_points()), "ordinal")
-        centroids = facets.points_to_arrays(cut(self.peak_points()), "ordinal")
+        keys = None if index is None else (index, index)
+        if any(x is not None for x in (ordinal, native_id, scan, nearest_time)):
+            found = metadata.select("spectrum_index").first()
+            keys = (found[0], found[0]) if found else (0, -1)  # no key is between these
+        profile = facets.points_to_arrays(self._points(M.SIGNALS, keys), "ordinal")
+        centroids = facets.points_to_arrays(self._points(M.PEAKS, keys), "ordinal")
         listed = centroids.select("spectrum_index", P.normalised_peaks("mz", "intensity").alias("peaks"))
         as_arrays = listed.select("spectrum_index", F.transform("peaks", lambda p: p["mz"]).alias("mz"), F.transform("peaks", lambda p: p["intensity"]).alias("intensity"))
         out = facets.payload(metadata, profile, as_arrays).join(listed, "spectrum_index", "left")
@@ -177,8 +212,13 @@ class Run:
     # ---- reports ----
 
     def xic(self, mz: float, tolerance: C.Tolerance, levels: list[int] | None = (1,), rt_min: float | None = None, rt_max: float | None = None) -> DataFrame:
+        """As analytics.xic(). Row groups outside the m/z window, and outside the indices of the time range, aren't read."""
         keep = C.spectrum_filter(list(levels) if levels else None, rt_min, rt_max)
-        return analytics.xic(self.metadata(), self.points(), mz, tolerance, keep)
+        metadata, keys = self.metadata(), None
+        if rt_min is not None or rt_max is not None:
+            low, high = metadata.filter(keep).agg(F.min("spectrum_index"), F.max("spectrum_index")).first()
+            keys = (0, -1) if low is None else (low, high)
+        return analytics.xic(metadata, self.points(keys, tolerance.limits(mz)), mz, tolerance, keep)
 
     def report(self) -> dict[str, DataFrame]:
         """The parts of a summary, each a small table."""

@@ -27,7 +27,7 @@ from .archive import pack
 from .storage import shared_dir
 
 
-def _member(df: DataFrame, folder: str, name: str, order: list, row_group: int | None = None) -> None:
+def write_member(df: DataFrame, folder: str, name: str, order: list, row_group: int | None = None) -> None:
     """df, sorted, as the one file folder/name."""
     scratch = f"{shared_dir(df.sparkSession).removeprefix('file://').removeprefix('file:')}/ionloom-member-{uuid.uuid4().hex}"
     out = df.repartition(1).sortWithinPartitions(*order) if order else df.coalesce(1)
@@ -104,13 +104,13 @@ def write_run(metadata: DataFrame, points: DataFrame, path: str, chromatograms:
     os.makedirs(folder, exist_ok=True)
     try:
         files = [{"name": "spectra_metadata.parquet", "entity_type": "spectrum", "data_kind": "metadata"}]
-        _member(metadata_rows(metadata, points.groupBy("spectrum_index").agg(F.count("*").alias("n"))), folder, files[0]["name"], ["sort_key"], row_group)
+        write_member(metadata_rows(metadata, points.groupBy("spectrum_index").agg(F.count("*").alias("n"))), folder, files[0]["name"], ["sort_key"], row_group)
         documents = footer_documents(about)
         if documents:
             _with_footer(os.path.join(folder, files[0]["name"]), documents)
 
         def add(df: DataFrame, name: str, role: tuple[str, str], order: list) -> None:
-            _member(df, folder, name, order, row_group)
+            write_member(df, folder, name, order, row_group)
             files.append({"name": name, "entity_type": role[0], "data_kind": role[1]})
 
         def point(df: DataFrame, index: str, axis: str) -> DataFrame:

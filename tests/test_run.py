@@ -127,6 +127,99 @@ def test_tools(spark, folder, tmp_path):
     assert tools.info(run)["first"].count() == 5
 
 
+def many_groups(folder, unsigned=True, sort=True, spectra=40, points=25, start=0):
+    """Profile spectra whose m/z go up from 100 * (1 + index % 4), a null in the middle of every third; four rows a group."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    signals = {i: (1, i / 10, [None if i % 3 == 0 and k == 12 else 100.0 * (1 + i % 4) + k for k in range(points)], [float(k) for k in range(points)]) for i in range(start, start + spectra)}
+    write_run(folder, signals)
+    if not (unsigned and sort):
+        t = pq.read_table(f"{folder}/d.parquet").column("point").combine_chunks()
+        keys = t.field("spectrum_index").to_pylist()
+        order = range(len(keys)) if sort else sorted(range(len(keys)), key=lambda i: (keys[i] * 7 % 11, keys[i], i))
+        kind = pa.uint64() if unsigned else pa.int64()
+        columns = [pa.array([keys[i] for i in order], kind), t.field("mz").take(pa.array(order)), t.field("intensity").take(pa.array(order))]
+        pq.write_table(pa.table({"point": pa.StructArray.from_arrays(columns, names=["spectrum_index", "mz", "intensity"])}), f"{folder}/d.parquet", row_group_size=4)
+    filled = {i: [100.0 * (1 + i % 4) + k for k in range(points)] for i in signals}
+    return filled
+
+
+@pytest.mark.parametrize("unsigned,sort,container", [(True, True, "dir"), (False, True, "zip"), (True, False, "zip")])
+def test_only_needed_groups_are_read(spark, tmp_path, unsigned, sort, container):
+    from ionloom.sources import manifest as M
+
+    path = str(tmp_path / "run")
+    filled = many_groups(path, unsigned, sort)
+    if container == "zip":
+        path = zipped(path, str(tmp_path / "run.zip"))
+    with open_run(spark, path) as run:
+        assert not run.place.staged
+        total = run.member(M.SIGNALS).count()
+        assert [list(r.mz) for r in run.spectra(index=18).collect()] == [filled[18]]
+        assert run.needed(M.SIGNALS, (18, 18)).count() <= (25 + 2 * 3 if sort else 0.2 * total) and total == 1000
+        if not sort:
+            return
+        assert [list(r.mz) for r in run.spectra(nearest_time=1.71).collect()] == [filled[17]]
+        assert run.spectra(native_id="none").count() == 0 and run.needed(M.SIGNALS, (99, 99)).count() == 0
+        # Gaps inside the window are filled as in a full read, at the edges of groups, too.
+        for lo, hi in ((211.5, 212.5), (99, 101)):
+            want = {i: sum(float(k) for k, m in enumerate(mz) if lo <= m <= hi) for i, mz in filled.items()}
+            got = {r.spectrum_index: r.intensity for r in run.xic((lo + hi) / 2, C.da((hi - lo) / 2)).collect()}
+            assert got == pytest.approx(want)
+        read = run.needed(M.SIGNALS, None, (211.5, 212.5)).count()
+        assert read < 0.45 * total
+        late = run.xic(212, C.da(0.5), rt_min=3.0).collect()
+        assert {r.spectrum_index for r in late} == set(range(30, 40)) and sum(r.intensity for r in late) == 12.0 * 2
+        assert run.needed(M.SIGNALS, (30, 39)).count() <= 10 * 25 + 2 * 3
+
+
+def test_filters_reach_the_groups(spark, tmp_path):
+    from ionloom.sources.groups import GroupReader, Member, group_index, read_groups
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In
+
+    many_groups(str(tmp_path / "run"))
+    member = Member(str(tmp_path / "run/d.parquet"))
+    rows = read_groups(spark, member)
+    assert rows.filter("point.spectrum_index = 7").count() == 25 and rows.count() == 1000
+    options = {"member": json.dumps({"path": member.path}), "groups": json.dumps([g.__dict__ for g in group_index(member)])}
+    kept = lambda f: (r := GroupReader(options), list(r.pushFilters([f])), sum(g.rows for g in r.groups))[2]
+    assert kept(EqualTo(("point", "spectrum_index"), 7)) <= 32 and kept(In(("point", "spectrum_index"), (7, 8))) <= 56
+    assert kept(GreaterThanOrEqual(("point", "spectrum_index"), 38)) <= 54 and kept(EqualTo(("point", "mz"), 7)) == 1000
+
+
+def test_a_key_beyond_bigint_is_an_error(spark, tmp_path):
+    from ionloom.sources import manifest as M
+
+    many_groups(str(tmp_path / "run"), spectra=3)
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    big = pa.StructArray.from_arrays([pa.array([2**63 + 5], pa.uint64()), pa.array([1.0]), pa.array([1.0], pa.float32())], names=["spectrum_index", "mz", "intensity"])
+    pq.write_table(pa.table({"point": big}), f"{tmp_path}/run/d.parquet")
+    run = open_run(spark, zipped(str(tmp_path / "run"), str(tmp_path / "run.zip")))
+    with pytest.raises(Exception, match="out of bounds|not in range"):
+        run.member(M.SIGNALS).collect()
+
+
+def test_archives_are_read_in_place(spark, folder, tmp_path):
+    import os
+    from ionloom.sources.storage import shared_dir
+
+    root = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(root))
+    path = zipped(folder, str(tmp_path / "run.zip"))
+    with open_run(spark, path) as run:
+        assert arrays(run)[3][0] == pytest.approx(FILLED[3]) and run.file_metadata()["run"]["start_time"] == "t"
+        assert set(os.listdir(root)) == before and run.member(("spectrum", "peaks")).count() == 6
+    broken = bytearray((tmp_path / "run.zip").read_bytes())
+    at = zipfile.ZipFile(path).getinfo("d.parquet").header_offset
+    broken[at : at + 2] = b"XX"
+    (tmp_path / "broken.zip").write_bytes(bytes(broken))
+    with pytest.raises(RunError):
+        open_run(spark, str(tmp_path / "broken.zip"))
+
+
 def test_bad_archives(spark, folder, tmp_path):
     for extra in (["m.parquet"], ["../x"]):
         with pytest.raises(RunError):
