@@ -3,7 +3,8 @@
 Documents become token ids, by the vocabulary's own library, and pieces of a sequence's length at most. Pieces are packed in
 waves, the longest first: a wave holds the lengths above half of its top, the last one the rest. In a wave, pieces and the gaps
 of open sequences are range-sorted together by size, and a sweep finds for every piece the smallest gap that holds it. In that
-order a piece's successor is the first gap behind it. Pieces with one successor conflict: they are ranked, and each takes the
+order a piece's successor is the first gap behind it. Pieces above half a sequence have one each, and as many as the tokens
+fill are open from the start. Pieces with one successor conflict: they are ranked, and each takes the
 next gap that no earlier piece takes, so piece i takes gap i + max over k <= i of (gaps before piece k - k). That takes running
 counts and a running maximum inside a range, and as many numbers a range to link the ranges: nothing passes through one task.
 A gap that holds several pieces of the wave stands for as many. Then gaps shrink by what they took, and the sweep is repeated;
@@ -27,7 +28,7 @@ from .common import pieces, scratch, table, written
 
 CAPACITY, END = 4096, 1
 #: The top of the last wave, and the share of a wave's pieces that a sweep must place to be repeated before sequences are opened.
-SMALLEST, WORTH = 64, 0.2
+SMALLEST, WORTH = 128, 0.2
 #: Words whose ids a worker remembers, and the longest that it does.
 REMEMBERED, REMEMBERED_CHARS = 200_000, 40
 #: Separators that Python splits at and vocabularies don't.
@@ -156,21 +157,26 @@ def _slots(open_bins: DataFrame, low: int, high: int, n: int) -> DataFrame | Non
 
 
 def packed_bins(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """items (id, size; unique ids, sizes from 1 to capacity; cheap to read) -> (id, bin): no bin holds more than the capacity."""
-    spark, bins, opened = items.sparkSession, None, 0
-    out = items.select("id", F.lit(None).cast("long").alias("bin")).limit(0)
-    high = capacity
+    """items (id, size; unique ids from 0 on, sizes from 1 to capacity; cheap to read) -> (id, bin): no bin holds more than the capacity."""
+    spark = items.sparkSession
+    n_large, total = items.agg(F.count(F.when(F.col("size") > capacity // 2, 1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    # No two pieces above half a sequence share one: each has its own. As many as all tokens fill are needed in any case.
+    large = items.filter(F.col("size") > capacity // 2)
+    out = large.select("id", F.col("id").alias("bin"))
+    opened = max(0, -(-total // capacity) - n_large)
+    empty = lambda a, b: spark.range(a, b).select((-1 - F.col("id")).alias("id"), F.lit(capacity).cast("long").alias("room"))
+    bins = large.select("id", (capacity - F.col("size")).alias("room")).filter("room > 0").union(empty(0, opened))
+    high = capacity // 2
     while high:
         low = high // 2 if high > SMALLEST else 0
         left = items.filter((F.col("size") > low) & (F.col("size") <= high))
         n, total = left.agg(F.count("*"), F.sum("size")).first()
-        worth = bins is not None
+        worth = True
         while n:
             slots = _slots(bins, low, high, n) if worth else None
             if slots is None:
                 new = math.ceil(n / max(1, capacity * n // total))
-                fresh = spark.range(opened, opened + new).select("id", F.lit(capacity).cast("long").alias("room"))
-                bins, opened, worth = (bins.union(fresh) if bins is not None else fresh), opened + new, True
+                bins, opened, worth = bins.union(empty(opened, opened + new)), opened + new, True
                 continue
             found = sweep(left, slots)
             placed = found.filter("bin is not null")
