@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,27 +21,46 @@ def start_rule(values: Column, intensity: Column, index: Column) -> Column:
     return F.when(extra == 1, True).when(extra == 0, False).otherwise(F.raise_error(said).cast("boolean"))
 
 
+def running_sums(start: pa.Array, values: pa.Array) -> pa.Array:
+    """For each row the list start, start + v0, start + v0 + v1, ...: summed in that order, a null leaving the sum as it is and itself null."""
+    held = pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(held + 1)])
+    first, flat = ends[:-1], values.flatten()
+    steps, known = np.zeros(int(ends[-1])), np.zeros(int(ends[-1]), bool)
+    others = np.ones(len(steps), bool)
+    others[first] = False
+    for at, column in ((first, start), (np.flatnonzero(others), flat)):
+        known[at] = column.is_valid().to_numpy(zero_copy_only=False)
+        steps[at] = pc.fill_null(column, 0.0).to_numpy(zero_copy_only=False)
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        np.cumsum(steps[a:b], out=steps[a:b])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(steps, mask=~known))
+
+
+def _summed(start: str, values: str) -> Column:
+    return F.arrow_udf(running_sums, "array<double>")(start, values)
+
+
 def delta_points(chunks: DataFrame, key: str = "spectrum_index", chunk: str = "chunk_no") -> DataFrame:
     """(key, chunk, pos, mz, intensity) of chunks (key, chunk, mz_chunk_start, mz_chunk_values, chunk_encoding, intensity).
 
     Delta chunks hold distances from one point to the next, summed from the start on in order; a null leaves a gap and the sum
-    as it is. Each chunk decides for itself whether its start is a point. A null intensity is 0. (key, chunk) names a row.
+    as it is. Each chunk decides for itself whether its start is a point. A null intensity is 0. Nothing is shuffled.
     """
-    full = chunks.withColumn("starts", start_rule(F.col("mz_chunk_values"), F.col("intensity"), F.col(key)))
-    absolute = F.coalesce(F.contains("chunk_encoding", F.lit(ABSOLUTE)), F.lit(False)).alias("absolute")
-    rows = full.select(key, chunk, "starts", absolute, F.col("intensity").alias("i"), F.posexplode(F.concat(F.array(F.col("mz_chunk_start").cast("double")), F.col("mz_chunk_values").cast("array<double>"))).alias("pos", "v"))
-    w = Window.partitionBy(key, chunk).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = F.sum("v").over(w)
-    mz = F.when(F.col("v").isNotNull(), F.when(F.col("absolute"), F.col("v")).otherwise(summed))
-    place = F.col("pos") - F.when(F.col("starts"), 0).otherwise(1)
-    return rows.withColumn("mz", mz).filter((F.col("pos") > 0) | F.col("starts")).select(key, chunk, place.alias("pos"), "mz", F.coalesce(F.get("i", place).cast("double"), F.lit(0.0)).alias("intensity"))
+    start, values = F.col("mz_chunk_start").cast("double"), F.col("mz_chunk_values").cast("array<double>")
+    full = chunks.select(key, chunk, start.alias("s"), values.alias("v"), F.col("intensity").alias("i"), "chunk_encoding", start_rule(F.col("mz_chunk_values"), F.col("intensity"), F.col(key)).alias("starts"))
+    absolute = F.coalesce(F.contains("chunk_encoding", F.lit(ABSOLUTE)), F.lit(False))
+    told = full.select(key, chunk, "i", "starts", F.when(absolute, F.concat(F.array("s"), F.col("v"))).otherwise(_summed("s", "v")).alias("all"))
+    own = F.when(F.col("starts"), F.col("all")).otherwise(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))))
+    return told.select(key, chunk, "i", F.posexplode(own).alias("pos", "mz")).select(key, chunk, "pos", "mz", F.coalesce(F.get("i", F.col("pos")).cast("double"), F.lit(0.0)).alias("intensity"))
 
 
 def chromatogram_points(chunks: DataFrame, key: str = "chromatogram_index", chunk: str = "chunk_no") -> DataFrame:
-    """(key, chunk, pos, time, intensity): the start is always a point, a null distance is 0, a missing intensity 0; no start, no points."""
-    rows = chunks.filter("time_chunk_start is not null").select(key, chunk, F.col("intensity").alias("i"), F.posexplode(F.concat(F.array(F.col("time_chunk_start").cast("double")), F.coalesce(F.col("time_chunk_values").cast("array<double>"), F.array().cast("array<double>")))).alias("pos", "v"))
-    w = Window.partitionBy(key, chunk).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.select(key, chunk, "pos", F.sum(F.coalesce("v", F.lit(0.0))).over(w).alias("time"), F.coalesce(F.get("i", F.col("pos")).cast("double"), F.lit(0.0)).alias("intensity"))
+    """(key, chunk, pos, time, intensity): the start is always a point, a null distance is 0, a missing intensity 0; no start, no points. Nothing is shuffled."""
+    distances = F.coalesce(F.transform(F.col("time_chunk_values").cast("array<double>"), lambda v: F.coalesce(v, F.lit(0.0))), F.array().cast("array<double>"))
+    rows = chunks.filter("time_chunk_start is not null").select(key, chunk, F.col("intensity").alias("i"), F.col("time_chunk_start").cast("double").alias("s"), distances.alias("v"))
+    told = rows.select(key, chunk, "i", _summed("s", "v").alias("all"))
+    return told.select(key, chunk, "i", F.posexplode("all").alias("pos", "time")).select(key, chunk, "pos", "time", F.coalesce(F.get("i", F.col("pos")).cast("double"), F.lit(0.0)).alias("intensity"))
 
 
 def numpress_points(chunks: DataFrame, key: str = "spectrum_index", chunk: str = "chunk_no") -> DataFrame:

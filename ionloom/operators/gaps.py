@@ -1,14 +1,21 @@
 """Reconstruction of null-marked m/z: linear and polynomial gap filling, or dropping.
 
-The anchor on the left comes from a window that runs ahead, the one on the right from a window that runs back: both grow by a
-row at a time, so that a spectrum costs its length. They share one exchange. A spectrum is the unit of work; a run has many,
-so hot keys don't arise from the format.
+Without models, the anchor on the left comes from a window that runs ahead, the one on the right from a window that runs back:
+both grow by a row at a time, so that a spectrum costs its length. They share one exchange. With models, each m/z follows from
+the one before, and one pass in Arrow batches carries it. A spectrum is the unit of work; a run has many, so hot keys don't
+arise from the format.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KEYS = ("spectrum_index",)
 
@@ -30,17 +37,84 @@ def _straight() -> Column:
     return F.coalesce("mz", F.when(F.col("lv").isNotNull() & F.col("rv").isNotNull(), between), "lv", "rv")
 
 
-def _step(x: Column, model: Column) -> Column:
+def step(x: float, model: list[float]) -> float:
     """The model's polynomial at x, by rising powers."""
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(1.0).alias("power"))
-    return F.aggregate(model, start, lambda acc, b: F.struct((acc["sum"] + b * acc["power"]).alias("sum"), (acc["power"] * x).alias("power")), lambda acc: acc["sum"])
+    total, power = 0.0, 1.0
+    for b in model:
+        total += b * power
+        power *= x
+    return total
+
+
+def walked(x: float, n: int, model: list[float], sign: int = 1) -> list[float]:
+    """n steps on from x, ahead or back."""
+    out = []
+    for _ in range(n):
+        x = x + sign * step(x, model)
+        out.append(x)
+    return out
+
 
+def filled(mz: np.ndarray, known: np.ndarray, left: float | None, model: list[float] | None, ended: bool) -> tuple[int, float | None]:
+    """Fills one spectrum's m/z in place, as far as they are told: (rows told, the last m/z, known or filled).
+
+    left: the m/z before the first row, None if there is none. Unless ``ended``, the spectrum goes on, and a run of gaps at the
+    end may have to wait for the next known m/z.
+    """
+    n = len(mz)
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], known, [True]]).astype(np.int8)))
+    for a, b in zip(edges[0::2].tolist(), edges[1::2].tolist()):
+        low, high = (float(mz[a - 1]) if a else left), (float(mz[b]) if b < n else None)
+        if high is None and not ended and (low is None or model is None):
+            return a, low
+        if low is None and high is None:
+            return n, None
+        if model is not None:
+            mz[a:b] = walked(low, b - a, model) if low is not None else walked(high, b - a, model, -1)[::-1]
+        elif low is None or high is None:
+            mz[a:b] = high if low is None else low
+        else:
+            mz[a:b] = low + (high - low) * np.arange(1.0, b - a + 1) / (b - a + 1)
+        known[a:b] = True
+    return n, float(mz[-1]) if n else left
+
+
+def _fill(n_keys: int):
+    """Over batches (keys, kind, model, mz, others) sorted by spectrum: rows of kind 0 bring a spectrum's model, the others come out as (keys, mz, others).
+
+    What goes on from batch to batch is the spectrum at hand, its model and last m/z, and the rows of a run of gaps whose end hasn't come yet.
+    """
 
-def _walked(model: Column) -> Column:
-    """Steps ahead from the left anchor; before the first anchor, steps back from it. Runs of nulls are short."""
-    ahead = F.aggregate(F.sequence(F.lit(1), F.col("place") - F.col("lp")), F.col("lv"), lambda x, _: x + _step(x, model))
-    behind = F.aggregate(F.sequence(F.lit(1), F.col("rp") - F.col("place")), F.col("rv"), lambda x, _: x - _step(x, model))
-    return F.when(F.col("mz").isNotNull(), F.col("mz")).when(F.col("lv").isNotNull(), ahead).when(F.col("rv").isNotNull(), behind)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, model, left, waiting = None, None, None, None
+
+        def worked(t: pa.Table, last: bool) -> tuple[pa.Table, pa.Table]:
+            nonlocal at, model, left
+            n = told = t.num_rows
+            keys = list(zip(*(t.column(i).to_pylist() for i in range(n_keys))))
+            kind, models, column = t.column(n_keys).to_numpy(), t.column(n_keys + 1), t.column(n_keys + 2)
+            mz, known = pc.fill_null(column, 0.0).to_numpy().copy(), pc.is_valid(column).to_numpy().copy()
+            starts = [i for i in range(n) if i == 0 or keys[i] != keys[i - 1]]
+            for a, b in zip(starts, [*starts[1:], n]):
+                if keys[a] != at:
+                    at, model, left = keys[a], None, None
+                while a < b and kind[a] == 0:
+                    given = models[a].as_py() or []
+                    model, a = given if given and None not in given else None, a + 1
+                done, left = filled(mz[a:b], known[a:b], left, model, last or b < n)
+                told = a + done if b == n else told
+            whole = t.set_column(n_keys + 2, "mz", pa.array(mz, mask=~known)).filter(pa.array((kind != 0) & (np.arange(n) < told)))
+            return whole.drop_columns(t.column_names[n_keys : n_keys + 2]), t.slice(told)
+
+        for batch in batches:
+            if batch.num_rows:
+                t = pa.Table.from_batches([batch])
+                out, waiting = worked(t if waiting is None else pa.concat_tables([waiting, t]), False)
+                yield from out.to_batches()
+        if waiting is not None and waiting.num_rows:
+            yield from worked(waiting, True)[0].to_batches()
+
+    return run
 
 
 def linear_fill(points: DataFrame, order, keys=KEYS) -> DataFrame:
@@ -49,7 +123,7 @@ def linear_fill(points: DataFrame, order, keys=KEYS) -> DataFrame:
 
 
 def poly_fill(points: DataFrame, models: DataFrame, order, keys=KEYS) -> DataFrame:
-    """As reconstruct(); every spectrum of points must have a model."""
+    """As reconstruct()."""
     return reconstruct(points, models, order, keys)
 
 
@@ -61,13 +135,17 @@ def reconstruct(points: DataFrame, models: DataFrame | None, order, keys=KEYS, f
     """Null m/z by the spectrum's own polynomial (models: keys, mz_delta_model), by a straight line without one; or dropped.
 
     The polynomial gives the distance from one m/z to the next: interior and trailing runs walk ahead from the left anchor,
-    a leading run walks back from the first.
+    a leading run walks back from the first. One pass over the sorted points fills every gap from the one before, so that a run
+    costs its length; only a run whose end must be known waits for it.
     """
     if not fill:
         return drop_gaps(points)
     if models is None:
         return linear_fill(points, order, keys)
-    own = models.select(*keys, F.col("mz_delta_model").alias("model")).filter(F.size("model") > 0)
-    placed = _anchors(points, keys, order).join(own, list(keys), "left")
-    value = F.when(F.col("model").isNotNull(), _walked(F.col("model"))).otherwise(_straight())
-    return placed.withColumn("mz", value).drop("place", "lv", "lp", "rv", "rp", "model")
+    rest = [c for c in points.columns if c not in (*keys, "mz")]
+    nothing = [F.lit(None).cast(points.schema[c].dataType).alias(c) for c in rest]
+    own = models.filter(F.size("mz_delta_model") > 0).select(*keys, F.lit(0).alias("kind"), F.col("mz_delta_model").cast("array<double>").alias("model"), F.lit(None).cast("double").alias("mz"), *nothing)
+    rows = points.select(*keys, F.lit(1).alias("kind"), F.lit(None).cast("array<double>").alias("model"), F.col("mz").cast("double").alias("mz"), *rest)
+    both = own.union(rows).repartition(*keys).sortWithinPartitions(*keys, "kind", *order)
+    out = T.StructType([T.StructField(c, both.schema[c].dataType) for c in (*keys, "mz", *rest)])
+    return both.mapInArrow(_fill(len(keys)), out).select(*points.columns)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -545,8 +544,10 @@ def _pruned(spark, d, sort: bool):
     if not sort:
         name = "spectra_data.parquet"
         rows = spark.read.parquet(f"file://{path}/{name}")
-        sinks.write_member(rows.withColumn("sort_key", F.col("point.mz")), path, f"by-mz-{name}", ["sort_key"], 1 << 16)
-        os.replace(f"{path}/by-mz-{name}", f"{path}/{name}")
+        store = sinks.Store(spark, path)
+        sinks.write_member(rows.withColumn("sort_key", F.col("point.mz")), store, f"by-mz-{name}", ["sort_key"], 1 << 16)
+        store.files.delete(store.path(name), False)
+        store.files.rename(store.path(f"by-mz-{name}"), store.path(name))
     return open_run(spark, path)
 
 

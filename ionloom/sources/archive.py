@@ -147,7 +147,7 @@ def pack(folder: str, archive: str) -> None:
     part = f"{archive}.{uuid.uuid4().hex}.part"
     try:
         with zipfile.ZipFile(part, "w", zipfile.ZIP_STORED) as out:
-            for name in sorted(os.listdir(folder)):
+            for name in sorted(n for n in os.listdir(folder) if not n.startswith(".")):  # checksums of the file system
                 out.write(os.path.join(folder, name), name)
         os.replace(part, archive)
     finally:

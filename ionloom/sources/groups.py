@@ -16,7 +16,7 @@ from dataclasses import asdict, dataclass
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -164,26 +164,16 @@ class GroupPartition(InputPartition):
 
 class GroupReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.member, self.key = Member(**json.loads(options["member"])), options.get("key", "spectrum_index")
-        chosen = json.loads(options["groups"])
-        self.groups = [Group(**{**g, "keys": tuple(g["keys"]), "mz": tuple(g["mz"])}) for g in chosen]
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Leaves out groups by what the query asks of the key; Spark applies every filter to the rows, too."""
-        for f in filters:
-            if getattr(f, "attribute", (None,))[-1] == self.key:
-                low, high = {EqualTo: lambda v: (v, v), GreaterThan: lambda v: (v, None), GreaterThanOrEqual: lambda v: (v, None), LessThan: lambda v: (None, v), LessThanOrEqual: lambda v: (None, v), In: lambda v: (min(v), max(v))}.get(type(f), lambda v: _UNBOUND)(f.value if hasattr(f, "value") else None)
-                self.groups = for_keys(self.groups, low, high)
-            yield f
+        self.member, self.groups = Member(**json.loads(options["member"])), json.loads(options["groups"])
 
     def partitions(self) -> list[InputPartition]:
         out, held = [], 0
         for g in self.groups:
-            if not out or held + g.bytes > TASK_BYTES:
+            if not out or held + g["bytes"] > TASK_BYTES:
                 out.append(GroupPartition([]))
                 held = 0
-            out[-1].groups.append((g.number, g.first_row))
-            held += g.bytes
+            out[-1].groups.append((g["number"], g["first_row"]))
+            held += g["bytes"]
         return out or [GroupPartition([])]
 
     def read(self, partition: GroupPartition) -> Iterator[pa.RecordBatch]:
@@ -218,10 +208,10 @@ class GroupSource(DataSource):
 def read_groups(spark: SparkSession, member: Member, groups: list[Group] | None = None, key: str = "spectrum_index") -> DataFrame:
     """The rows of a member's groups (all, if none are named), with row_no, their place in the file.
 
-    Lets the session push filters into Python data sources, which is off by default.
+    Groups are chosen here and not by filters that Spark pushes down: those stay with the relation, so that another query of
+    the same table would miss rows (Spark 4.1).
     """
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(GroupSource)
     chosen = group_index(member, key) if groups is None else groups
-    options = {"member": json.dumps(asdict(member)), "groups": json.dumps([asdict(g) for g in chosen]), "key": key}
+    options = {"member": json.dumps(asdict(member)), "groups": json.dumps([{"number": g.number, "first_row": g.first_row, "bytes": g.bytes} for g in chosen])}
     return spark.read.format(FORMAT).options(**options).load()

@@ -1,6 +1,6 @@
 """Writing runs back: each member one Parquet file, as a folder or as an archive; peak lists and chromatograms as text.
 
-Members are written by Spark and then take their names; the interchange format wants one file a member, so a writer task a
+Members are written by Spark and then take their names, in any file system that Spark writes to; the interchange format wants one file a member, so a writer task a
 member is unavoidable here. Long tables for analysis go through Run.store(), which isn't bound by that.
 
 What the format's writers have always left out is left out here too: activation parameters, scan windows, the reconstruction
@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import json
 import os
-import shutil
+import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -24,22 +25,60 @@ from ..operators import chunks
 from . import manifest as M
 from . import tables as T
 from .archive import pack
-from .storage import shared_dir
 
 
-def write_member(df: DataFrame, folder: str, name: str, order: list, row_group: int | None = None) -> None:
-    """df, sorted, as the one file folder/name."""
-    scratch = f"{shared_dir(df.sparkSession).removeprefix('file://').removeprefix('file:')}/ionloom-member-{uuid.uuid4().hex}"
+class Store:
+    """A folder in any file system that Spark writes to, by Hadoop's client on the driver: names, small files, removal."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.folder = folder if "://" in folder else f"file://{os.path.abspath(folder)}"
+        self.jvm = spark.sparkContext._jvm
+        self.files = self.path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+
+    def take_part(self, table: str, name: str) -> None:
+        """The one part file of the table in a folder becomes name, and the folder goes."""
+        part = next(f.getPath() for f in self.files.listStatus(self.path(table)) if f.getPath().getName().endswith(".parquet"))
+        self.remove(name)
+        if not self.files.rename(part, self.path(name)):
+            raise M.RunError(f"{name} could not be put in place")
+        self.remove(table)
+
+    def write_text(self, name: str, text: str) -> None:
+        out = self.files.create(self.path(name), True)
+        try:
+            out.write(text.encode("utf-8"))
+        finally:
+            out.close()
+
+    def remove(self, name: str) -> None:
+        self.files.delete(self.path(name), True)
+
+    def edit(self, name: str, change) -> None:
+        """change(local path) on a copy of the file, which then takes its place."""
+        with tempfile.TemporaryDirectory() as own:
+            local = self.jvm.org.apache.hadoop.fs.Path(f"file://{own}/{name}")
+            self.files.copyToLocalFile(False, self.path(name), local, True)
+            change(f"{own}/{name}")
+            self.files.copyFromLocalFile(False, True, local, self.path(name))
+
+
+def write_member(df: DataFrame, store: Store, name: str, order: list, row_group: int | None = None) -> None:
+    """df, sorted, as the one file of this name; until it is whole it has another."""
+    part = f"_{name}-{uuid.uuid4().hex}"
     out = df.repartition(1).sortWithinPartitions(*order) if order else df.coalesce(1)
     writer = out.drop("sort_key").write.option("compression", "zstd")
-    (writer.option("parquet.block.size", row_group) if row_group else writer).parquet(f"file://{scratch}")
-    part = next(f for f in os.listdir(scratch) if f.endswith(".parquet"))
-    shutil.move(os.path.join(scratch, part), os.path.join(folder, name))
-    shutil.rmtree(scratch)
+    try:
+        (writer.option("parquet.block.size", row_group) if row_group else writer).parquet(f"{store.folder}/{part}")
+        store.take_part(part, name)
+    finally:
+        store.remove(part)
 
 
 def _with_footer(path: str, documents: dict[str, str]) -> None:
-    """Adds key-value pairs to a file's footer, row group by row group."""
+    """Adds key-value pairs to a local file's footer, row group by row group."""
     with pq.ParquetFile(path) as source:
         schema = source.schema_arrow.with_metadata({**(source.schema_arrow.metadata or {}), **{k.encode(): v.encode() for k, v in documents.items()}})
         with pq.ParquetWriter(f"{path}.new", schema, compression="zstd") as out:
@@ -90,28 +129,31 @@ def metadata_rows(metadata: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def write_run(metadata: DataFrame, points: DataFrame, path: str, chromatograms: DataFrame | None = None, container: str = "dir", layout: str = "point", intensity: str = "slof", about: dict | None = None, row_group: int | None = None) -> None:
-    """Writes spectra (Run.metadata()), their payload points and chromatograms (with arrays) to a local folder or archive.
+    """Writes spectra (Run.metadata()), their payload points and chromatograms (with arrays) to a folder in any file system that Spark writes to, or to a local archive.
 
     Points of centroid spectra make the peaks member, all others the data member; a member without rows isn't written, but
-    with the Numpress layout the data member always is, and holds all of them. The manifest comes last; an archive appears
-    whole or not at all.
+    with the Numpress layout the data member always is, and holds all of them. The manifest comes last, and a write that fails
+    takes back its members; an archive appears whole or not at all.
     """
     if container not in ("dir", "zip") or layout not in ("point", "numpress"):
         raise M.RunError("container is dir or zip, layout is point or numpress")
     if not metadata.filter("spectrum_index < 0").isEmpty():
         raise M.RunError("a spectrum has a negative index")
-    folder = path if container == "dir" else f"{path}.{uuid.uuid4().hex}.members"
-    os.makedirs(folder, exist_ok=True)
+    if container == "zip" and "://" in path:
+        raise M.RunError("archives are written to local or mounted paths; write a folder instead")
+    store = Store(metadata.sparkSession, path if container == "dir" else f"{path}.{uuid.uuid4().hex}.members")
+    new = store.files.mkdirs(store.path("")) and not store.files.listStatus(store.path(""))
+    files: list[dict] = []
     try:
         files = [{"name": "spectra_metadata.parquet", "entity_type": "spectrum", "data_kind": "metadata"}]
-        write_member(metadata_rows(metadata, points.groupBy("spectrum_index").agg(F.count("*").alias("n"))), folder, files[0]["name"], ["sort_key"], row_group)
+        write_member(metadata_rows(metadata, points.groupBy("spectrum_index").agg(F.count("*").alias("n"))), store, files[0]["name"], ["sort_key"], row_group)
         documents = footer_documents(about)
         if documents:
-            _with_footer(os.path.join(folder, files[0]["name"]), documents)
+            store.edit(files[0]["name"], lambda local: _with_footer(local, documents))
 
         def add(df: DataFrame, name: str, role: tuple[str, str], order: list) -> None:
-            write_member(df, folder, name, order, row_group)
             files.append({"name": name, "entity_type": role[0], "data_kind": role[1]})
+            write_member(df, store, name, order, row_group)
 
         def point(df: DataFrame, index: str, axis: str) -> DataFrame:
             return df.select(F.struct(F.col(index), F.col(axis).cast("double").alias(axis), F.col("intensity").cast("double").alias("intensity")).alias("point"), F.struct(index, "ordinal").alias("sort_key"))
@@ -132,19 +174,32 @@ def write_run(metadata: DataFrame, points: DataFrame, path: str, chromatograms:
             rows = chromatograms.select("chromatogram_index", F.posexplode(F.arrays_zip("time", "intensity")).alias("ordinal", "z")).select("chromatogram_index", "ordinal", "z.*")
             add(point(rows, "chromatogram_index", "time"), "chromatograms_data.parquet", M.CHROMATOGRAM_SIGNALS, ["sort_key"])
         doc = {"files": files, "metadata": {"version": M.VERSION, "cv_list": list(M.VOCABULARIES), "scan_settings_list": [], **{k: json.loads(v) for k, v in documents.items()}}}
-        with open(os.path.join(folder, M.MANIFEST), "w", encoding="utf-8") as f:
-            json.dump(doc, f, indent=2, ensure_ascii=False)
+        store.write_text(M.MANIFEST, json.dumps(doc, indent=2, ensure_ascii=False))
         if container == "zip":
-            pack(folder, path)
+            pack(store.folder.removeprefix("file://"), path)
+    except BaseException:
+        for name in (f["name"] for f in files):
+            store.remove(name)
+        if new:
+            store.remove("")
+        raise
     finally:
         if container == "zip":
-            shutil.rmtree(folder, ignore_errors=True)
+            store.remove("")
+
+
+def byte_lists(column: pa.Array) -> pa.Array:
+    """Binary as lists of byte values, by a view of the bytes; null for null."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64, len(column) + 1, 8 * column.offset) if len(column) else np.zeros(1, np.int64)
+    values = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values).cast(pa.int32()), mask=column.is_null())
 
 
 def _byte_list(column: str) -> Column:
     """Binary as the format's list of byte values."""
-    hexes = F.hex(column)
-    return F.when(F.col(column).isNotNull(), F.transform(F.sequence(F.lit(1), F.octet_length(column)), lambda i: F.conv(F.substr(hexes, i * 2 - 1, F.lit(2)), 16, 10).cast("int"))).alias(column)
+    return F.arrow_udf(byte_lists, "array<int>")(column).alias(column)
 
 
 def xic_lines(chromatogram: DataFrame) -> DataFrame:

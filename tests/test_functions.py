@@ -78,7 +78,7 @@ def test_codecs(n):
     s = r.random(n) * 1e6
     assert codecs.decode(codecs.SLOF, codecs.encode_slof(s, codecs.slof_fixed_point(s))) == pytest.approx(s, rel=2e-4, abs=1e-3)
     numbers = r.integers(-(2**31), 2**31, n)
-    assert codecs._unpack(codecs._pack(numbers)) == numbers.tolist()
+    assert codecs.decode_pic_batch(*_rows([codecs.pack(numbers, np.array([len(numbers)]))[0].tobytes()]))[0].tolist() == numbers.tolist()
 
 
 def test_codec_errors():
@@ -155,3 +155,135 @@ def test_streamed_chromatogram(spark, tmp_path):
     q.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("start").collect()
     assert len(got) >= 17 and all(r.points == 1 and r.intensity == 1.0 for r in got)
+
+
+# ---- kernels ----
+
+
+def _rows(streams):
+    ends = np.cumsum([0] + [len(x) for x in streams])
+    return np.frombuffer(b"".join(streams), np.uint8), ends[:-1], ends[1:]
+
+
+def plain_integers(data):
+    """One half-byte stream, integer by integer; None if it is cut off."""
+    halves, out, at = [h for b in data for h in (b >> 4, b & 15)], [], 0
+    while at < len(halves) and not (at == len(halves) - 1 and halves[at] != 8):
+        head, at = halves[at], at + 1
+        held = 8 - (head if head <= 8 else head - 8)
+        if at + held > len(halves):
+            return None
+        value = sum(halves[at + j] << 4 * j for j in range(held)) | (0 if head <= 8 else 0xFFFFFFFF >> 4 * held << 4 * held)
+        at += held
+        out.append(value - (1 << 32) if value >> 31 else value)
+    return out
+
+
+@pytest.mark.parametrize("streams", [1, 5, codecs.LOCKSTEP + 30])
+def test_streams_of_a_batch_are_read_like_single_ones(streams):
+    r = np.random.default_rng(streams)
+    broken = 0
+    for _ in range(300):
+        data = [r.integers(0, 256, int(r.integers(0, 14)), dtype=np.uint8).tobytes() for _ in range(streams)]
+        data = [d for d in data if streams == 1 or plain_integers(d) is not None]
+        want = [plain_integers(d) for d in data]
+        if None in want:
+            broken += 1
+            with pytest.raises(ValueError, match="truncated"):
+                codecs.unpack(*_rows(data))
+            continue
+        values, counts = codecs.unpack(*_rows(data))
+        assert counts.tolist() == [len(w) for w in want] and values.tolist() == [x for w in want for x in w]
+    assert broken or streams > 1
+
+
+def test_batches_of_arrays_are_coded_like_single_ones():
+    r = np.random.default_rng(3)
+    arrays = [np.sort(r.uniform(50, 2000, n)) for n in [0, 1, 2, 3, 50, 0, 7] * 9]
+    flat, counts = np.concatenate(arrays), np.array([len(a) for a in arrays])
+    points = np.full(len(arrays), 1e5)
+    for whole, one, back in ((codecs.encode_linear_batch(flat, counts, points), lambda a: codecs.encode_linear(a, 1e5), codecs.LINEAR), (codecs.encode_pic_batch(flat, counts), codecs.encode_pic, codecs.PIC), (codecs.encode_slof_batch(flat, counts, points / 100), lambda a: codecs.encode_slof(a, 1e3), codecs.SLOF)):
+        singles = [one(a) for a in arrays]
+        assert whole[0].tobytes() == b"".join(singles) and whole[1].tolist() == [len(s) for s in singles]
+        values, held = codecs.DECODERS[back](*_rows(singles))
+        assert held.tolist() == counts.tolist() and values.tolist() == [x for s in singles for x in codecs.decode(back, s)]
+
+
+def test_coded_columns_keep_nulls_and_byte_lists(spark):
+    rows = [(0, [100.0, 100.5, 101.25, 102.0]), (1, None), (2, []), (3, [7.0])]
+    df = spark.createDataFrame(rows, "i int, v array<double>").repartition(1)
+    coded = df.select("i", codecs.encoder(codecs.LINEAR)("v").alias("c"), codecs.encoder(codecs.LINEAR, 1e4)("v").alias("d"), codecs.encoder(codecs.SLOF)("v").alias("s"))
+    lists = coded.withColumn("d", F.expr("transform(sequence(1, length(d)), k -> cast(conv(hex(substring(d, k, 1)), 16, 10) as int))"))
+    back = {r.i: r for r in lists.select("i", codecs.decoder(codecs.LINEAR)("c").alias("c"), codecs.decoder(codecs.LINEAR)("d").alias("d"), codecs.decoder(codecs.SLOF)("s").alias("s")).collect()}
+    for i, v in rows:
+        assert (back[i].c, back[i].d, back[i].s) == (None, None, None) if v is None else all(list(x) == pytest.approx(v, rel=1e-3) for x in (back[i].c, back[i].d, back[i].s))
+
+
+def test_best_fixed_points():
+    """By hand: of one value 32 bits count, of more 31; residuals as 1 + size, rounded up."""
+    assert codecs.linear_fixed_point([]) == 0 and codecs.linear_fixed_point([100.0]) == 0xFFFFFFFF // 100
+    assert codecs.linear_fixed_point([100.0, 200.0]) == 0x7FFFFFFF // 200 and codecs.linear_fixed_point([100.0, 200.0, 1000.0]) == 0x7FFFFFFF // 701
+    assert codecs.linear_fixed_point_for([100.0, 200.0], 1e-3) == 0 and codecs.linear_fixed_point_for([100.0, 200.0, 300.0], 1e-3) == 500
+    assert codecs.linear_fixed_point_for([100.0, 200.0, 300.0], 1e-9) == -1
+
+
+def test_chunks_are_summed_in_order():
+    import pyarrow as pa
+
+    from ionloom.operators.chunks import running_sums
+
+    start = pa.array([0.1, None, 2.0, 3.0])
+    values = pa.array([[0.2, None, 0.3], [1.0, 0.5], [], None], pa.list_(pa.float64()))
+    assert running_sums(start, values).to_pylist() == [[0.1, 0.1 + 0.2, None, 0.1 + 0.2 + 0.3], [None, 1.0, 1.5], [2.0], [3.0]]
+    assert running_sums(start[:0], values[:0]).to_pylist() == []
+
+
+def test_chunks_are_decoded_without_a_shuffle(spark):
+    from ionloom.operators import chunks
+
+    c = spark.createDataFrame([(0, 0, 1.0, [1.0], "d", [1.0, 2.0])], "spectrum_index long, chunk_no long, mz_chunk_start double, mz_chunk_values array<double>, chunk_encoding string, intensity array<double>")
+    t = c.select(F.col("spectrum_index").alias("chromatogram_index"), "chunk_no", F.col("mz_chunk_start").alias("time_chunk_start"), F.col("mz_chunk_values").alias("time_chunk_values"), "intensity")
+    for df in (chunks.delta_points(c), chunks.chromatogram_points(t)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString() and df.count() == 2
+
+
+def plain_filled(mz, model):
+    """One spectrum, null by null."""
+    known = [k for k, m in enumerate(mz) if m is not None]
+    if not known:
+        return mz
+    out = list(mz)
+    p = lambda x: sum(b * x**i for i, b in enumerate(model))
+    for k in range(known[0] - 1, -1, -1):
+        out[k] = out[k + 1] - p(out[k + 1]) if model else mz[known[0]]
+    for k in range(known[0], len(mz)):
+        if mz[k] is None:
+            a, b = max(j for j in known if j < k), min((j for j in known if j > k), default=None)
+            out[k] = out[k - 1] + p(out[k - 1]) if model else mz[a] if b is None else mz[a] + (mz[b] - mz[a]) * (k - a) / (b - a)
+    return out
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_gaps_are_filled_across_batches(spark, batch):
+    import random
+
+    from ionloom.operators import gaps
+    from ionloom.sources.storage import own_setting
+
+    r = random.Random(batch)
+    spectra = {i: [100.0 + k + r.random() if r.random() > r.choice([0.2, 0.9, 1.0]) else None for k in range(r.choice([1, 2, 9, 30]))] for i in range(60)}
+    models = {i: [[0.01, 0.0002], None, [], [0.1, 1e-4, 1e-7]][i % 4] for i in spectra if i % 5}
+    points = spark.createDataFrame([(i, k, m, 1.0) for i, s in spectra.items() for k, m in enumerate(s)], "spectrum_index long, k int, mz double, intensity double").repartition(3)
+    given = spark.createDataFrame(list(models.items()), "spectrum_index long, mz_delta_model array<double>")
+    with own_setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(batch)):
+        got = {(x.spectrum_index, x.k): x.mz for x in gaps.reconstruct(points, given, ["k"]).collect()}
+    for i, s in spectra.items():
+        assert [got[i, k] for k in range(len(s))] == [m if m is None else pytest.approx(m, abs=1e-9) for m in plain_filled(s, models.get(i))]
+
+
+def test_a_long_run_of_gaps_costs_its_length():
+    from ionloom.operators import gaps
+
+    mz, known = np.zeros(200_001), np.zeros(200_001, bool)
+    mz[0], known[0] = 100.0, True
+    assert gaps.filled(mz, known, None, [1e-6], True)[0] == 200_001 and mz[-1] == pytest.approx(100.2)
