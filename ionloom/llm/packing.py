@@ -13,24 +13,29 @@ when few pieces find a gap, new sequences are opened for the rest of the wave.
 
 from __future__ import annotations
 
+import json
 import math
 import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import pieces, scratch, table, written
+from .tokens import byte_symbols
 
 CAPACITY, END = 4096, 1
 #: The top of the last wave, and the share of a wave's pieces that a sweep must place to be repeated before sequences are opened.
 SMALLEST, WORTH = 128, 0.2
-#: Words whose ids a worker remembers, and the longest that it does.
-REMEMBERED, REMEMBERED_CHARS = 200_000, 40
+#: Words whose ids a worker remembers, twice as many in all, and the longest that it does.
+REMEMBERED, REMEMBERED_CHARS = 250_000, 40
 #: Separators that Python splits at and vocabularies don't.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -42,7 +47,12 @@ def default_vocabulary() -> str:
 
 
 class WordIds(dict):
-    """word -> its ids as little-endian bytes. For vocabularies that drop white space, a text's ids are those of its words in a row."""
+    """word -> its ids as little-endian bytes. For vocabularies that drop white space, a text's ids are those of its words in a row.
+
+    The library's model tells the ids of each run of characters. What comes before it, composing, lower case and the cut into
+    runs, is done here by the vocabulary's own settings, since that is most of the library's time; words with a mark that may
+    begin a special token, and vocabularies with other settings, go through the library as a whole.
+    """
 
     def __init__(self, path: str):
         super().__init__()
@@ -51,14 +61,39 @@ class WordIds(dict):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model, self.former = self.library.model, {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps, cuts = _steps(spec.get("normalizer"), "normalizers"), _steps(spec.get("pre_tokenizer"), "pretokenizers")
+        known = [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"]
+        known = known and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " " and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"]
+        known = known and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"] and spec["model"]["type"] == "BPE"
+        self.cut = regex.compile(cuts[0]["pattern"]["Regex"]) if known else None
+        self.marks = {t["content"][0] for t in spec.get("added_tokens", [])}
+        self.symbols = byte_symbols()
 
     def encode(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def ids_of(self, word: str) -> bytes:
+        """The ids of a word that isn't remembered."""
+        if self.cut is None or not self.marks.isdisjoint(word):
+            return self.encode(word)
+        if not word.isascii():
+            word = unicodedata.normalize("NFC", word)
+        word = word.lower() if "Σ" not in word else "".join(map(str.lower, word))  # no final form
+        found = []
+        for run in [word] if word.isalpha() else self.cut.findall(word):
+            found += [t.id for t in self.model.tokenize(run if run.isascii() else "".join([self.symbols[b] for b in run.encode()]))]
+        return array("I", found).tobytes()
+
     def __missing__(self, word: str) -> bytes:
-        found = self.encode(word)
+        found = self.former.get(word)
+        if found is None:
+            found = self.ids_of(word)
         if len(word) <= REMEMBERED_CHARS:
-            if len(self) >= REMEMBERED:
+            if len(self) >= REMEMBERED:  # what was met lately stays for one more turn
+                self.former = dict(self)
                 self.clear()
             self[word] = found
         return found
@@ -67,6 +102,10 @@ class WordIds(dict):
         return self.encode(text) if _ODD_SPACE.search(text) else b"".join(map(self.__getitem__, text.split()))
 
 
+def _steps(spec: dict | None, name: str) -> list[dict]:
+    return [] if spec is None else spec[name] if spec["type"] == "Sequence" else [spec]
+
+
 _WORDS: dict[str, WordIds] = {}
 
 
