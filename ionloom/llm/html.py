@@ -39,6 +39,11 @@ _NAMES = frozenset(
     breadcrumb breadcrumbs footer header masthead share sharing social related recommended recommendations comment comments commentlist
     disqus respond reply replies popup modal overlay widget widgets toolbar pagination pager skip toc""".split()
 )
+#: Of these, names of lists of links, and of what readers write.
+_LISTS = frozenset("nav navbar navigation menu menus breadcrumb breadcrumbs toc pagination pager skip share sharing social related recommended recommendations sidebar sidebars".split())
+_TALK = frozenset("comment comments commentlist disqus respond reply replies".split())
+#: Letters from which on a paragraph without links is prose, whatever list of links its name promises.
+PROSE = 60
 #: First parts of names that say what a page has, or has not, and not what an element is; parts of names of an article's own header.
 _ABOUT, _OWN = frozenset("has no with without not hide show".split()), frozenset("article post entry content story main title".split())
 #: What an element counts for under such a name, and the share of the article's points from which it stays all the same.
@@ -50,41 +55,46 @@ _ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 
 class Node:
-    """An element: points, as passed on to it; mass, the points of all paragraphs below; size and linked, letters in it and in its links."""
+    """An element: points, as passed on to it; mass, the points of all paragraphs below; size and linked, letters in it and in its links.
 
-    __slots__ = ("tag", "parent", "parts", "points", "mass", "dropped", "doubtful", "weight", "size", "linked")
+    names: the parts of its class and id by which it is doubtful, if nothing else makes it so; talk: whether it is in what readers write.
+    """
+
+    __slots__ = ("tag", "parent", "parts", "points", "mass", "dropped", "doubtful", "names", "talk", "weight", "size", "linked")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, doubtful: bool = False):
-        self.tag, self.parent, self.parts, self.dropped, self.doubtful = tag, parent, [], dropped, doubtful
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, doubtful: bool = False, names: frozenset[str] = frozenset()):
+        self.tag, self.parent, self.parts, self.dropped, self.doubtful, self.names = tag, parent, [], dropped, doubtful, names
+        self.talk = parent is not None and parent.talk or not names.isdisjoint(_TALK)
         self.points = self.mass = self.size = self.linked = 0.0
         self.weight = (parent.weight if parent else 1.0) * (DISCOUNT if doubtful else 1.0)
 
 
-def _telling(name: str) -> bool:
-    """Whether a class name or id marks what isn't the article."""
+def _telling(name: str) -> frozenset[str]:
+    """The parts of a class name or id that mark what isn't the article."""
     parts = [x for x in _SPLIT_NAMES.split(_NAME_EDGES.sub(r"\1 \2", name).lower()) if x]
     if not parts or parts[0] in _ABOUT:
-        return False
+        return frozenset()
     found = _NAMES.intersection(parts)
-    return bool(found) and not (found <= {"header"} and not _OWN.isdisjoint(parts))
+    return frozenset() if found <= {"header"} and not _OWN.isdisjoint(parts) else found
 
 
-def _judged(tag: str, attrs: str) -> tuple[bool, bool]:
-    """Whether an element can't hold article text, and whether it looks as if it didn't."""
+def _judged(tag: str, attrs: str) -> tuple[bool, bool, frozenset[str]]:
+    """Whether an element can't hold article text, whether it looks as if it didn't, and the names by which it does."""
+    nothing: frozenset[str] = frozenset()
     if tag in _DROPPED:
-        return True, False
-    doubtful = tag in ("form", "header")
+        return True, False, nothing
+    doubtful, names = tag in ("form", "header"), nothing
     if not attrs.strip() or tag in ("html", "body"):
-        return False, doubtful
+        return False, doubtful, names
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
         if key in ("class", "id"):
-            doubtful |= any(map(_telling, value.split()))
+            names = names.union(*map(_telling, value.split()))
         elif key == "role":
             doubtful |= value.lower() in _ROLES
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and "display:none" in value.replace(" ", "").lower():
-            return True, False
-    return False, doubtful
+            return True, False, nothing
+    return False, doubtful or bool(names), names
 
 
 def parsed(page: str) -> Node:
@@ -153,8 +163,7 @@ def parsed(page: str) -> Node:
                     if tag in _ENDS and node.tag == "tr" or tag not in _ENDS:
                         break
                 node = node.parent
-        dropped, doubtful = (True, False) if here.dropped else _judged(tag, attrs)
-        node = Node(tag, here, dropped, doubtful)
+        node = Node(tag, here, *((True, False) if here.dropped else _judged(tag, attrs)))
         if not node.dropped:
             here.parts.append(node)
         opened[tag] += 1
@@ -183,21 +192,27 @@ def _measured(root: Node) -> list[Node]:
     return order
 
 
-def _has_heading(node: Node) -> bool:
+def _has_heading(node: Node, also: frozenset[str] = frozenset()) -> bool:
     todo = [node]
     while todo:
         p = todo.pop()
-        if p.tag in _HEADINGS:
+        if p.tag in _HEADINGS or p.tag in also:
             return True
         todo += [x for x in p.parts if isinstance(x, Node)]
     return False
 
 
 def _stays(node: Node, best: Node) -> bool:
-    """Whether a doubtful element inside the article is a part of it: most of it, or its own header."""
+    """Whether a doubtful element inside the article is a part of it: most of it, its own header, or prose under the name of a list of links."""
     if node.mass >= MOST * best.mass > 0:
         return True
-    return node.tag == "header" and best.tag not in ("body", "html", "#page") and _has_heading(node) and node.linked <= 0.5 * node.size
+    if node.tag in ("p", "blockquote") and node.names and node.names <= _LISTS:
+        return node.size >= PROSE and node.linked <= 0.25 * node.size
+    return _own_header(node, best)
+
+
+def _own_header(node: Node, of: Node) -> bool:
+    return node.tag == "header" and of.tag not in ("body", "html", "#page") and _has_heading(node) and node.linked <= 0.5 * node.size
 
 
 def text_of(node: Node, out: list[str], best: Node) -> None:
@@ -240,7 +255,11 @@ def main_text(page: str | None) -> str:
     """The article's text: blocks in page order, white space within and between them one space; empty if there is none."""
     root = parsed(page or "")
     order = _measured(root)
+    # What readers write is the article only where no undoubted element has a paragraph.
+    apart = any(n.tag in _PARAGRAPHS and n.weight == 1 and len(_own_text(n)) >= 25 and n.linked <= 0.25 * n.size for n in order)
     for node in order:
+        if apart and node.talk:
+            continue
         if node.tag in _PARAGRAPHS or node.tag in ("div", "section", "article", "main", "body", "#page") and any(isinstance(p, str) and not p.isspace() for p in node.parts):
             words = _own_text(node)
             if not words or node.size and node.linked > 0.9 * node.size:
@@ -273,12 +292,16 @@ def _reads_on(node: Node, best: Node, enough: float) -> bool:
     """Whether a sibling of the best container reads like a part of the article."""
     density = node.linked / node.size if node.size else 1.0
     if node.doubtful:
-        return _value(node) >= enough and density < 0.3
+        return _value(node) >= enough and density < 0.3 or best.tag != "article" and _own_header(node, best.parent)
     if node.tag in _HEADINGS:
         return best.tag != "article" and density < 0.5
     if node.tag in _PARAGRAPHS:
         return density < 0.25 and node.size > 0
-    return density < 0.3 and _value(node) >= enough
+    if density >= 0.3:
+        return False
+    # Beside a section or a division of an article its other sections stand, however short.
+    inside = best.tag != "article" and best.parent.tag not in ("body", "html", "#page")
+    return _value(node) >= enough or inside and node.size > 0 and _has_heading(node, _PARAGRAPHS)
 
 
 def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:

@@ -489,6 +489,30 @@ PAGE = """<html><body class="has-sidebar"><header class="site-header"><h1>Site</
  here</pre><form><p>Name</p></form><div class="comments"><p>Nice article, I liked it, really, very much so indeed.</p></div></div></div><footer>foot</footer><script>if(a<b){"</p>"}</script></body></html>"""
 
 
+_SENTENCE = "The harbour lay quiet that morning, and the boats, moored in a row, turned slowly with the tide. "
+_LONG = "".join(f"<p>{_SENTENCE * 3}</p>" for _ in range(3))
+_LONG_TEXT = " ".join([(_SENTENCE * 3).strip()] * 3)
+_SHORT = "A second part has sixty-eight characters in one line of short prose."
+
+
+@pytest.mark.parametrize(
+    "page,said",
+    [
+        (f"<article><h1>One</h1><section>{_LONG}</section><section><h2>Two</h2><p>{_SHORT}</p></section></article>", f"One {_LONG_TEXT} Two {_SHORT}"),
+        (f"<div><h1>One</h1><div>{_LONG}</div><div><h2>Two</h2><p>{_SHORT}</p></div></div>", f"One {_LONG_TEXT} Two {_SHORT}"),
+        (f"<main><header><h1>Outer title</h1></header><div>{_LONG}</div></main>", f"Outer title {_LONG_TEXT}"),
+        (f"<article>{_LONG}<p class='related-work'>{_SENTENCE}</p>{_LONG}</article>", f"{_LONG_TEXT} {_SENTENCE.strip()} {_LONG_TEXT}"),
+        (f"<article>{_LONG}<p class='related'><a href='x'>{_SENTENCE}</a></p><p class='share'>Share this</p></article>", _LONG_TEXT),
+        (f"<body><article><h1>T</h1><p>{_SENTENCE}</p></article><div class='comments'>{_LONG * 34}</div></body>", f"T {_SENTENCE.strip()}"),
+        (f"<body><div><h1>T</h1><p>{_SENTENCE}</p></div><div class='comments'><div class='x'>{_LONG * 34}</div></div></body>", f"T {_SENTENCE.strip()}"),
+        (f"<main><div>{_LONG}</div><section><ul><li><a href='a'>one link</a></li><li><a href='b'>another</a></li></ul></section><div class='advert'><p>{_SENTENCE}</p></div></main>", _LONG_TEXT),
+        (f"<body><div class='comment-body'>{_LONG}</div></body>", _LONG_TEXT),
+    ],
+)
+def test_whole_articles_and_nothing_else(page, said):
+    assert html.main_text(f"<html>{page}</html>") == said
+
+
 def test_main_text():
     assert html.main_text(PAGE) == "Title & more First paragraph with text, commas, and length to count for the points. Second bold one, also of fair length, with some commas. item one item two code here"
     assert html.main_text(None) == html.main_text("") == html.main_text("<nav>menu</nav>") == "" and html.main_text("<p>Hi &lt;there&gt;") == "Hi <there>"
