@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,18 +28,29 @@ def target_range_join(points: DataFrame, targets: DataFrame, tolerance: Toleranc
     """points and targets (target_id, target_mz) where the point lies within the tolerance of the target.
 
     m/z is cut into buckets; a target stands in every bucket that its window meets, a point in one; an equi-join on buckets and
-    the exact window decide. Pairs are as many as matches. The width follows from the widest window unless given.
+    the exact window decide. Pairs are as many as matches. Buckets are as wide as a window unless a width is given: on the m/z
+    axis for absolute tolerances, on its logarithm for relative ones, where all windows are equally wide. So a target stands in
+    two buckets, or three where a bound lies on an edge.
     """
-    if width is None:
-        top = targets.agg(F.max(tolerance.absolute_at("target_mz"))).first()[0]
+    share = tolerance.value / 1e6
+    by_log = tolerance.relative and share < 1 and width is None
+    if by_log:
+        width = max(math.log((1 + share) / (1 - share)), 1e-9)
+    elif width is None:
+        top = targets.agg(F.max(tolerance.absolute_at("target_mz"))).first()[0] if tolerance.relative else tolerance.value
         width = max(2 * float(top or 0), 1e-6)
+    axis = (lambda x: F.coalesce(F.ln(F.abs(x)), F.lit(0.0))) if by_log else (lambda x: x)  # a window has one sign, and nought is alone
+    side = (lambda x: F.signum(x)) if by_log else (lambda x: F.lit(0.0))
+    bucket = lambda x: F.floor(axis(F.col(x)) / width)
     bounds = tolerance.bounds("target_mz")
     wide = targets.withColumn("lo", bounds["lo"]).withColumn("hi", bounds["hi"]).filter("target_mz is not null")
-    spread = wide.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
-    if targets.count() <= BROADCAST_ROWS:
+    met = F.sequence(F.least(bucket("lo"), bucket("hi")), F.greatest(bucket("lo"), bucket("hi")))
+    spread = wide.withColumn("side", side(F.col("target_mz"))).withColumn("bucket", F.explode(met))
+    if spread.count() <= BROADCAST_ROWS:
         spread = F.broadcast(spread)
-    placed = points.filter("mz is not null").withColumn("bucket", F.floor(F.col("mz") / width))
-    return placed.join(spread, "bucket").filter((F.col("mz") >= F.col("lo")) & (F.col("mz") <= F.col("hi"))).drop("bucket", "lo", "hi")
+    placed = points.filter("mz is not null").withColumn("side", side(F.col("mz"))).withColumn("bucket", bucket("mz"))
+    near = placed.join(spread, ["side", "bucket"]).filter((F.col("mz") >= F.col("lo")) & (F.col("mz") <= F.col("hi")))
+    return near.drop("side", "bucket", "lo", "hi")
 
 
 def target_xic(metadata: DataFrame, points: DataFrame, targets: DataFrame, tolerance: Tolerance) -> DataFrame:

@@ -226,6 +226,16 @@ def nearest_rt_bulk(spark, d):
     return lookups.nearest_times(A.metadata(spark, d), asked)
 
 
+@query("""WITH asked AS (SELECT s_suppkey AS query_id, CAST(CASE WHEN s_suppkey % 3 = 0 THEN 100 ELSE 50 + s_suppkey % 7 END AS DOUBLE) AS time FROM supplier),
+  best AS (SELECT time, min({'d': abs(rt - time), 't': rt, 'i': spectrum_index}) AS s FROM (SELECT DISTINCT time FROM asked), meta GROUP BY 1)
+  SELECT query_id, time, s.i AS spectrum_index, s.t AS rt FROM asked JOIN best USING (time)""".replace("WITH asked", ", asked", 1))
+def nearest_rt_hot(spark, d):
+    """A third of the queries ask for one time."""
+    key = F.col("s_suppkey")
+    time = F.when(key % 3 == 0, 100).otherwise(50 + key % 7).cast("double")
+    return lookups.nearest_times(A.metadata(spark, d), A._read(spark, d, "supplier").select(key.alias("query_id"), time.alias("time")))
+
+
 @query("SELECT spectrum_index, id, ms_level, rt FROM meta ORDER BY spectrum_index LIMIT 5")
 def first_n(spark, d):
     return lookups.first_spectra(A.metadata(spark, d), 5).select("spectrum_index", "id", "ms_level", "rt")
@@ -268,6 +278,11 @@ def target_range_join(spark, d):
     return analytics.target_range_join(A.points(spark, d), A.targets(spark, d), C.da(0.005)).select("target_id", "spectrum_index", "line", "price")
 
 
+@query("""SELECT p_partkey AS target_id, spectrum_index, line, price FROM part JOIN point ON mz BETWEEN p_retailprice / 2 - p_retailprice / 2 * 25 / 1e6 AND p_retailprice / 2 + p_retailprice / 2 * 25 / 1e6""")
+def target_range_ppm(spark, d):
+    return analytics.target_range_join(A.points(spark, d), A.targets(spark, d), C.ppm(25)).select("target_id", "spectrum_index", "line", "price")
+
+
 @query("""SELECT p_partkey AS target_id, spectrum_index, rt, sum(intensity) AS intensity FROM part JOIN point ON mz BETWEEN p_retailprice / 2 - 0.005 AND p_retailprice / 2 + 0.005
   JOIN meta USING (spectrum_index) GROUP BY ALL""")
 def target_xic(spark, d):

@@ -231,5 +231,23 @@ def dta_texts(spectra: DataFrame, base: str, default_charge: int = 2, keep: Colu
 
 
 def write_dta(texts: DataFrame, path: str) -> None:
-    """A folder name=<name> for each text, in any store that Spark writes."""
-    texts.write.partitionBy("name").text(path)
+    """A file for each text, under its name, in a new folder that the tasks can write to; each appears under its name when it is whole.
+
+    In a store that only Spark writes to, a folder name=<name> for each text instead.
+    """
+    if "://" in path and not path.startswith("file:"):
+        texts.write.partitionBy("name").text(path)
+        return
+    folder = os.path.abspath(path.removeprefix("file://"))
+    os.makedirs(folder, exist_ok=True)
+    if os.listdir(folder):
+        raise M.RunError(f"{folder} isn't empty")
+
+    def write(rows) -> None:
+        for r in rows:
+            part = os.path.join(folder, f".{uuid.uuid4().hex}.part")
+            with open(part, "w", encoding="utf-8") as f:
+                f.write(r.value + "\n")
+            os.replace(part, os.path.join(folder, r.name))
+
+    texts.select("name", "value").foreachPartition(write)

@@ -287,3 +287,28 @@ def test_a_long_run_of_gaps_costs_its_length():
     mz, known = np.zeros(200_001), np.zeros(200_001, bool)
     mz[0], known[0] = 100.0, True
     assert gaps.filled(mz, known, None, [1e-6], True)[0] == 200_001 and mz[-1] == pytest.approx(100.2)
+
+
+@pytest.mark.parametrize("tolerance", [C.ppm(2000), C.ppm(0), C.da(0.4)])
+def test_range_join_against_every_pair(spark, tolerance):
+    import random
+
+    from ionloom.operators import analytics
+
+    r = random.Random(9)
+    targets = [(i, math_mz) for i, math_mz in enumerate([50.0, 5000.0, 0.0, -700.0, *(r.uniform(50, 5000) for _ in range(60))])]
+    points = [(k, m * (1 + r.choice([0, 0.0019, -0.0019, 0.0021, 1e-4]))) for k, (_, m) in enumerate(targets * 4)] + [(-1, None)]
+    got = analytics.target_range_join(spark.createDataFrame(points, "k long, mz double"), spark.createDataFrame([*targets, (99, None)], "target_id long, target_mz double"), tolerance)
+    inside = lambda m, t: tolerance.limits(t)[0] <= m <= tolerance.limits(t)[1]
+    want = sorted((k, i) for k, m in points if m is not None for i, t in targets if inside(m, t))
+    assert sorted((x.k, x.target_id) for x in got.collect()) == want and want
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_ordinals(spark, parts):
+    from ionloom.operators import lookups
+
+    keys = [3 * k * k for k in range(40)]
+    m = spark.createDataFrame([(k,) for k in reversed(keys)], "spectrum_index long")
+    one = lambda n: [x.spectrum_index for x in lookups.by_ordinal(m, n, parts).collect()]
+    assert [one(n) for n in (0, 17, 39, 40, -1)] == [[keys[0]], [keys[17]], [keys[39]], [], []]

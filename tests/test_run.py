@@ -138,6 +138,9 @@ def test_tools(spark, folder, tmp_path):
     tools.extract(run, str(tmp_path / f"ms1{ARCHIVE_SUFFIX}"), levels=[1])
     assert sorted(r.spectrum_index for r in open_run(spark, str(tmp_path / f"ms1{ARCHIVE_SUFFIX}")).metadata().collect()) == [0, 3]
     tools.to_dta(run, str(tmp_path / "dta"))
+    assert (tmp_path / "dta/point.6.6.3.dta").read_text() == "447.98545 3\n200.00000 1.0000\n300.00000 1.0000\n400.00000 1.0000\n"
+    with pytest.raises(RunError, match="empty"):
+        tools.to_dta(run, str(tmp_path / "dta"))
     texts = {r.name: r.value for r in sinks.dta_texts(run.spectra(), "point.x").collect()}
     assert texts["point.6.6.3.dta"] == "447.98545 3\n200.00000 1.0000\n300.00000 1.0000\n400.00000 1.0000" and set(texts) == {"point.2.2.2.dta", "point.3.3.1.dta", "point.6.6.3.dta"}
     tools.to_xic_csv(run, str(tmp_path / "xic"), 100.25, C.da(0.3))
@@ -244,6 +247,23 @@ def test_archives_are_read_in_place(spark, folder, tmp_path):
         open_run(spark, str(tmp_path / "broken.zip"))
 
 
+def test_command_line(spark, folder, tmp_path, capsys):
+    from ionloom.__main__ import main
+
+    assert main(["info", folder, "--first", "2"]) == 0
+    assert "# levels" in (out := capsys.readouterr().out) and "# first" in out and out.count("controllerType=0") == 2
+    assert main(["fileinfo", folder]) == 0
+    assert "# ms1_intensity" in (out := capsys.readouterr().out) and '"start_time": "t"' in out
+    assert main(["extract", folder, "--out", str(tmp_path / "late"), "--ms-level", "1,2", "--ms-level", "3", "--rt-min", "0.35", "--rt-max", "0.5"]) == 0
+    assert sorted(r.spectrum_index for r in open_run(spark, str(tmp_path / "late")).metadata().collect()) == [3, 4]  # unknown times pass
+    assert main(["dta", folder, "--out", str(tmp_path / "dta"), "--charge=3"]) == 0
+    assert {p.name for p in (tmp_path / "dta").iterdir()} == {f"point.{n}.dta" for n in ("2.2.3", "3.3.1", "6.6.3")}
+    assert main(["xic", folder, "--out", str(tmp_path / "xic"), "--mz", "100.25", "--da", "0.3"]) == 0
+    assert spark.read.option("header", True).csv(str(tmp_path / "xic")).count() == 2
+    with pytest.raises(SystemExit):
+        main(["xic", folder, "--out", "x"])
+
+
 def test_bad_archives(spark, folder, tmp_path):
     for extra in (["m.parquet"], ["../x"]):
         with pytest.raises(RunError):
