@@ -32,8 +32,8 @@ from .common import pieces, scratch, table, written
 from .tokens import byte_symbols
 
 CAPACITY, END = 4096, 1
-#: The top of the last wave, and the share of a wave's pieces that a sweep must place to be repeated before sequences are opened.
-SMALLEST, WORTH = 128, 0.2
+#: Pieces of the last wave are no longer than this part of a sequence; the share of a wave's pieces that a sweep must place to be repeated before sequences are opened.
+SMALLEST, WORTH = 1 / 32, 0.2
 #: Words whose ids a worker remembers, twice as many in all, and the longest that it does.
 REMEMBERED, REMEMBERED_CHARS = 250_000, 40
 #: Separators that Python splits at and vocabularies don't.
@@ -207,7 +207,7 @@ def packed_bins(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     bins = large.select("id", (capacity - F.col("size")).alias("room")).filter("room > 0").union(empty(0, opened))
     high = capacity // 2
     while high:
-        low = high // 2 if high > SMALLEST else 0
+        low = high // 2 if high > SMALLEST * capacity else 0
         left = items.filter((F.col("size") > low) & (F.col("size") <= high))
         n, total = left.agg(F.count("*"), F.sum("size")).first()
         worth = True
