@@ -4,8 +4,8 @@ Both dictionaries are trained by zstandard. The ordinary one is trained on windo
 toxic one holds the same content, so that an ordinary window takes about as many bytes with either, and what is trained on
 windows of toxic texts. Most of a toxic text is ordinary too, and a dictionary trained on all of it tells little (figures in
 the README). So the windows that it is trained on are cut around the segments (words, their beginnings and runs of up to
-three) by which the labels tell toxic texts from others, some bytes of what stands before and behind included; what the
-trainer leaves out of them is left out. Each window that is compared stands between a fixed lead and tail that both dictionaries
+three) by which the labels tell toxic texts from others, some bytes of what stands before and behind included. The
+trainer has room for all of them, and leaves out some where windows are few; these are added. Each window that is compared stands between a fixed lead and tail that both dictionaries
 hold: blocks are then never stored raw, and the compressor looks for matches up to the window's end.
 
 Segments are ranked by how the labels tell them apart, and no size of the sample is needed for one to count: how many are
@@ -248,14 +248,17 @@ def toxic_windows(texts: list[str], found: list[bytes]) -> list[tuple[int, bytes
 
 
 def toxic_content(ordinary: bytes, found: list[bytes], seen: list[tuple[int, bytes]], n: int) -> bytes:
-    """The ordinary content and that of a dictionary trained on the windows around the first n segments; too few windows to train on add nothing."""
+    """The ordinary content and that of a dictionary trained on the windows around the first n segments.
+
+    Segments that the trainer left out, as it does where windows are few, follow, the strongest last.
+    """
     found, size = found[:n], SEGMENT_BYTES * min(n, len(found))
     try:
         # The trained content is the end of what comes, behind the tables.
         body = zstandard.train_dictionary(256 + size, [w for i, w in seen if i < n and len(w) >= 8], **TRAINER).as_bytes()[-size:] if size else b""
     except zstandard.ZstdError:
         body = b""
-    return ordinary + body
+    return ordinary + body + b"".join(w for w in reversed(found) if w not in body)
 
 
 def _error(x: np.ndarray) -> float:
