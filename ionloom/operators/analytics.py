@@ -11,6 +11,8 @@ from ..functions.columns import Tolerance, activation_methods, finite, is_msn
 
 #: Rows of a target list up to which it is broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Targets of one list, about.
+LISTED = 10_000
 
 
 def xic(metadata: DataFrame, points: DataFrame, mz: float, tolerance: Tolerance, keep: Column | None = None) -> DataFrame:
@@ -24,11 +26,11 @@ def xic(metadata: DataFrame, points: DataFrame, mz: float, tolerance: Tolerance,
     return spectra.join(sums, "spectrum_index", "left").select("spectrum_index", "rt", F.coalesce("found", F.lit(0.0)).alias("intensity"))
 
 
-def target_range_join(points: DataFrame, targets: DataFrame, tolerance: Tolerance, width: float | None = None) -> DataFrame:
-    """points and targets (target_id, target_mz) where the point lies within the tolerance of the target.
+def target_windows(points: DataFrame, targets: DataFrame, tolerance: Tolerance, width: float | None = None) -> DataFrame:
+    """points and the distinct target_mz of targets (target_mz) where the point lies within the tolerance of it.
 
     m/z is cut into buckets; a target stands in every bucket that its window meets, a point in one; an equi-join on buckets and
-    the exact window decide. Pairs are as many as matches. Buckets are as wide as a window unless a width is given: on the m/z
+    the exact window decide. Pairs are as many as matches, and targets of one m/z count once. Buckets are as wide as a window unless a width is given: on the m/z
     axis for absolute tolerances, on its logarithm for relative ones, where all windows are equally wide. So a target stands in
     two buckets, or three where a bound lies on an edge.
     """
@@ -43,7 +45,7 @@ def target_range_join(points: DataFrame, targets: DataFrame, tolerance: Toleranc
     side = (lambda x: F.signum(x)) if by_log else (lambda x: F.lit(0.0))
     bucket = lambda x: F.floor(axis(F.col(x)) / width)
     bounds = tolerance.bounds("target_mz")
-    wide = targets.withColumn("lo", bounds["lo"]).withColumn("hi", bounds["hi"]).filter("target_mz is not null")
+    wide = targets.select("target_mz").filter("target_mz is not null").distinct().withColumn("lo", bounds["lo"]).withColumn("hi", bounds["hi"])
     met = F.sequence(F.least(bucket("lo"), bucket("hi")), F.greatest(bucket("lo"), bucket("hi")))
     spread = wide.withColumn("side", side(F.col("target_mz"))).withColumn("bucket", F.explode(met))
     if spread.count() <= BROADCAST_ROWS:
@@ -53,10 +55,41 @@ def target_range_join(points: DataFrame, targets: DataFrame, tolerance: Toleranc
     return near.drop("side", "bucket", "lo", "hi")
 
 
+def with_targets(found: DataFrame, targets: DataFrame) -> DataFrame:
+    """Rows with a target_mz, each for every target of that m/z, by its other columns.
+
+    The targets of an m/z come as lists of LISTED at most, so that a row meets them, and is repeated, only behind the shuffle.
+    """
+    rest = [c for c in targets.columns if c != "target_mz"]
+    sizes = targets.groupBy("target_mz").agg(F.ceil(F.count("*") / LISTED).alias("parts"))
+    part = F.pmod(F.xxhash64(*rest), F.col("parts"))
+    listed = targets.join(sizes, "target_mz").groupBy("target_mz", part.alias("part")).agg(F.collect_list(F.struct(*rest)).alias("those")).drop("part")
+    listed = F.broadcast(listed) if targets.count() <= BROADCAST_ROWS else listed
+    return found.join(listed, "target_mz").withColumn("own", F.explode("those")).select(*found.columns, "own.*")
+
+
+def target_range_join(points: DataFrame, targets: DataFrame, tolerance: Tolerance, width: float | None = None) -> DataFrame:
+    """points and targets (target_id, target_mz) where the point lies within the tolerance of the target: points against the distinct target_mz, and then all targets of those."""
+    return with_targets(target_windows(points, targets, tolerance, width), targets)
+
+
 def target_xic(metadata: DataFrame, points: DataFrame, targets: DataFrame, tolerance: Tolerance) -> DataFrame:
-    """(target_id, spectrum_index, rt, intensity) wherever a target has signal."""
-    hits = target_range_join(points, targets, tolerance).groupBy("target_id", "spectrum_index").agg(F.sum("intensity").alias("intensity"))
-    return hits.join(metadata.select("spectrum_index", "rt"), "spectrum_index").select("target_id", "spectrum_index", "rt", "intensity")
+    """(target_id, spectrum_index, rt, intensity) wherever a target has signal.
+
+    Sums are made for each distinct m/z and meet the metadata before the targets of that m/z, so that pairs of targets and
+    spectra aren't shuffled; only those of an id that stands on several rows are, to be summed.
+    """
+    hits = target_windows(points, targets, tolerance).groupBy("target_mz", "spectrum_index").agg(F.sum("intensity").alias("intensity"))
+    timed = lambda found: found.join(metadata.select("spectrum_index", "rt"), "spectrum_index")
+    known = targets.filter("target_mz is not null").select("target_id", "target_mz")
+    rows = known.withColumn("rows", F.count("*").over(Window.partitionBy("target_id")))
+    once, often = rows.filter("rows = 1").drop("rows"), rows.filter("rows > 1").drop("rows")
+    spread = timed(hits).repartition(int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few rows may make many pairs
+    out = with_targets(spread, once).select("target_id", "spectrum_index", "rt", "intensity")
+    if often.isEmpty():
+        return out
+    summed = with_targets(hits, often).groupBy("target_id", "spectrum_index").agg(F.sum("intensity").alias("intensity"))
+    return out.unionByName(timed(summed).select("target_id", "spectrum_index", "rt", "intensity"))
 
 
 def count_per_level(metadata: DataFrame) -> DataFrame:

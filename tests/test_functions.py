@@ -312,3 +312,20 @@ def test_ordinals(spark, parts):
     m = spark.createDataFrame([(k,) for k in reversed(keys)], "spectrum_index long")
     one = lambda n: [x.spectrum_index for x in lookups.by_ordinal(m, n, parts).collect()]
     assert [one(n) for n in (0, 17, 39, 40, -1)] == [[keys[0]], [keys[17]], [keys[39]], [], []]
+
+
+def test_targets_of_one_mz(spark):
+    """Targets that share an m/z meet the points once and are told apart behind the last shuffle; repeated ids are summed, and repeated targets stay."""
+    points = spark.createDataFrame([(k % 3, 100.0 + k / 1000, float(k)) for k in range(12)], "spectrum_index long, mz double, intensity double")
+    targets = [(k, 100.0 + (k % 2) / 100) for k in range(40)] + [(7, 100.0), (7, 100.01), (None, 100.0), (None, 100.0), (50, None)]
+    frame = spark.createDataFrame(targets, "target_id long, target_mz double")
+    metadata = spark.createDataFrame([(0, 1.0), (1, 2.0), (2, 3.0), (2, 3.5)], "spectrum_index long, rt double")
+    got = analytics.target_xic(metadata, points, frame, C.da(0.004))
+    pairs = [(t, p) for t, m in targets if m is not None for p in points.collect() if m - 0.004 <= p.mz <= m + 0.004]
+    assert analytics.target_range_join(points, frame, C.da(0.004)).count() == len(pairs)
+    sums = {}
+    for t, p in pairs:
+        sums[t, p.spectrum_index] = sums.get((t, p.spectrum_index), 0.0) + p.intensity
+    want = [(t, s, r.rt, v) for (t, s), v in sums.items() for r in metadata.collect() if r.spectrum_index == s]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    assert analytics.target_windows(points, frame, C.da(0.004)).count() == len({(m, p) for t, m in targets if m is not None for p in points.collect() if m - 0.004 <= p.mz <= m + 0.004})  # a pair a distinct m/z, however many targets have it
