@@ -1,7 +1,8 @@
 """Reconstruction of null-marked m/z: linear and polynomial gap filling, or dropping.
 
 Without models, the anchor on the left comes from a window that runs ahead, the one on the right from a window that runs back:
-both grow by a row at a time, so that a spectrum costs its length. They share one exchange. With models, each m/z follows from
+both grow by a row at a time, so that a spectrum costs its length. They share one exchange, and the first its sort with the places.
+Points are dealt to as many tasks as keep the rows that one sorts bounded. With models, each m/z follows from
 the one before, and one pass in Arrow batches carries it. A spectrum is the unit of work; a run has many, so hot keys don't
 arise from the format.
 """
@@ -17,17 +18,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.storage import dealt
+
 KEYS = ("spectrum_index",)
 
 
 def _anchors(points: DataFrame, keys, order) -> DataFrame:
     """Adds place, and the nearest known value and its place on the left (lv, lp) and on the right (rv, rp)."""
     ahead = Window.partitionBy(*keys).orderBy(*order)
-    placed = points.withColumn("place", F.row_number().over(ahead))
-    # By place, which has no ties, so that the way back is the way ahead reversed.
+    placed = dealt(points, points.count(), *keys).withColumn("place", F.row_number().over(ahead))
     grown = lambda *by: Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     known = F.when(F.col("mz").isNotNull(), F.struct(F.col("mz").alias("v"), F.col("place").alias("p")))
-    placed = placed.withColumn("left", F.last(known, ignorenulls=True).over(grown("place")))
+    placed = placed.withColumn("left", F.last(known, ignorenulls=True).over(grown(*order)))  # rows lie in the order of their places
+    # By place, which has no ties, so that the way back is the way ahead reversed.
     placed = placed.withColumn("right", F.last(known, ignorenulls=True).over(grown(F.desc("place"))))
     return placed.select("*", F.col("left.v").alias("lv"), F.col("left.p").alias("lp"), F.col("right.v").alias("rv"), F.col("right.p").alias("rp")).drop("left", "right")
 
@@ -131,12 +134,12 @@ def drop_gaps(points: DataFrame) -> DataFrame:
     return points.filter(F.col("mz").isNotNull())
 
 
-def reconstruct(points: DataFrame, models: DataFrame | None, order, keys=KEYS, fill: bool = True) -> DataFrame:
+def reconstruct(points: DataFrame, models: DataFrame | None, order, keys=KEYS, fill: bool = True, size: int | None = None) -> DataFrame:
     """Null m/z by the spectrum's own polynomial (models: keys, mz_delta_model), by a straight line without one; or dropped.
 
     The polynomial gives the distance from one m/z to the next: interior and trailing runs walk ahead from the left anchor,
     a leading run walks back from the first. One pass over the sorted points fills every gap from the one before, so that a run
-    costs its length; only a run whose end must be known waits for it.
+    costs its length; only a run whose end must be known waits for it. size: about how many points there are, else they are counted.
     """
     if not fill:
         return drop_gaps(points)
@@ -146,6 +149,6 @@ def reconstruct(points: DataFrame, models: DataFrame | None, order, keys=KEYS, f
     nothing = [F.lit(None).cast(points.schema[c].dataType).alias(c) for c in rest]
     own = models.filter(F.size("mz_delta_model") > 0).select(*keys, F.lit(0).alias("kind"), F.col("mz_delta_model").cast("array<double>").alias("model"), F.lit(None).cast("double").alias("mz"), *nothing)
     rows = points.select(*keys, F.lit(1).alias("kind"), F.lit(None).cast("array<double>").alias("model"), F.col("mz").cast("double").alias("mz"), *rest)
-    both = own.union(rows).repartition(*keys).sortWithinPartitions(*keys, "kind", *order)
+    both = dealt(own.union(rows), points.count() if size is None else size, *keys).sortWithinPartitions(*keys, "kind", *order)
     out = T.StructType([T.StructField(c, both.schema[c].dataType) for c in (*keys, "mz", *rest)])
     return both.mapInArrow(_fill(len(keys)), out).select(*points.columns)

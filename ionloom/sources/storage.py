@@ -10,6 +10,8 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that one task sorts, or groups, beyond which more tasks share them.
+ROWS_A_TASK = 250_000
 #: Paths written inside each scratch() that is open, the innermost last.
 _passing: ContextVar[tuple[list[str], ...]] = ContextVar("passing", default=())
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -26,6 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def dealt(df: DataFrame, rows: int | None, *keys: str) -> DataFrame:
+    """df, of so many rows, by the hash of its keys: in the session's number of partitions, or in more, so that none gets far more than ROWS_A_TASK.
+
+    What a task sorts is then bounded, however large the table; windows, groups and joins by these keys need no other shuffle.
+    """
+    n = -(-(rows or 0) // ROWS_A_TASK)
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(*keys)
+
+
 @contextmanager
 def own_setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     """A setting of the session, for the statements inside and not beyond."""

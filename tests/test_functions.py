@@ -329,3 +329,15 @@ def test_targets_of_one_mz(spark):
     want = [(t, s, r.rt, v) for (t, s), v in sums.items() for r in metadata.collect() if r.spectrum_index == s]
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
     assert analytics.target_windows(points, frame, C.da(0.004)).count() == len({(m, p) for t, m in targets if m is not None for p in points.collect() if m - 0.004 <= p.mz <= m + 0.004})  # a pair a distinct m/z, however many targets have it
+
+
+def test_tasks_of_gap_filling_follow_the_points(spark, monkeypatch):
+    """More points than a task should sort are dealt to more tasks than the session's number, with the same result."""
+    rows = [(k // 5, k % 5, None if k % 5 in (0, 2, 3) else float(k), 1.0) for k in range(400)]
+    points = spark.createDataFrame(rows, "spectrum_index long, k int, mz double, intensity double")
+    models = spark.createDataFrame([(3, [0.5])], "spectrum_index long, mz_delta_model array<double>")
+    fills = (lambda: gaps.linear_fill(points, ["k"]), lambda: gaps.poly_fill(points, models, ["k"]))
+    want = [sorted(f().collect()) for f in fills]
+    monkeypatch.setattr("ionloom.sources.storage.ROWS_A_TASK", 20)
+    for f, rows in zip(fills, want):
+        assert f().rdd.getNumPartitions() == 20 and sorted(f().collect()) == rows
