@@ -15,6 +15,7 @@ from .sources import manifest as M
 from .sources import tables
 from .sources.archive import located, safe_member
 from .sources.groups import for_keys, for_mz, group_index, read_groups
+from .sources.storage import dealt
 
 
 class Run:
@@ -53,6 +54,17 @@ class Run:
             raise M.RunError(f"the archive has no member {name!r}")
         return tables.read(self.spark, f"{self.place.folder}/{name}")
 
+    def values(self, role: tuple[str, str], keys: tuple[int, int] | None = None, mz: tuple[float, float] | None = None, rows: bool = False) -> int:
+        """About how many values, or rows, needed() gives: from footers; where tasks can't open the member, all its rows."""
+        name = self.manifest.find(role)
+        where = None if name is None else self.place.direct(safe_member(name))
+        if where is None:
+            return 0 if name is None else self.member(role).count()
+        groups = group_index(where)
+        groups = groups if keys is None else for_keys(groups, *keys)
+        groups = groups if mz is None else for_mz(groups, *mz)
+        return sum(g.rows if rows else g.values for g in groups)
+
     def needed(self, role: tuple[str, str], keys: tuple[int, int] | None = None, mz: tuple[float, float] | None = None) -> DataFrame | None:
         """The rows of the row groups of a signal member that may hold spectra with these indices, or points with this m/z, both ends inclusive.
 
@@ -83,7 +95,7 @@ class Run:
 
     def metadata(self) -> DataFrame:
         """One row a spectrum: description, scans, precursors with their ions, parameters."""
-        return tables.spectra(self.member(M.SPECTRA))
+        return tables.spectra(self.member(M.SPECTRA), self.values(M.SPECTRA, rows=True))
 
     def footer(self) -> dict[str, str]:
         """Key-value pairs of the metadata member's Parquet footer."""
@@ -112,8 +124,7 @@ class Run:
             return self.spark.createDataFrame([], "spectrum_index bigint, ordinal struct<row_no: struct<file: string, row: bigint>, pos: int>, mz double, intensity double")
         points = tables.signal_points(df)
         points = points if keys is None else points.filter(F.col("spectrum_index").between(*keys))
-        models = self.metadata().select("spectrum_index", "mz_delta_model")
-        points = gaps.reconstruct(points, models, ["ordinal"], fill=self.reconstruct)
+        points = gaps.reconstruct(points, tables.models(self.member(M.SPECTRA)), ["ordinal"], fill=self.reconstruct, size=self.values(role, keys, mz))
         return points if mz is None else points.filter(F.col("mz").between(*mz))
 
     def profile_points(self) -> DataFrame:
@@ -172,7 +183,7 @@ class Run:
         df = self.member(M.CHROMATOGRAMS)
         if df is None or self.manifest.find(M.CHROMATOGRAM_SIGNALS) is None:
             return self.spark.createDataFrame([], "chromatogram_index bigint, id string, type string, time array<double>, intensity array<double>")
-        return facets.with_arrays(tables.chromatograms(df), self.chromatogram_points(), "ordinal", "time", "chromatogram_index")
+        return facets.with_arrays(tables.chromatograms(df), dealt(self.chromatogram_points(), self.values(M.CHROMATOGRAM_SIGNALS), "chromatogram_index"), "ordinal", "time", "chromatogram_index")
 
     def wavelength_points(self) -> DataFrame:
         df = self.member(M.WAVELENGTH_SIGNALS)
@@ -184,7 +195,7 @@ class Run:
         df = self.member(M.WAVELENGTHS)
         if df is None or self.manifest.find(M.WAVELENGTH_SIGNALS) is None:
             return self.spark.createDataFrame([], "wavelength_spectrum_index bigint, id string, time double, lambda_max double, wavelength array<double>, intensity array<double>")
-        return facets.with_arrays(tables.wavelength_spectra(df), self.wavelength_points(), "ordinal", "wavelength", "wavelength_spectrum_index")
+        return facets.with_arrays(tables.wavelength_spectra(df), dealt(self.wavelength_points(), self.values(M.WAVELENGTH_SIGNALS), "wavelength_spectrum_index"), "ordinal", "wavelength", "wavelength_spectrum_index")
 
     # ---- checks, stores ----
 

@@ -81,6 +81,8 @@ class Group:
     keys: tuple[int | None, int | None]
     mz: tuple[float | None, float | None]
     mz_nulls: int | None
+    #: Values of the column that has most: rows, or what their lists hold.
+    values: int = 0
 
 
 def _range(columns: list, what: str) -> tuple:
@@ -100,7 +102,7 @@ def group_index(member: Member, key: str = "spectrum_index") -> list[Group]:
         for n in range(about.num_row_groups):
             g = about.row_group(n)
             columns = [g.column(i) for i in range(g.num_columns)]
-            out.append(Group(n, row, g.num_rows, g.total_byte_size, _range(columns, key), _range(columns, "mz"), _nulls(columns, "mz")))
+            out.append(Group(n, row, g.num_rows, g.total_byte_size, _range(columns, key), _range(columns, "mz"), _nulls(columns, "mz"), max((c.num_values for c in columns), default=0)))
             row += g.num_rows
     return out
 

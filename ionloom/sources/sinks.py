@@ -1,7 +1,8 @@
 """Writing runs back: each member one Parquet file, as a folder or as an archive; peak lists and chromatograms as text.
 
-Members are written by Spark and then take their names, in any file system that Spark writes to; the interchange format wants one file a member, so a writer task a
-member is unavoidable here. Long tables for analysis go through Run.store(), which isn't bound by that.
+Members are written by Spark and then take their names, in any file system that Spark writes to. The interchange format wants one file a
+member: rows are sorted and written by ranges, in many tasks, and the parts' row groups are then copied behind each other as bytes.
+Long tables for analysis go through Run.store(), which isn't bound by that.
 
 What the format's writers have always left out is left out here too: activation parameters, scan windows, the reconstruction
 model, and all but the first scan, precursor and ion. Index columns are signed.
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import chunks
 from . import manifest as M
+from . import storage
 from . import tables as T
 from .archive import pack
 
@@ -38,14 +40,35 @@ class Store:
     def path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
 
-    def take_part(self, table: str, name: str) -> None:
-        """The one part file of the table in a folder becomes name, and the folder goes."""
-        part = next(f.getPath() for f in self.files.listStatus(self.path(table)) if f.getPath().getName().endswith(".parquet"))
+    def take_parts(self, table: str, name: str) -> None:
+        """The part files of the table in a folder, in the order of their names, become the one file of this name, and the folder goes.
+
+        Row groups of several are copied as they are, without decoding, a block at a time.
+        """
+        found = sorted((f.getPath() for f in self.files.listStatus(self.path(table)) if f.getPath().getName().endswith(".parquet")), key=lambda p: p.getName())
+        part = found[0] if len(found) == 1 else self._joined(found, self.path(f"{table}/_joined"))
         self.remove(name)
         if not self.files.rename(part, self.path(name)):
             raise M.RunError(f"{name} could not be put in place")
         self.remove(table)
 
+    def _joined(self, parts: list, target):
+        parquet, conf = self.jvm.org.apache.parquet.hadoop, self.files.getConf()
+        opened = lambda p: parquet.util.HadoopInputFile.fromPath(p, conf)
+        first = parquet.ParquetFileReader.open(opened(parts[0]))
+        about = first.getFileMetaData()
+        first.close()
+        create = getattr(parquet, "ParquetFileWriter$Mode").valueOf("CREATE")
+        writer = parquet.ParquetFileWriter(parquet.util.HadoopOutputFile.fromPath(target, conf), about.getSchema(), create, 128 << 20, 0)
+        try:
+            writer.start()
+            for p in parts:
+                writer.appendFile(opened(p))
+            writer.end(about.getKeyValueMetaData())
+        finally:
+            writer.close()
+        return target
+
     def write_text(self, name: str, text: str) -> None:
         out = self.files.create(self.path(name), True)
         try:
@@ -62,17 +85,22 @@ class Store:
             local = self.jvm.org.apache.hadoop.fs.Path(f"file://{own}/{name}")
             self.files.copyToLocalFile(False, self.path(name), local, True)
             change(f"{own}/{name}")
+            self.remove(name)  # with its checksums, which don't fit any more
             self.files.copyFromLocalFile(False, True, local, self.path(name))
 
 
-def write_member(df: DataFrame, store: Store, name: str, order: list, row_group: int | None = None) -> None:
-    """df, sorted, as the one file of this name; until it is whole it has another."""
+def write_member(df: DataFrame, store: Store, name: str, order: list, row_group: int | None = None, rows: int | None = None) -> None:
+    """df, sorted, as the one file of this name; until it is whole it has another.
+
+    rows: about how many df has, else they are counted. Many are sorted and written by ranges, as parts that are then joined.
+    """
     part = f"_{name}-{uuid.uuid4().hex}"
-    out = df.repartition(1).sortWithinPartitions(*order) if order else df.coalesce(1)
+    n = -(-(df.count() if rows is None else rows) // storage.ROWS_A_TASK)
+    out = (df.repartitionByRange(n, *order) if n > 1 else df.repartition(1)).sortWithinPartitions(*order)
     writer = out.drop("sort_key").write.option("compression", "zstd")
     try:
         (writer.option("parquet.block.size", row_group) if row_group else writer).parquet(f"{store.folder}/{part}")
-        store.take_part(part, name)
+        store.take_parts(part, name)
     finally:
         store.remove(part)
 
@@ -141,19 +169,21 @@ def write_run(metadata: DataFrame, points: DataFrame, path: str, chromatograms:
         raise M.RunError("a spectrum has a negative index")
     if container == "zip" and "://" in path:
         raise M.RunError("archives are written to local or mounted paths; write a folder instead")
+    spectra, size = metadata.count(), points.count()
+    metadata, points = storage.dealt(metadata, max(spectra, size), "spectrum_index"), storage.dealt(points, max(spectra, size), "spectrum_index")
     store = Store(metadata.sparkSession, path if container == "dir" else f"{path}.{uuid.uuid4().hex}.members")
     new = store.files.mkdirs(store.path("")) and not store.files.listStatus(store.path(""))
     files: list[dict] = []
     try:
         files = [{"name": "spectra_metadata.parquet", "entity_type": "spectrum", "data_kind": "metadata"}]
-        write_member(metadata_rows(metadata, points.groupBy("spectrum_index").agg(F.count("*").alias("n"))), store, files[0]["name"], ["sort_key"], row_group)
+        write_member(metadata_rows(metadata, points.groupBy("spectrum_index").agg(F.count("*").alias("n"))), store, files[0]["name"], ["sort_key"], row_group, spectra)
         documents = footer_documents(about)
         if documents:
             store.edit(files[0]["name"], lambda local: _with_footer(local, documents))
 
-        def add(df: DataFrame, name: str, role: tuple[str, str], order: list) -> None:
+        def add(df: DataFrame, name: str, role: tuple[str, str], rows: int) -> None:
             files.append({"name": name, "entity_type": role[0], "data_kind": role[1]})
-            write_member(df, store, name, order, row_group)
+            write_member(df, store, name, ["sort_key"], row_group, rows)
 
         def point(df: DataFrame, index: str, axis: str) -> DataFrame:
             return df.select(F.struct(F.col(index), F.col(axis).cast("double").alias(axis), F.col("intensity").cast("double").alias("intensity")).alias("point"), F.struct(index, "ordinal").alias("sort_key"))
@@ -161,18 +191,19 @@ def write_run(metadata: DataFrame, points: DataFrame, path: str, chromatograms:
         if layout == "numpress":
             coded = chunks.numpress_chunks(points, ["ordinal"], intensity)
             row = coded.select(F.struct("spectrum_index", "mz_chunk_start", "mz_chunk_end", "chunk_encoding", _byte_list("mz_numpress_linear_bytes"), _byte_list(f"intensity_numpress_{intensity}_bytes")).alias("chunk"), F.struct("spectrum_index", "chunk_no").alias("sort_key"))
-            add(row, "spectra_data.parquet", M.SIGNALS, ["sort_key"])
+            add(row, "spectra_data.parquet", M.SIGNALS, size)
         else:
             kind = points.join(metadata.select("spectrum_index", (F.col("continuity") == "CENTROID").alias("centroid")), "spectrum_index")
             for centroid, name, role in ((False, "spectra_data.parquet", M.SIGNALS), (True, "spectra_peaks.parquet", M.PEAKS)):
                 some = kind.filter(F.col("centroid") if centroid else ~F.col("centroid"))
                 if not some.isEmpty():
-                    add(point(some, "spectrum_index", "mz"), name, role, ["sort_key"])
-        if chromatograms is not None and not chromatograms.isEmpty():
+                    add(point(some, "spectrum_index", "mz"), name, role, size)
+        traces, values = chromatograms.agg(F.count("*"), F.coalesce(F.sum(F.size("time")), F.lit(0))).first() if chromatograms is not None else (0, 0)
+        if traces:
             meta = chromatograms.select(F.struct(F.col("chromatogram_index").alias("index"), "id", F.col("type").alias(T.CHROMATOGRAM_TYPE), F.size("time").cast("bigint").alias(T.N_POINTS)).alias("chromatogram"), F.col("chromatogram_index").alias("sort_key"))
-            add(meta, "chromatograms_metadata.parquet", M.CHROMATOGRAMS, ["sort_key"])
+            add(meta, "chromatograms_metadata.parquet", M.CHROMATOGRAMS, traces)
             rows = chromatograms.select("chromatogram_index", F.posexplode(F.arrays_zip("time", "intensity")).alias("ordinal", "z")).select("chromatogram_index", "ordinal", "z.*")
-            add(point(rows, "chromatogram_index", "time"), "chromatograms_data.parquet", M.CHROMATOGRAM_SIGNALS, ["sort_key"])
+            add(point(rows, "chromatogram_index", "time"), "chromatograms_data.parquet", M.CHROMATOGRAM_SIGNALS, values)
         doc = {"files": files, "metadata": {"version": M.VERSION, "cv_list": list(M.VOCABULARIES), "scan_settings_list": [], **{k: json.loads(v) for k, v in documents.items()}}}
         store.write_text(M.MANIFEST, json.dumps(doc, indent=2, ensure_ascii=False))
         if container == "zip":

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..operators import chunks, facets
+from .storage import dealt
 
 # The format's column names.
 LEVEL, POLARITY, REPRESENTATION = "MS_1000511_ms_level", "MS_1000465_scan_polarity", "MS_1000525_spectrum_representation"
@@ -86,8 +87,16 @@ def params(df: DataFrame, path: str) -> Column:
     return F.coalesce(F.transform(F.filter(quoted(path), lambda p: p.isNotNull()), shaped), F.array().cast(f"array<{C.PARAM}>"))
 
 
-def spectra(df: DataFrame) -> DataFrame:
-    """Spectrum descriptions with their scans and precursors, from the packed and unaligned metadata member."""
+def models(df: DataFrame) -> DataFrame:
+    """(spectrum_index, mz_delta_model) of the metadata member."""
+    if find(df, "spectrum.mz_delta_model") is None:
+        return df.sparkSession.createDataFrame([], "spectrum_index bigint, mz_delta_model array<double>")
+    own = df.filter("spectrum is not null").select(key(df, "spectrum.index").alias("spectrum_index"), quoted("spectrum.mz_delta_model").cast("array<double>").alias("mz_delta_model"))
+    return own.filter("spectrum_index is not null")
+
+
+def spectra(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Spectrum descriptions with their scans and precursors, from the packed and unaligned metadata member of so many rows."""
     o = lambda path, kind: optional(df, path, kind)
     has = lambda name: df.filter(F.col(name).isNotNull()) if find(df, name) is not None else df.limit(0)
     model = find(df, "spectrum.mz_delta_model")
@@ -97,6 +106,7 @@ def spectra(df: DataFrame) -> DataFrame:
         F.coalesce(o(f"spectrum.{N_POINTS}", "bigint"), F.lit(0)).alias("declared_points"), F.coalesce(o(f"spectrum.{N_PEAKS}", "bigint"), F.lit(0)).alias("declared_peaks"),
         (quoted("spectrum.mz_delta_model").cast("array<double>") if model is not None else F.lit(None).cast("array<double>")).alias("mz_delta_model"), params(df, "spectrum.parameters").alias("params"),
     ).filter("spectrum_index is not null")
+    own = dealt(own, rows, "spectrum_index")
 
     windows = find(df, "scan.scan_windows")
     limits = C.scan_windows(quoted("scan.scan_windows"), WINDOW_LOW, WINDOW_HIGH) if isinstance(windows, T.ArrayType) else F.array().cast("array<struct<lower: double, upper: double>>")
@@ -112,8 +122,8 @@ def spectra(df: DataFrame) -> DataFrame:
     ion = F.struct(o(f"selected_ion.{ION_MZ}", "double").alias("mz"), o(f"selected_ion.{ION_CHARGE}", "int").alias("charge"), o(f"selected_ion.{ION_INTENSITY}", "double").alias("intensity"), params(df, "selected_ion.parameters").alias("params"))
 
     def facet(name: str, value: Column, out: str) -> DataFrame:
-        rows = has(name).select(key(df, f"{name}.source_index").alias("source_index"), "row_no", value.alias("v"))
-        return facets.gathered(rows, F.col("v"), out)
+        shown = has(name).select(key(df, f"{name}.source_index").alias("source_index"), "row_no", value.alias("v")).filter("source_index is not null")
+        return facets.gathered(dealt(shown, rows, "source_index"), F.col("v"), out)
 
     ions = facet("selected_ion", ion, "ions").withColumn("ions", F.filter("ions", lambda i: i["mz"].isNotNull()))
     kind = find(df.select(precursor.alias("p")), "p")

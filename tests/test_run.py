@@ -296,3 +296,26 @@ def test_chunk_errors(spark):
     none = chunks.delta_points(bad.limit(0))
     assert none.filter(F.lit(True)).count() == 0
 
+
+
+def test_members_sorted_and_written_in_parts(spark, folder, tmp_path, monkeypatch):
+    """More rows than a task should sort are written by ranges; the one file of each member holds the parts in order."""
+    import pyarrow.parquet as pq
+
+    run = open_run(spark, folder)
+    metadata, points, chromatograms = run.metadata().cache(), run.points().cache(), run.chromatograms().cache()
+    monkeypatch.setattr("ionloom.sources.storage.ROWS_A_TASK", 2)
+    for layout, container in (("point", "dir"), ("numpress", "zip")):
+        path = str(tmp_path / layout)
+        sinks.write_run(metadata, points, path, chromatograms, container, layout, "pic", run.file_metadata())
+        again = open_run(spark, path)
+        got = arrays(again)
+        assert {i: len(mz) for i, (mz, _) in got.items()} == {i: len(mz) for i, (mz, _) in EXPECTED.items()}
+        for i, (mz, _) in EXPECTED.items():
+            assert sorted(got[i][0]) == pytest.approx(sorted(mz), abs=1e-5)
+        assert {r.chromatogram_index: r.intensity for r in again.chromatograms().collect()} == {0: [0, 1, 2], 1: []}
+        assert again.size() == 6 and again.file_metadata()["run"]["id"] == "r"
+        again.validate()
+    f = pq.ParquetFile(tmp_path / "point" / "spectra_data.parquet")
+    keys = [p["spectrum_index"] for p in f.read().column("point").to_pylist()]
+    assert f.num_row_groups > 1 and keys == sorted(keys)
