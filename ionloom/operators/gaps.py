@@ -82,6 +82,15 @@ def filled(mz: np.ndarray, known: np.ndarray, left: float | None, model: list[fl
     return n, float(mz[-1]) if n else left
 
 
+def _changed(column: pa.ChunkedArray) -> np.ndarray:
+    """Whether a row's value differs from the one before it."""
+    if column.null_count:
+        values = column.to_pylist()
+        return np.array([a != b for a, b in zip(values, values[1:])], bool)
+    values = column.to_numpy()
+    return np.asarray(values[1:] != values[:-1], bool)
+
+
 def _fill(n_keys: int):
     """Over batches (keys, kind, model, mz, others) sorted by spectrum: rows of kind 0 bring a spectrum's model, the others come out as (keys, mz, others).
 
@@ -94,13 +103,15 @@ def _fill(n_keys: int):
         def worked(t: pa.Table, last: bool) -> tuple[pa.Table, pa.Table]:
             nonlocal at, model, left
             n = told = t.num_rows
-            keys = list(zip(*(t.column(i).to_pylist() for i in range(n_keys))))
-            kind, models, column = t.column(n_keys).to_numpy(), t.column(n_keys + 1), t.column(n_keys + 2)
+            keys, kind, models, column = t.select(range(n_keys)), t.column(n_keys).to_numpy(), t.column(n_keys + 1), t.column(n_keys + 2)
             mz, known = pc.fill_null(column, 0.0).to_numpy().copy(), pc.is_valid(column).to_numpy().copy()
-            starts = [i for i in range(n) if i == 0 or keys[i] != keys[i - 1]]
-            for a, b in zip(starts, [*starts[1:], n]):
-                if keys[a] != at:
-                    at, model, left = keys[a], None, None
+            starts = np.flatnonzero(np.r_[True, np.logical_or.reduce([_changed(c) for c in keys.columns])])
+            open_ones = np.add.reduceat(~known & (kind != 0), starts, dtype=np.int64) > 0
+            open_ones[-1] = True  # goes on, perhaps
+            for a, b in zip(starts[open_ones].tolist(), np.r_[starts[1:], n][open_ones].tolist()):  # whole spectra without gaps stay as they are
+                own = tuple(c[a].as_py() for c in keys.columns)
+                if own != at:
+                    at, model, left = own, None, None
                 while a < b and kind[a] == 0:
                     given = models[a].as_py() or []
                     model, a = given if given and None not in given else None, a + 1
