@@ -1,12 +1,14 @@
 """Toxicity by compression distance: windows of a text are compressed against an ordinary and a toxic zstandard dictionary.
 
 Both dictionaries are trained by zstandard. The ordinary one is trained on windows of texts that are labelled as not toxic. The
-toxic one holds the same content, so that an ordinary window takes about as many bytes with either, and what is trained on
-windows of toxic texts. Most of a toxic text is ordinary too, and a dictionary trained on all of it tells little (figures in
-the README). So the windows that it is trained on are cut around the segments (words, their beginnings and runs of up to
-three) by which the labels tell toxic texts from others, some bytes of what stands before and behind included. The
-trainer has room for all of them, and leaves out some where windows are few; these are added. Each window that is compared stands between a fixed lead and tail that both dictionaries
-hold: blocks are then never stored raw, and the compressor looks for matches up to the window's end.
+toxic one holds what is trained on toxic texts, and behind it the same ordinary content: at the same distance from what is
+compressed, so that an ordinary window takes as many bytes with either. Runs of words that are ordinary one by one are found
+better where they stand nearest; the other order is tried, too, and the fit takes the better one. Most of a toxic text is ordinary too, and a dictionary
+trained on all of it tells little (figures in the README). So it is trained on what toxic texts have of the segments (words,
+their beginnings and runs of up to three) by which the labels tell them from others: whole words, and nothing that stands
+around them. The trainer has room for all of them, and leaves out some; these are added. Each window that is compared stands
+between a fixed lead and tail that both dictionaries hold: blocks are then never stored raw, and the compressor looks for
+matches up to the window's end.
 
 Segments are ranked by how the labels tell them apart, and no size of the sample is needed for one to count: how many are
 taken, how far the lengths must differ, and on how many windows, is fitted on labelled texts that the dictionaries of their
@@ -17,7 +19,6 @@ from __future__ import annotations
 
 import math
 import pickle
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,17 +34,21 @@ from .shingles import PLACES, WORDS, mixed, shingle_set
 
 #: Words of a window, and the most bytes of one.
 WINDOW, WINDOW_BYTES = 16, 400
-#: Bytes of the ordinary dictionary, and of the toxic one for each segment; the compression level.
-ORDINARY_BYTES, SEGMENT_BYTES, LEVEL = 16_384, 64, 6
-#: Bytes before and behind a segment in the windows that train the toxic dictionary, and the trainer's k and d.
-AROUND, TRAINER = 4, {"k": 16, "d": 6}
+#: Bytes of the ordinary dictionary, and of the toxic one for each segment; the compression level, and how many places are compared for a match (as a power of two).
+ORDINARY_BYTES, SEGMENT_BYTES, LEVEL, SEARCHED = 16_384, 64, 6, 4
+#: The trainer's k and d, for the toxic dictionary.
+TRAINER = {"k": 16, "d": 6}
 #: Labelled documents that are learnt from, of each label at most, and bytes of all their texts.
 SAMPLE_OF_EACH, SAMPLE_BYTES = 2_000, 64_000_000
 #: Words of a segment at most; bytes of a word's beginning at least; the numbers of segments that are tried; folds of the fit; windows that train the ordinary dictionary.
-SEGMENT, STEM, TRIED, FOLDS, TRAINED_ON = 3, 5, (4, 6, 8, 9, 10, 11, 12, 14, 16, 20, 26, 36, 50, 80), 4, 40_000
+SEGMENT, STEM, TRIED, FOLDS, TRAINED_ON = 3, 5, (4, 6, 8, 10, 12, 15, 20, 28, 40, 56, 80, 110, 150, 200, 280, 400), 4, 40_000
+#: How much commoner a segment is in toxic rows than in others, at least.
+COMMONER = 2
 #: Of a text's runs of words, the smallest hashes, by which edited copies are told.
 SKETCH = 16
 LEAD, TAIL = b" the lead that every window follows here, in both of the two ", b" and then the tail, in both"
+#: The size for which compressors are set up, one for both dictionaries.
+CONTENT_BYTES = ORDINARY_BYTES + SEGMENT_BYTES * TRIED[-1]
 _EDGES = b".,;:!?\"'()[]{}#$%&*|"
 
 
@@ -60,7 +65,7 @@ def windows(text: str | None) -> list[bytes]:
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
     content = content + TAIL + LEAD
     held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    plan = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=256, dict_size=len(content), write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+    plan = zstandard.ZstdCompressionParameters.from_level(LEVEL, search_log=SEARCHED, source_size=256, dict_size=CONTENT_BYTES, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
     held.precompute_compress(compression_params=plan)
     return zstandard.ZstdCompressor(dict_data=held, compression_params=plan)
 
@@ -139,7 +144,7 @@ def _fits(k: np.ndarray, n: int, p: np.ndarray) -> np.ndarray:
 def segments(rows: list[tuple[str, int]], fold: np.ndarray) -> list[list[bytes]]:
     """Of (text, toxic) rows, the segments of toxic ones, those whose presence stands out most first: for each fold from the other rows, and at last from all.
 
-    The order is that of the log-likelihood ratio of what is commoner in toxic rows. One that contains a segment before it is
+    The order is that of the log-likelihood ratio of what is at least COMMONER times as common in toxic rows. One that contains a segment before it is
     left out, and so are a beginning of one before it and one of a single toxic row.
     """
     toxic = [gram_hashes(t) if y else None for t, y in rows]
@@ -163,7 +168,7 @@ def segments(rows: list[tuple[str, int]], fold: np.ndarray) -> list[list[bytes]]
             tops.append({})
             continue
         both = (k + j) / (nt + no)
-        ratio = np.where((k > 1) & (k * no > j * nt), _fits(k, nt, k / nt) + _fits(j, no, j / no) - _fits(k, nt, both) - _fits(j, no, both), 0.0)
+        ratio = np.where((k > 1) & (k * no > COMMONER * j * nt), _fits(k, nt, k / nt) + _fits(j, no, j / no) - _fits(k, nt, both) - _fits(j, no, both), 0.0)
         best = np.argsort(-ratio, kind="stable")[: 8 * TRIED[-1]]
         tops.append({h: r for h, r in zip(known[best].tolist(), ratio[best].tolist()) if r > 0})
     wanted, names = np.array(sorted(set().union(*tops)), np.uint64), {}
@@ -235,22 +240,32 @@ def ordinary_content(texts: list[str]) -> bytes:
         return b" ".join(plain)[-ORDINARY_BYTES:]
 
 
-def toxic_windows(texts: list[str], found: list[bytes]) -> list[tuple[int, bytes]]:
-    """Windows of texts cut around the segments, each with the segment's place among them."""
-    place = {w.strip(): i for i, w in reversed(list(enumerate(found)))}
-    if not place:
-        return []
-    any_of, out = re.compile(b"|".join(map(re.escape, place))), []
+def segments_in(texts: list[str], found: list[bytes]) -> list[tuple[int, bytes]]:
+    """What texts have of the segments, each with the segment's place among them: runs of words, and the whole word for a beginning."""
+    begins, runs = {}, {}
+    for i, w in reversed(list(enumerate(found))):
+        if w.endswith(b" "):
+            first, *rest = w.split()
+            runs.setdefault(first, []).append((i, rest, w))
+        else:
+            begins[w[1:] + b"*"] = i
+    marked: dict[bytes, int | None] = {}
+    out = []
     for t in texts:
-        line = b" " + b" ".join(t.lower().encode("utf-8").split()) + b" "
-        out += [(place[m[0]], line[max(0, m.start() - AROUND) : m.end() + AROUND]) for m in any_of.finditer(line)]
+        words = _split(t)[0]
+        for at, w in enumerate(words):
+            if w not in marked:
+                marked[w] = min((begins[s] for s in STEMS[w] if s in begins), default=None)
+            if marked[w] is not None:
+                out.append((marked[w], b" " + w + b" "))
+            out += [(i, run) for i, rest, run in runs.get(w, ()) if words[at + 1 : at + 1 + len(rest)] == rest]
     return out
 
 
-def toxic_content(ordinary: bytes, found: list[bytes], seen: list[tuple[int, bytes]], n: int) -> bytes:
-    """The ordinary content and that of a dictionary trained on the windows around the first n segments.
+def toxic_content(ordinary: bytes, found: list[bytes], seen: list[tuple[int, bytes]], n: int, last: bool = False) -> bytes:
+    """What a dictionary trained on what texts have of the first n segments holds, and the ordinary content behind it, or before it.
 
-    Segments that the trainer left out, as it does where windows are few, follow, the strongest last.
+    Segments that the trainer left out, as it does with short ones and where texts are few, are added.
     """
     found, size = found[:n], SEGMENT_BYTES * min(n, len(found))
     try:
@@ -258,7 +273,8 @@ def toxic_content(ordinary: bytes, found: list[bytes], seen: list[tuple[int, byt
         body = zstandard.train_dictionary(256 + size, [w for i, w in seen if i < n and len(w) >= 8], **TRAINER).as_bytes()[-size:] if size else b""
     except zstandard.ZstdError:
         body = b""
-    return ordinary + body + b"".join(w for w in reversed(found) if w not in body)
+    added = b"".join(w for w in reversed(found) if w not in body)
+    return ordinary + body + added if last else added + body + ordinary
 
 
 def _error(x: np.ndarray) -> float:
@@ -275,24 +291,28 @@ def fit(rows: list[tuple[str, int]], share: float) -> Model:
         return Model(content, content, np.array([3.0 if y.any() else -3.0, 0, 0, 0, 0, 0]))
     fold = np.where(y == 1, np.cumsum(y) - 1, np.cumsum(1 - y) - 1) % FOLDS
     found = segments(rows, fold)
-    seen = [toxic_windows([t for (t, label), f in zip(rows, fold) if label and f != k], s) for k, s in zip([*range(FOLDS), None], found)]
+    seen = [segments_in([t for (t, label), f in zip(rows, fold) if label and f != k], s) for k, s in zip([*range(FOLDS), None], found)]
     contents = [ordinary_content([t for (t, label), f in zip(rows, fold) if not label and f != left_out]) for left_out in [*range(FOLDS), None]]
     w = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     tried, cuts = [], [windows(t) for t, _ in rows]
     plain = [compressor(c) for c in contents]
     plain = [lengths_of(cut, plain[f]) for cut, f in zip(cuts, fold)]
-    for n in TRIED:
-        toxic = [compressor(toxic_content(c, s, x, n)) for c, s, x in zip(contents, found, seen)]
+
+    def attempt(n: int, last: bool) -> None:
+        toxic = [compressor(toxic_content(c, s, x, n, last)) for c, s, x in zip(contents, found, seen)]
         x = np.stack([features_of(p - lengths_of(cut, toxic[f])) for cut, p, f in zip(cuts, plain, fold)])
         weights = calibrated(x, y, w)
         logit = np.clip(x @ weights, -30, 30)
-        tried.append((w * (y * logit - np.log1p(np.exp(logit))), n, weights))
-        best = max((fits for fits, *_ in tried), key=np.sum)
-        if n >= max(map(len, found)) or (best - tried[-1][0]).sum() > 3 * _error(best - tried[-1][0]):
+        tried.append((w * (y * logit - np.log1p(np.exp(logit))), n, last, weights))
+
+    for n in TRIED:
+        attempt(n, False)
+        best = max(tried, key=lambda t: t[0].sum())
+        if n >= max(map(len, found)) or (best[0] - tried[-1][0]).sum() > 3 * _error(best[0] - tried[-1][0]):
             break
-    # The fewest segments that fit as well as the best number, but for what chance explains.
-    _, n, weights = next(t for t in tried if (best - t[0]).sum() <= _error(best - t[0]))
-    return Model(contents[-1], toxic_content(contents[-1], found[-1], seen[-1], n), weights)
+    attempt(best[1], True)
+    _, n, last, weights = max(tried, key=lambda t: t[0].sum())
+    return Model(contents[-1], toxic_content(contents[-1], found[-1], seen[-1], n, last), weights)
 
 
 def learnt(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_OF_EACH, sample_bytes: int = SAMPLE_BYTES) -> Model:

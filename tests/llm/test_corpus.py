@@ -432,6 +432,28 @@ def test_toxicity_learns_phrases_and_beginnings():
         assert sum((model.score(toxicity.features(t, by)) >= 0.5) == y for t, y in new) > 51
 
 
+def test_toxicity_learns_many_marks_of_several_languages():
+    """Ten words mark the toxic texts of one language, thirty each those of two others; all count, and ordinary windows gain nothing."""
+    draw = random.Random(7)
+    made = lambda letters, n, k: ["".join(draw.choice(letters) + draw.choice("aeiou") for _ in range(k)) for _ in range(n)]
+    tongues = [(made(x, 400, 3), made(y, n, 4)) for x, y, n in (("bcdf", "ghkl", 10), ("mnpq", "rstv", 30), ("wxyz", "bhnt", 30))]
+
+    def said(toxic):
+        plain, marks = tongues[draw.choice((0, 0, 1, 2))]
+        out = draw.choices(plain, k=draw.choice((60, 120, 240)))
+        for m in draw.choices(marks, k=max(2, len(out) // 60)) if toxic else ():
+            out.insert(draw.randrange(len(out)), m)
+        return " ".join(out)
+
+    model = toxicity.fit([(said(i % 3 == 0), int(i % 3 == 0)) for i in range(1500)], 0.1)
+    by = model.lengths()
+    bad, clean = ([said(toxic) for _ in range(200)] for toxic in (True, False))
+    caught, false = ([model.score(toxicity.features(t, by)) >= 0.5 for t in x] for x in (bad, clean))
+    assert sum(caught) > 190 and sum(false) < 4
+    cut = [w for t in clean for w in toxicity.windows(t)]
+    assert (toxicity.lengths_of(cut, by[0]) == toxicity.lengths_of(cut, by[1])).mean() > 0.95
+
+
 def test_toxicity_odd(spark, odd):
     labels = spark.createDataFrame([(1, 1), (7, 0), (None, 1), (4, None)], "doc_id long, toxic int")
     model = toxicity.learnt(odd, labels)
