@@ -18,7 +18,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, types
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -28,6 +28,11 @@ from . import storage
 from . import tables as T
 from .archive import pack
 
+#: Column chunks, about, that a member's footer lists; all that write or open the file hold its footer whole.
+FOOTER_CHUNKS = 1 << 14
+#: Bytes of row groups that nobody asked for smaller (Parquet's default).
+GROUP_BYTES = 128 << 20
+
 
 class Store:
     """A folder in any file system that Spark writes to, by Hadoop's client on the driver: names, small files, removal."""
@@ -89,17 +94,34 @@ class Store:
             self.files.copyFromLocalFile(False, True, local, self.path(name))
 
 
+def leaves(kind: types.DataType) -> int:
+    """How many Parquet columns hold a value of this type."""
+    if isinstance(kind, types.StructType):
+        return sum(leaves(f.dataType) for f in kind)
+    if isinstance(kind, types.MapType):
+        return leaves(kind.keyType) + leaves(kind.valueType)
+    return leaves(kind.elementType) if isinstance(kind, types.ArrayType) else 1
+
+
+def group_bytes(schema: types.StructType, rows: int, asked: int) -> int:
+    """Bytes of a row group: as asked, or as many more as leave some FOOTER_CHUNKS column chunks in all, values taken as eight bytes each."""
+    columns = leaves(schema)
+    return max(asked, min(rows * 8 * columns * columns // FOOTER_CHUNKS, GROUP_BYTES))
+
+
 def write_member(df: DataFrame, store: Store, name: str, order: list, row_group: int | None = None, rows: int | None = None) -> None:
     """df, sorted, as the one file of this name; until it is whole it has another.
 
     rows: about how many df has, else they are counted. Many are sorted and written by ranges, as parts that are then joined.
+    row_group: bytes of a row group; groups are larger where the member would have too many for a footer (group_bytes).
     """
     part = f"_{name}-{uuid.uuid4().hex}"
-    n = -(-(df.count() if rows is None else rows) // storage.ROWS_A_TASK)
-    out = (df.repartitionByRange(n, *order) if n > 1 else df.repartition(1)).sortWithinPartitions(*order)
-    writer = out.drop("sort_key").write.option("compression", "zstd")
+    rows = df.count() if rows is None else rows
+    n = -(-rows // storage.ROWS_A_TASK)
+    out = (df.repartitionByRange(n, *order) if n > 1 else df.repartition(1)).sortWithinPartitions(*order).drop("sort_key")
+    writer = out.write.option("compression", "zstd")
     try:
-        (writer.option("parquet.block.size", row_group) if row_group else writer).parquet(f"{store.folder}/{part}")
+        (writer.option("parquet.block.size", group_bytes(out.schema, rows, row_group)) if row_group else writer).parquet(f"{store.folder}/{part}")
         store.take_parts(part, name)
     finally:
         store.remove(part)
@@ -142,7 +164,7 @@ def _plain(x):
 
 def metadata_rows(metadata: DataFrame, counts: DataFrame) -> DataFrame:
     """The packed metadata member: one row a spectrum with all four structs; the number of points under its spectrum's continuity."""
-    m = metadata.join(counts, "spectrum_index", "left")
+    m = metadata.join(counts.hint("merge"), "spectrum_index", "left")
     centroid, n = F.col("continuity") == "CENTROID", F.coalesce("n", F.lit(0)).cast("bigint")
     scan, precursor = C.first_of("scans"), C.first_of("precursors")
     ion, index = C.first_of(precursor["ions"]), F.col("spectrum_index")
@@ -193,7 +215,7 @@ def write_run(metadata: DataFrame, points: DataFrame, path: str, chromatograms:
             row = coded.select(F.struct("spectrum_index", "mz_chunk_start", "mz_chunk_end", "chunk_encoding", _byte_list("mz_numpress_linear_bytes"), _byte_list(f"intensity_numpress_{intensity}_bytes")).alias("chunk"), F.struct("spectrum_index", "chunk_no").alias("sort_key"))
             add(row, "spectra_data.parquet", M.SIGNALS, size)
         else:
-            kind = points.join(metadata.select("spectrum_index", (F.col("continuity") == "CENTROID").alias("centroid")), "spectrum_index")
+            kind = points.join(metadata.select("spectrum_index", (F.col("continuity") == "CENTROID").alias("centroid")).hint("merge"), "spectrum_index")
             for centroid, name, role in ((False, "spectra_data.parquet", M.SIGNALS), (True, "spectra_peaks.parquet", M.PEAKS)):
                 some = kind.filter(F.col("centroid") if centroid else ~F.col("centroid"))
                 if not some.isEmpty():

@@ -319,3 +319,17 @@ def test_members_sorted_and_written_in_parts(spark, folder, tmp_path, monkeypatc
     f = pq.ParquetFile(tmp_path / "point" / "spectra_data.parquet")
     keys = [p["spectrum_index"] for p in f.read().column("point").to_pylist()]
     assert f.num_row_groups > 1 and keys == sorted(keys)
+
+
+def test_a_footer_lists_a_bounded_number_of_column_chunks(spark, tmp_path):
+    """Row groups are as small as asked until a member would have too many of them; every row is there, in order."""
+    import pyarrow.parquet as pq
+
+    store, (columns, most) = sinks.Store(spark, str(tmp_path)), (40, 1 << 14)
+    wide = spark.range(100_000).select(F.col("id").alias("sort_key"), *[((F.col("id") + i) * 3.7).alias(f"c{i}") for i in range(columns)])
+    sinks.write_member(wide, store, "large.parquet", ["sort_key"], 1 << 12)
+    sinks.write_member(wide.limit(1000), store, "small.parquet", ["sort_key"], 1 << 12)
+    large, small = pq.ParquetFile(tmp_path / "large.parquet"), pq.ParquetFile(tmp_path / "small.parquet")
+    assert 100 < large.num_row_groups <= 1.5 * most / columns
+    assert large.read(["c0"]).column("c0").to_pylist() == pytest.approx([i * 3.7 for i in range(100_000)])
+    assert small.num_row_groups >= 5
