@@ -14,10 +14,13 @@ def gathered(facet: DataFrame, value: Column, name: str, order: str = "row_no",
 
 
 def facet_join(spectra: DataFrame, **facets: DataFrame) -> DataFrame:
-    """Spectra with the array of each gathered facet, empty where they have none; facet rows of no spectrum fall away."""
+    """Spectra with the array of each gathered facet, empty where they have none; facet rows of no spectrum fall away.
+
+    Merged by the key and never broadcast: of a wide member's few columns Spark guesses a small part of the file, however many rows it has.
+    """
     out = spectra
     for name, facet in facets.items():
-        out = out.join(facet, "spectrum_index", "left")
+        out = out.join(facet.hint("merge"), "spectrum_index", "left")
         kind = out.schema[name].dataType.simpleString()
         out = out.withColumn(name, F.coalesce(name, F.array().cast(kind)))
     return out

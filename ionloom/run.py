@@ -143,7 +143,7 @@ class Run:
         if self.manifest.find(M.SIGNALS) is None or self.manifest.find(M.PEAKS) is None:
             return profile.unionByName(peaks)
         has = tables.signal_points(self.needed(M.SIGNALS, keys)).select("spectrum_index").distinct()  # whatever its m/z
-        return profile.unionByName(peaks.join(has, "spectrum_index", "left_anti"))
+        return profile.unionByName(peaks.join(has.hint("merge"), "spectrum_index", "left_anti"))
 
     def spectra(self, index: int | None = None, ordinal: int | None = None, native_id: str | None = None, scan: int | None = None, nearest_time: float | None = None) -> DataFrame:
         """Spectra with mz, intensity and peaks arrays: all, or the one that is asked for. Only its signal is read."""
@@ -235,7 +235,7 @@ class Run:
         """The parts of a summary, each a small table."""
         metadata, points = self.metadata(), self.points()
         first = C.primary("precursors")
-        ms1 = points.join(metadata.filter("ms_level = 1").select("spectrum_index"), "spectrum_index", "left_semi")
+        ms1 = points.join(metadata.filter("ms_level = 1").select("spectrum_index").hint("merge"), "spectrum_index", "left_semi")
         found = self.chromatograms()
         return {
             "levels": analytics.count_per_level(metadata),

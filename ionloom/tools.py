@@ -28,7 +28,7 @@ def info(run: Run, first: int = 5) -> dict[str, DataFrame]:
 def extract(run: Run, path: str, levels: list[int] | None = None, rt_min: float | None = None, rt_max: float | None = None, keep_metadata: bool = False) -> None:
     """Spectra that pass the filter, with their own indices, to a run of their own: an archive if the path ends in its suffix."""
     kept = run.metadata().filter(C.spectrum_filter(levels, rt_min, rt_max))
-    points = run.points().join(kept.select("spectrum_index"), "spectrum_index", "left_semi")
+    points = run.points().join(kept.select("spectrum_index").hint("merge"), "spectrum_index", "left_semi")
     sinks.write_run(kept, points, path, container="zip" if path.endswith(ARCHIVE_SUFFIX) else "dir", about=run.file_metadata() if keep_metadata else None)
 
 

@@ -333,3 +333,10 @@ def test_a_footer_lists_a_bounded_number_of_column_chunks(spark, tmp_path):
     assert 100 < large.num_row_groups <= 1.5 * most / columns
     assert large.read(["c0"]).column("c0").to_pylist() == pytest.approx([i * 3.7 for i in range(100_000)])
     assert small.num_row_groups >= 5
+
+
+def test_tables_of_a_run_meet_without_a_broadcast(spark, folder):
+    """Spark guesses small parts of wide members to be small, whatever rows they have."""
+    run = open_run(spark, folder)
+    for df in (run.metadata(), run.metadata().select("spectrum_index", "rt"), run.points()):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
